@@ -2,14 +2,20 @@
 
 from pyspark.sql import types as T
 
-RAW_LISTING = T.StructType.fromDDL(
-    """
-    ad_id string, title string, price string, price_string string, area string,
-    ward string, district string, city string, property_type string, ad_type string,
-    bedrooms string, bathrooms string, floors string, direction string, interior string,
-    legal string, apartment_type string, latitude double, longitude double,
-    posted_at string, url string, crawled_at string
-    """
+TEXT, NUM, INT, LONG = T.StringType(), T.DoubleType(), T.IntegerType(), T.LongType()
+TIME, FLAG = T.TimestampType(), T.BooleanType()
+
+
+def table(**columns: T.DataType) -> T.StructType:
+    """Every column may be NULL; order is that of the arguments."""
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
+
+
+RAW_LISTING = table(
+    ad_id=TEXT, title=TEXT, price=TEXT, price_string=TEXT, area=TEXT, ward=TEXT, district=TEXT,
+    city=TEXT, property_type=TEXT, ad_type=TEXT, bedrooms=TEXT, bathrooms=TEXT, floors=TEXT,
+    direction=TEXT, interior=TEXT, legal=TEXT, apartment_type=TEXT, latitude=NUM, longitude=NUM,
+    posted_at=TEXT, url=TEXT, crawled_at=TEXT,
 )
 
 # Fields the pool does not carry, and the fields that become typed there.
@@ -26,56 +32,48 @@ POOL_CASTS = {
 }
 
 # One ad as the listing API returns it (only the fields that are read).
-AD_JSON = T.StructType.fromDDL(
-    """
-    ad_id string, list_id string, subject string, title string,
-    price string, price_string string, size string, area_usable string,
-    ward_name string, area_name string, region_name string,
-    category int, category_name string, type string,
-    rooms string, wc string, bathrooms string, floors string,
-    direction string, interior string, legal string, apartment_type string,
-    latitude double, longitude double, orig_list_time bigint, list_time bigint, body string,
-    feature_params struct<seo_structure: struct<items: array<struct<id: string, value: string>>>>
-    """
+AD_JSON = table(
+    ad_id=TEXT, list_id=TEXT, subject=TEXT, title=TEXT, price=TEXT, price_string=TEXT, size=TEXT,
+    area_usable=TEXT, ward_name=TEXT, area_name=TEXT, region_name=TEXT, category=INT,
+    category_name=TEXT, type=TEXT, rooms=TEXT, wc=TEXT, bathrooms=TEXT, floors=TEXT, direction=TEXT,
+    interior=TEXT, legal=TEXT, apartment_type=TEXT, latitude=NUM, longitude=NUM,
+    orig_list_time=LONG, list_time=LONG, body=TEXT,
+    feature_params=table(seo_structure=table(items=T.ArrayType(table(id=TEXT, value=TEXT)))),
 )
 
-MARKET_RAW = T.StructType.fromDDL("date string, gold_usd double, usdvnd double, vnindex double")
+MARKET_RAW = table(
+    date=TEXT, gold_usd=NUM, usdvnd=NUM, vnindex=NUM,
+)
 
-MACRO_MONTHLY = T.StructType.fromDDL("month string, cpi double, rate double")
+MACRO_MONTHLY = table(
+    month=TEXT, cpi=NUM, rate=NUM,
+)
 
-PREDICTIONS = T.StructType.fromDDL(
-    """
-    id string, district string, area_m2 double, listing_ppm2 double, predicted_ppm2 double,
-    predicted_total_vnd bigint, undervalued_ratio double, is_undervalued boolean,
-    url string, model_version string, scored_at string
-    """
+PREDICTIONS = table(
+    id=TEXT, district=TEXT, area_m2=NUM, listing_ppm2=NUM, predicted_ppm2=NUM,
+    predicted_total_vnd=LONG, undervalued_ratio=NUM, is_undervalued=FLAG, url=TEXT,
+    model_version=TEXT, scored_at=TEXT,
 )
 
-IMPUTE_STATS = T.StructType.fromDDL(
-    """
-    fit_at timestamp, src string, n_rows_dedup bigint, n_rows_after_iqr bigint,
-    iqr_order array<string>, iqr map<string, struct<lo: double, hi: double>>,
-    fill map<string, string>
-    """
+IMPUTE_STATS = table(
+    fit_at=TIME, src=TEXT, n_rows_dedup=LONG, n_rows_after_iqr=LONG, iqr_order=T.ArrayType(TEXT),
+    iqr=T.MapType(TEXT, table(lo=NUM, hi=NUM)), fill=T.MapType(TEXT, TEXT),
 )
 
-GATE = T.StructType.fromDDL(
-    "fit_at timestamp, span_days int, months bigint, gate_on boolean, reason string"
+GATE = table(
+    fit_at=TIME, span_days=INT, months=LONG, gate_on=FLAG, reason=TEXT,
 )
 
-METRICS = T.StructType.fromDDL(
-    """
-    version string, generated_at timestamp, target string, model string, features string,
-    rmse double, mae double, r2 double, cv_rmse_train double, is_best boolean,
-    n_train bigint, n_test bigint
-    """
+METRICS = table(
+    version=TEXT, generated_at=TIME, target=TEXT, model=TEXT, features=TEXT, rmse=NUM, mae=NUM,
+    r2=NUM, cv_rmse_train=NUM, is_best=FLAG, n_train=LONG, n_test=LONG,
 )
 
-PROMOTIONS = T.StructType.fromDDL("version string, baseline_rmse double, promoted_at timestamp")
+PROMOTIONS = table(
+    version=TEXT, baseline_rmse=NUM, promoted_at=TIME,
+)
 
-DRIFT_LOG = T.StructType.fromDDL(
-    """
-    drift boolean, batch_rmse double, baseline_rmse double, drift_threshold double,
-    model_version string, checked_at timestamp
-    """
+DRIFT_LOG = table(
+    drift=FLAG, batch_rmse=NUM, baseline_rmse=NUM, drift_threshold=NUM, model_version=TEXT,
+    checked_at=TIME,
 )
