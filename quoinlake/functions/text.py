@@ -1,5 +1,6 @@
 """Text parsing as native column expressions."""
 
+import json
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -81,7 +82,8 @@ _REFERENCE = (
 
 
 def _literal_map(entries: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
+    """A constant map in one expression; Spark folds it once when it plans."""
+    return F.from_json(F.lit(json.dumps(entries)), "map<string,string>")
 
 
 def _code_point(ref: Column) -> Column:
@@ -106,5 +108,9 @@ def unescape(c: "Column | str") -> Column:
         )
         return F.when((ref == "") | char.isNull(), piece).otherwise(F.concat(char, rest))
 
-    pieces = F.transform(F.split(c, "(?=&)"), decode)
-    return F.when(F.contains(c, F.lit("&")), F.array_join(pieces, "")).otherwise(c)
+    def whole(text: Column) -> Column:
+        pieces = F.transform(F.split(text, "(?=&)"), decode)
+        return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
+
+    # The one-element array computes the argument once for its three uses.
+    return F.transform(F.array(c), whole)[0]

@@ -15,9 +15,12 @@ from quoinlake.schemas import AD_JSON, RAW_LISTING
 
 
 def decode_json(df: DataFrame, value: str, schema=RAW_LISTING) -> DataFrame:
-    """Parse a JSON text column to flat columns; malformed text gives all NULL."""
+    """Parse a JSON text column to flat columns; malformed or NULL text gives all NULL.
+
+    The generator keeps later filters above it: pushed below, each would parse the text again.
+    """
     parsed = F.from_json(F.col(value).cast("string"), schema)
-    return df.select(parsed.alias("d")).select("d.*")
+    return df.select(F.inline(F.array(parsed)))
 
 
 def canonical_url(prefix: str, ad_id: "Column | str") -> Column:
@@ -34,8 +37,8 @@ def normalize_ads(ads: DataFrame, url_prefix: str, crawled_at: Column) -> DataFr
 
     Split the result with `require(..., LISTING_REQUIRED)`.
     """
+    ads = ads.withColumn("_body", html_text("body"))
     items = F.col("feature_params.seo_structure.items")
-    body = html_text("body")
     ad_id = first_filled("ad_id", "list_id")
     size = first_filled("size", "area_usable")
     posted = F.coalesce(F.nullif("orig_list_time", F.lit(0)), F.nullif("list_time", F.lit(0)))
@@ -51,9 +54,9 @@ def normalize_ads(ads: DataFrame, url_prefix: str, crawled_at: Column) -> DataFr
         "city": blank_to_null("region_name"),
         "property_type": label_of("category", CODE_LABELS["category"], F.col("category_name")),
         "ad_type": F.col("type"),
-        "bedrooms": backfill_from_text("rooms", body, BEDROOMS_IN_TEXT),
+        "bedrooms": backfill_from_text("rooms", "_body", BEDROOMS_IN_TEXT),
         "bathrooms": F.coalesce(first_filled("wc"), F.col("bathrooms")),
-        "floors": backfill_from_text("floors", body, FLOORS_IN_TEXT),
+        "floors": backfill_from_text("floors", "_body", FLOORS_IN_TEXT),
         "direction": F.when(first_filled("direction").isNotNull(), labels["direction"]),
         "interior": F.coalesce(blank_to_null(kv_lookup(items, INTERIOR_ITEM_ID)), labels["interior"]),
         "legal": F.coalesce(blank_to_null(kv_lookup(items, LEGAL_ITEM_ID)), labels["legal"]),

@@ -139,8 +139,9 @@ with plain as (
   select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
     '<!--.*?-->', '<>', 'gs'), '<script\\b[^>]*>.*?</script\\s*>', '<>', 'gsi'),
     '<style\\b[^>]*>.*?</style\\s*>', '<>', 'gsi'), '^(<[^>]*>)+|(<[^>]*>)+$', '', 'g') as t from pages)
-select page_id, replace(replace(replace(replace(replace(replace(regexp_replace(t, '(<[^>]*>)+', ' ', 'g'),
-  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&') as text from plain""")
+select page_id, replace(replace(replace(replace(replace(replace(replace(regexp_replace(t, '(<[^>]*>)+', ' ', 'g'),
+  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') as text
+from plain""")
 def html_strip(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html_text("html").alias("text"))
 
