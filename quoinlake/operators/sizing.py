@@ -32,3 +32,14 @@ def small_or_shuffled(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     """Broadcast hint only if the side has at most `max_rows` rows."""
     fits = df.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if fits else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for costly row work on a scan of few splits.
+
+    A table of one large file or row group is one task however many cores there are; only
+    then are its rows dealt out first. A scan with enough splits, as any large table has,
+    is returned as it is and nothing moves.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

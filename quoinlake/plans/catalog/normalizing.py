@@ -9,6 +9,7 @@ from quoinlake.functions.text import first_number, html_text
 from quoinlake.operators.normalize import (
     LISTING_REQUIRED, ads_from_json, backfill_from_text, decode_json, normalize_ads, require,
 )
+from quoinlake.operators.sizing import spread
 from quoinlake.plans.catalog.registry import query, table, values_of
 from quoinlake.plans.catalog.standins import every
 from quoinlake.schemas import AD_JSON
@@ -18,7 +19,7 @@ URL_PREFIX = "https://lots.example/"
 
 def ad_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as ad JSON text: absent fields are null, 0 or '' in turn; some text is cut short."""
-    line = table(spark, sf_dir, "lineitem")
+    line = spread(table(spark, sf_dir, "lineitem"))
     key = F.concat_ws("", "l_orderkey", F.lpad(F.col("l_linenumber").cast("string"), 2, "0")).cast("bigint")
     third = F.col("l_partkey") % 3
     millis = F.unix_millis(F.col("l_shipdate").cast("timestamp"))
@@ -143,7 +144,7 @@ select page_id, replace(replace(replace(replace(replace(replace(replace(regexp_r
   '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') as text
 from plain""")
 def html_strip(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", html_text("html").alias("text"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", html_text("html").alias("text"))
 
 
 @query("regex_backfill", f"""with {AD_SQL}

@@ -17,7 +17,7 @@ from quoinlake.operators.timeseries import (
 )
 from quoinlake.plans.catalog.registry import dec, query, table
 from quoinlake.plans.catalog.standins import (
-    MARKET_SQL, MONTHLY_SQL, macro_monthly, market_feature_sql, market_raw, monthly_feature_sql,
+    MARKET_SQL, MONTHLY_SQL, macro_monthly, market_feature_sql, market_raw, monthly_feature_sql, stored,
 )
 
 
@@ -189,8 +189,9 @@ FACTS_SQL = """facts as (select l_orderkey || '-' || l_linenumber || '-' || l_pa
 LAST_SQL = """ends as (select (select max(d) from daily) as d, (select max(month) from monthly) as m)"""
 
 
-def rounded(df: DataFrame, *cols: str) -> DataFrame:
-    return df.select("id", "posted_at", *[exact_round(c, 4).alias(c) for c in cols])
+def rounded(df: DataFrame) -> DataFrame:
+    """Feature columns rounded on the series itself, a few thousand rows, not on the facts."""
+    return df.withColumns({c: exact_round(c, 4) for c in df.columns if c in CONTEXT_COLUMNS})
 
 
 def rounded_sql(cols) -> str:
@@ -198,21 +199,23 @@ def rounded_sql(cols) -> str:
 
 
 def features(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    return market_features(market_quotes(market_raw(spark, sf_dir))), monthly_features(macro_monthly(spark, sf_dir))
+    market = stored(spark, market_raw(spark, sf_dir), "macro_raw")
+    monthly = stored(spark, macro_monthly(spark, sf_dir), "macro_monthly")
+    return rounded(market_features(market_quotes(market))), rounded(monthly_features(monthly))
 
 
 @query("asof_daily", f"""with {market_feature_sql()}, {FACTS_SQL}
 select id, posted_at, {rounded_sql(MARKET_COLUMNS)}
 from facts left join daily on d = least(posted_at::date, (select max(d) from daily))""")
 def asof_daily(spark, sf_dir):
-    return rounded(attach_daily(facts(spark, sf_dir), features(spark, sf_dir)[0]), *MARKET_COLUMNS)
+    return attach_daily(facts(spark, sf_dir), features(spark, sf_dir)[0])
 
 
 @query("asof_monthly", f"""with {monthly_feature_sql()}, {FACTS_SQL}
 select id, posted_at, {rounded_sql(MONTHLY_COLUMNS)}
 from facts left join monthly on month = least(strftime(posted_at, '%Y-%m'), (select max(month) from monthly))""")
 def asof_monthly(spark, sf_dir):
-    return rounded(attach_monthly(facts(spark, sf_dir), features(spark, sf_dir)[1]), *MONTHLY_COLUMNS)
+    return attach_monthly(facts(spark, sf_dir), features(spark, sf_dir)[1])
 
 
 @query("attach_context", f"""with {market_feature_sql()}, {monthly_feature_sql()}, {FACTS_SQL}
@@ -222,7 +225,7 @@ left join monthly on month = least(strftime(posted_at, '%Y-%m'), (select max(mon
 def with_context(spark, sf_dir):
     rows = facts(spark, sf_dir)
     gate_on = fit_gate(rows).first()["gate_on"]
-    return rounded(attach_context(rows, *features(spark, sf_dir), gate_on), *CONTEXT_COLUMNS)
+    return attach_context(rows, *features(spark, sf_dir), gate_on)
 
 
 _QUOTES = """r as (

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from quoinlake.operators.clean import parse_listings, sale_scope, with_tier, with_unit_price
 from quoinlake.fixed_values import DISTRICT_TIERS
 from quoinlake.operators.dedup import latest_per_key, newest_first
+from quoinlake.operators.sizing import spread
 from quoinlake.plans.catalog.registry import table, values_of
+from quoinlake.workspace import new_folder
 
 
 def every(n: int, *key: str) -> "F.Column":
@@ -22,7 +24,7 @@ def every(n: int, *key: str) -> "F.Column":
 
 def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RAW_LISTING text columns plus dt."""
-    line = table(spark, sf_dir, "lineitem")
+    line = spread(table(spark, sf_dir, "lineitem"))
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     joined = line.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     ad_id = F.concat_ws("-", "l_orderkey", "l_linenumber")
@@ -90,7 +92,7 @@ pool as (
   select sale.*, rank_quan::int as rank_quan
   from sale left join {values_of(DISTRICT_TIERS, "t", "district", "rank_quan")} using (district))"""
 
-TIES = ["price", "area", "district", "floors", "latitude", "longitude", "interior", "property_type", "bedrooms",
+TIES = ["ad_id", "price", "area", "district", "floors", "latitude", "longitude", "interior", "property_type", "bedrooms",
         "posted_at"]
 
 
@@ -101,7 +103,7 @@ def newest_listings(pool: DataFrame) -> DataFrame:
 NEWEST_SQL = f"""{POOL_SQL},
 newest as (
   select * from pool qualify row_number() over (partition by url order by dt desc nulls last,
-    price nulls first, area nulls first, district nulls first, floors nulls first, latitude nulls first,
+    ad_id nulls first, price nulls first, area nulls first, district nulls first, floors nulls first, latitude nulls first,
     longitude nulls first, interior nulls first, property_type nulls first, bedrooms nulls first,
     posted_at nulls first) = 1)"""
 
@@ -142,6 +144,13 @@ preds as (
 
 # --- market and monthly series -----------------------------------------------
 
+def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """A series written once as its own small table, as a deployment keeps it."""
+    folder = new_folder(spark, name)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def market_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MARKET_RAW shape: quotes on two days out of three, FX missing on some of them."""
     orders = table(spark, sf_dir, "orders")
@@ -157,6 +166,7 @@ def market_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+
 MARKET_SQL = """quotes as (
   select o_orderdate::date as d, max(o_totalprice) as gold,
     case when day(o_orderdate::date) % 5 <> 0 then max(o_orderkey)::double end as usdvnd,
@@ -191,6 +201,7 @@ def macro_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+
 MONTHLY_SQL = """months as (
   select date_trunc('month', o_orderdate)::date as m, count(*)::double as cpi, max(o_totalprice) as rate
   from orders where (year(o_orderdate) * 12 + month(o_orderdate)) % 7 <> 0 group by 1),
