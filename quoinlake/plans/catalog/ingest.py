@@ -10,9 +10,9 @@ from quoinlake.plans.catalog.registry import query, table
 from quoinlake.plans.catalog.standins import every
 from quoinlake.schemas import RAW_LISTING
 from quoinlake.sources.jdbc import serving_types
-from quoinlake.sources.tables import overwrite_partitions, read_table, write_if_absent
+from quoinlake.sources.tables import latest_version, overwrite_partitions, read_table, write_if_absent
 from quoinlake.streaming.landing import (
-    drop_retries, file_values, json_values, land, latest_version, read_json_stream, upsert_stream, with_dt,
+    drop_retries, file_values, json_values, land, read_json_stream, upsert_stream, with_dt,
 )
 from quoinlake.workspace import new_folder
 
@@ -75,7 +75,7 @@ def stream_json_ingest(spark, sf_dir):
     return day_counts(spark.read.parquet(f"{folder}/listings_raw"), "price")
 
 
-@query("stream_dedup")
+@query("stream_dedup", f"with {CRAWL_SQL} select {DAY_COUNTS} from crawl where dt is not null group by dt")
 def stream_dedup(spark, sf_dir):
     """Every message sent twice; redeliveries within the hour are dropped."""
     folder = new_folder(spark, "retries")

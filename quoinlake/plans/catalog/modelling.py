@@ -87,12 +87,12 @@ def labels(spark, sf_dir):
 @query("one_hot", f"""with {RAW_SQL},
 known as (select property_type, count(*) as n from raw where property_type is not null group by 1),
 ranked as (select property_type, row_number() over (order by n desc, property_type) - 1 as i from known)
-select raw.ad_id, coalesce(i = 0, false)::int as pt_0, coalesce(i = 1, false)::int as pt_1, (i is null)::int as pt_unseen
+select raw.ad_id, coalesce(i = 0, false)::int as pt_0, coalesce(i = 1, false)::int as pt_1, coalesce(i = 2, false)::int as pt_2, (i is null)::int as pt_unseen
 from raw left join ranked using (property_type)""")
 def hot(spark, sf_dir):
     raw = raw_listings(spark, sf_dir)
     labels_in_order = [r["label"] for r in label_index(raw, "property_type").orderBy("label_idx").collect()]
-    return one_hot(raw, "property_type", labels_in_order, "pt").select("ad_id", "pt_0", "pt_1", "pt_unseen")
+    return one_hot(raw, "property_type", labels_in_order, "pt").select("ad_id", "pt_0", "pt_1", "pt_2", "pt_unseen")
 
 
 @query("std_scale", f"""

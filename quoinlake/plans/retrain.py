@@ -14,8 +14,10 @@ from quoinlake.operators.model import (
     Case, ablate, best_model, current_pointer, metrics_rows, promotion_decision, save_model, stable_split,
 )
 from quoinlake.plans.lake import Lake
-from quoinlake.schemas import MACRO_MONTHLY, METRICS, PROMOTIONS
-from quoinlake.sources.tables import append_table, overwrite_partitions, overwrite_table, table_exists
+from quoinlake.schemas import METRICS, PROMOTIONS
+from quoinlake.sources.tables import (
+    append_table, latest_version, overwrite_partitions, overwrite_table, table_exists,
+)
 
 KEY = ["url"]
 
@@ -23,7 +25,7 @@ KEY = ["url"]
 def context_tables(spark: SparkSession, lake: Lake) -> tuple[DataFrame, DataFrame]:
     """Daily and monthly feature tables from the stored series."""
     daily = market_features(market_quotes(spark.read.parquet(lake.market)))
-    monthly = monthly_features(spark.read.schema(MACRO_MONTHLY).parquet(lake.monthly))
+    monthly = monthly_features(latest_version(spark, lake.monthly))
     return daily, monthly
 
 

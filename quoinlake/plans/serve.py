@@ -17,6 +17,7 @@ from quoinlake.fixed_values import LABEL
 from quoinlake.plans.lake import Lake
 from quoinlake.plans.retrain import KEY, context_tables, retrain, versions_rmse
 from quoinlake.schemas import DRIFT_LOG, PROMOTIONS
+from quoinlake.sources.jdbc import JdbcTarget, jdbc_append, jdbc_read, serving_types
 from quoinlake.sources.tables import append_table, overwrite_partitions, read_table, table_exists
 
 
@@ -64,6 +65,26 @@ def check_drift(spark: SparkSession, lake: Lake, scored: DataFrame, version: str
     return any(r["drift"] for r in rows)
 
 
+SERVED_KEY = ["id", "model_version", "scored_at"]
+
+
+def not_yet_served(preds: DataFrame, served: DataFrame) -> DataFrame:
+    """Predictions whose (id, model version, time) the serving table lacks; NULL ids included."""
+    keys = [F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}")) for k in SERVED_KEY]
+    return preds.alias("p").join(served.select(*SERVED_KEY).alias("s"), keys, "left_anti")
+
+
+def load_predictions(
+    spark: SparkSession, lake: Lake, target: JdbcTarget, version: str, scored_at: str, table: str = "predictions"
+) -> None:
+    """Append one batch to the serving database; a repeated load adds nothing."""
+    batch = spark.read.parquet(lake.predictions).where(
+        (F.col("model_version") == version) & (F.col("scored_at") == scored_at)
+    )
+    served = jdbc_read(spark, target, table).where(F.col("model_version") == version)
+    jdbc_append(not_yet_served(serving_types(batch), served), target, table)
+
+
 @dataclass(frozen=True)
 class DayResult:
     version: str

@@ -20,12 +20,14 @@ def read_table(
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a Parquet table can be read at the path, on whatever file system it lies."""
+    """Whether a Parquet table lies at the path, on whatever file system it is."""
     try:
         spark.read.parquet(path)
         return True
-    except AnalysisException:
-        return False
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
 
 
 def read_seed_csv(spark: SparkSession, path: str, **names) -> DataFrame:
@@ -68,6 +70,28 @@ def only_absent(df: DataFrame, existing: "DataFrame | None", part: str) -> DataF
 
 
 def write_if_absent(spark: SparkSession, df: DataFrame, path: str, part: str = "dt") -> None:
-    """Ingest partitions once: rows of a partition already there are skipped."""
+    """Ingest partitions once: rows of a partition already there are skipped.
+
+    `part` alone is read of the target: its values come from the folder names.
+    """
     existing = spark.read.parquet(path) if table_exists(spark, path) else None
     balanced(only_absent(df, existing, part), [part]).write.mode("append").partitionBy(part).parquet(path)
+
+
+def newest_version(spark: SparkSession, path: str) -> "int | None":
+    if not table_exists(spark, path):
+        return None
+    return spark.read.parquet(path).agg(F.max("version")).first()[0]
+
+
+def latest_version(spark: SparkSession, path: str) -> DataFrame:
+    """Current rows of a small table kept as whole versions."""
+    newest = newest_version(spark, path)
+    return spark.read.parquet(path).where(F.col("version") == F.lit(newest)).drop("version")
+
+
+def write_version(spark: SparkSession, df: DataFrame, path: str) -> int:
+    """Write the next version; readers keep the one they opened, and `df` may read the last."""
+    version = (newest_version(spark, path) or 0) + 1
+    overwrite_table(df, f"{path}/version={version}")
+    return version

@@ -33,6 +33,12 @@ def json_values(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def publish_kafka(messages: DataFrame, servers: str, topic: str) -> None:
+    """Send a `value` column to a topic. Needs the Kafka package."""
+    options = {"kafka.bootstrap.servers": servers, "topic": topic, "kafka.retries": "3"}
+    messages.write.format("kafka").options(**options).save()
+
+
 def with_dt(df: DataFrame, ts: str = "crawled_at") -> DataFrame:
     """Day partition of the event time. Rows without a readable time have no partition: dropped."""
     return df.withColumn("dt", F.to_date(F.try_to_timestamp(F.col(ts).cast("string")))).where("dt is not null")
@@ -85,9 +91,3 @@ def upsert_stream(
         .trigger(availableNow=True)
         .start()
     )
-
-
-def latest_version(spark: SparkSession, path: str) -> DataFrame:
-    versions = spark.read.parquet(path)
-    newest = versions.agg(F.max("version")).first()[0]
-    return versions.where(F.col("version") == newest).drop("version")

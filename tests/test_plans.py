@@ -5,10 +5,11 @@ import pytest
 
 from quoinlake.operators.model import model_cases
 from quoinlake.plans.lake import Lake
+from quoinlake.plans.macro import enter_months, ingest_market, months as stored_months, seed_months
 from quoinlake.plans.retrain import promote, versions_rmse
-from quoinlake.plans.serve import serve
+from quoinlake.plans.serve import not_yet_served, serve
 from quoinlake.schemas import MACRO_MONTHLY, MARKET_RAW, RAW_LISTING
-from quoinlake.sources.tables import overwrite_partitions, overwrite_table
+from quoinlake.sources.tables import overwrite_partitions
 from quoinlake.streaming.landing import with_dt
 
 DAY = dt.date(2025, 9, 1)
@@ -36,12 +37,30 @@ def lake(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("lake")
     lake = Lake(str(root / "lake"), str(root / "models"))
     days = [(str(dt.date(2024, 6, 1) + dt.timedelta(days=i)), 2000.0 + i, 25000.0 + i, 1200.0 + i) for i in range(300)]
-    overwrite_table(spark.createDataFrame(days, MARKET_RAW), lake.market)
+    for _ in range(2):
+        ingest_market(spark, lake, spark.createDataFrame(days, MARKET_RAW), "backfill-2025-03-27")
+    assert spark.read.parquet(lake.market).count() == 300
     months = [(f"{2024 + m // 12}-{m % 12 + 1:02d}", 100.0 + m, 4.0) for m in range(20)]
-    overwrite_table(spark.createDataFrame(months, MACRO_MONTHLY), lake.monthly)
+    seed_months(spark, lake, spark.createDataFrame(months, MACRO_MONTHLY))
     return lake
 
 
+def test_entered_months_win_over_the_seed(spark, lake):
+    entered = spark.createDataFrame([("2024-01", 90.0, 5.0, 1), ("2030-01", 0.0, 1.0, 2)],
+                                    "month string, cpi double, rate double, n int")
+    enter_months(spark, lake, entered, "n")
+    seed_months(spark, lake, spark.createDataFrame([("2024-01", 1.0, 1.0), ("2025-09", 120.0, 4.0)], MACRO_MONTHLY))
+    rows = {r["month"]: r["cpi"] for r in stored_months(spark, lake).collect()}
+    assert rows["2024-01"] == 90.0 and rows["2025-09"] == 120.0 and len(rows) == 21 and "2030-01" not in rows
+
+
+def test_a_repeated_load_serves_nothing_twice(spark):
+    preds = spark.createDataFrame([(1, "v", "t", 5.0), (None, "v", "t", 6.0), (2, "v", "t", 7.0)],
+                                  "id long, model_version string, scored_at string, x double")
+    served = preds.where("id = 1 or id is null")
+    assert [r["id"] for r in not_yet_served(preds, served).collect()] == [2]
+
+
 def cases():
     return model_cases(trees=(3,), forest_depths=(3,), boost_depths=(2,), rounds=(2,))
 

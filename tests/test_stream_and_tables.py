@@ -8,10 +8,10 @@ from quoinlake.operators.dedup import newest_first
 from quoinlake.schemas import MACRO_MONTHLY, RAW_LISTING
 from quoinlake.sources.jdbc import JdbcTarget, SplitBy, serving_types
 from quoinlake.sources.tables import (
-    overwrite_partitions, read_seed_csv, read_series_csv, read_table, table_exists, write_if_absent,
+    latest_version, overwrite_partitions, read_seed_csv, read_series_csv, read_table, table_exists, write_if_absent,
 )
 from quoinlake.streaming.landing import (
-    drop_retries, file_values, json_values, land, latest_version, read_json_stream, upsert_stream, with_dt,
+    drop_retries, file_values, json_values, land, read_json_stream, upsert_stream, with_dt,
 )
 from quoinlake.workspace import new_folder, shared_root
 
