@@ -38,18 +38,8 @@ def hash_percent(*key: "Column | str") -> Column:
 def epoch_ms(c: "Column | str") -> Column:
     """Milliseconds since 1970 as 'yyyy-MM-dd HH:mm:ss' in UTC, whatever the session zone."""
     seconds = F.floor(as_col(c).cast("bigint") / 1000)
-    midnight = F.date_from_unix_date(F.floor(seconds / 86400).cast("int"))
-    clock = F.pmod(seconds, F.lit(86400))
-
-    def two(x: Column) -> Column:
-        return F.lpad(x.cast("bigint").cast("string"), 2, "0")
-
-    return F.concat(
-        midnight.cast("string"), F.lit(" "),
-        two(F.floor(clock / 3600)), F.lit(":"),
-        two(F.floor(F.pmod(clock, F.lit(3600)) / 60)), F.lit(":"),
-        two(F.pmod(clock, F.lit(60))),
-    )
+    since = F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+    return (F.lit("1970-01-01").cast("timestamp_ntz") + since).cast("string")
 
 
 def month_key(c: "Column | str") -> Column:

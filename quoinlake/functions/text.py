@@ -32,11 +32,8 @@ def first_filled(*candidates: "Column | str") -> Column:
 
     JSON producers write absent fields as null, "" or 0 alike, so all three fall through.
     """
-    usable = []
-    for c in candidates:
-        text = as_col(c).cast("string")
-        usable.append(F.when((text != "") & (F.coalesce(text.try_cast("double"), F.lit(1.0)) != 0), text))
-    return F.coalesce(*usable)
+    texts = [as_col(c).cast("string") for c in candidates]
+    return F.coalesce(*[F.when(~t.rlike(r"^(-?0+(\.0+)?)?$"), t) for t in texts])
 
 
 def label_of(code: "Column | str", labels: dict[int, str], fallback: "Column | None" = None) -> Column:
