@@ -11,7 +11,8 @@ from quoinlake.operators.context import (
 from quoinlake.operators.dedup import latest_per_key, newest_first
 from quoinlake.operators.impute import impute_fit, impute_train
 from quoinlake.operators.model import (
-    Case, ablate, best_model, current_pointer, metrics_rows, promotion_decision, save_model, stable_split,
+    Case, ablate, best_model, current_pointer, is_training, metrics_rows, promotion_decision, save_model,
+    stable_split,
 )
 from quoinlake.plans.lake import Lake
 from quoinlake.schemas import METRICS, PROMOTIONS
@@ -67,9 +68,8 @@ def train(
     if not context:
         rows += [{**r, "features": "no_macro"} for r in rows]
         models |= {(name, "no_macro"): m for (name, _), m in list(models.items())}
-    counts = feats.agg(F.count(F.lit(1))).first()[0]
-    n_train = train_rows.count()
-    stored = metrics_rows(rows, version, datetime.now(timezone.utc), n_train, counts - n_train)
+    n_rows, n_train = feats.agg(F.count(F.lit(1)), F.count_if(is_training(KEY))).first()
+    stored = metrics_rows(rows, version, datetime.now(timezone.utc), n_train, n_rows - n_train)
     table = spark.createDataFrame(stored, METRICS)
     chosen = best_model(table).first()
     save_model(models[(chosen["model"], chosen["features"])], lake.models, version)
