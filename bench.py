@@ -18,17 +18,17 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 HEADLINE = [
     # parse, scope, derive
-    "parse_types", "scope_filter", "tier_map", "calendar_features", "json_coalesce", "html_strip", "regex_backfill",
+    "parse_types", "calendar_features", "json_coalesce", "html_strip", "regex_backfill",
     # fit once, apply frozen
-    "dedup_latest", "iqr_bounds", "iqr_sequential", "impute_fit", "impute_train", "impute_serve",
+    "dedup_latest", "iqr_bounds", "impute_fit", "impute_train", "impute_serve",
     # series and as-of joins
-    "forward_fill", "forward_fill_blocks", "trailing_mean_90d", "trailing_pct_90d", "monthly_lags", "series_merge",
-    "asof_daily", "asof_monthly", "attach_context", "asof_backward", "asof_unkeyed",
+    "forward_fill_blocks", "trailing_mean_90d", "monthly_lags", "series_merge",
+    "attach_context", "asof_backward", "asof_unkeyed",
     # score and report
-    "undervalued_flag", "prediction_projection", "regression_metrics", "drift_check", "promotion_decision",
-    "flagged_by_group", "group_actual_vs_pred", "gap_histogram", "topk_undervalued", "batch_kpis", "list_batches",
+    "undervalued_flag", "regression_metrics", "promotion_decision", "flagged_by_group",
+    "group_actual_vs_pred", "gap_histogram", "topk_undervalued", "batch_kpis",
     # tables and streams
-    "upsert_latest", "insert_missing", "stream_json_ingest", "append_idempotent", "label_index", "std_scale",
+    "upsert_latest", "stream_json_ingest", "append_idempotent", "label_index", "std_scale",
 ]
 
 

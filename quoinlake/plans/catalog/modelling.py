@@ -5,6 +5,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quoinlake.fixed_values import CONTEXT_COLUMNS
 from quoinlake.functions.numeric import exact_round, hash_percent
 from quoinlake.operators.context import attach_context, context_present, fit_gate
 from quoinlake.operators.features import (
@@ -18,9 +19,11 @@ from quoinlake.operators.model import (
 from quoinlake.operators.score import flag_undervalued, score, to_predictions, with_total_value
 from quoinlake.operators.sizing import BROADCAST_ROWS
 from quoinlake.plans.catalog.registry import dec, query, table
+from quoinlake.plans.catalog.pool import FIT_SQL
 from quoinlake.plans.catalog.series import features
 from quoinlake.plans.catalog.standins import (
-    NEWEST_SQL, PRED_SQL, RAW_SQL, newest_listings, predictions, raw_listings, sale_pool,
+    NEWEST_SQL, PRED_SQL, RAW_SQL, market_feature_sql, monthly_feature_sql, newest_listings, predictions, raw_listings,
+    sale_pool, stored,
 )
 from quoinlake.workspace import new_folder
 
@@ -177,16 +180,40 @@ def promotion(spark, sf_dir):
 def train_features(spark, sf_dir) -> DataFrame:
     """The training table written once: newest listings, imputed, with their context."""
     pool = sale_pool(spark, sf_dir)
-    folder = new_folder(spark, "train")
-    newest_listings(pool).write.parquet(f"{folder}/newest")
-    newest = spark.read.parquet(f"{folder}/newest")
+    newest = stored(spark, newest_listings(pool), "newest")
     clean = impute_train(newest, impute_fit(newest))
     gate_on = fit_gate(clean).first()["gate_on"]
-    attach_context(clean, *features(spark, sf_dir), gate_on).write.parquet(f"{folder}/features")
-    return spark.read.parquet(f"{folder}/features")
-
-
-@query("feature_vector")
+    return stored(spark, attach_context(clean, *features(spark, sf_dir), gate_on), "features")
+
+
+def _vector_sql() -> str:
+    """The same vector in SQL: fill by mean, one column per label, divide by deviation, add up."""
+    whole = ["bedrooms", "floors", "rank_quan", "year", "month", "quarter", "dayofweek"]
+    numbers = ["log_area", *whole, *CONTEXT_COLUMNS]
+    labels = {"property_type": ["A", "N", "R", "UNKNOWN"], "interior": ["Nội thất F", "Nội thất O", "UNKNOWN"]}
+    hot = {f"{c}_{i}": f"(coalesce({c}, 'UNKNOWN') = '{label}')::int"
+           for c, known in labels.items() for i, label in enumerate(known)}
+    every_column = [*numbers, *hot]
+    mean = {c: f"trunc(avg({c}))" if c in whole else f"avg({c})" for c in numbers}
+    return f"""with {FIT_SQL}, {market_feature_sql()}, {monthly_feature_sql()},
+clean as (
+  select url, ln(area) as log_area, coalesce(bedrooms, (select bedrooms from med)) as bedrooms, coalesce(floors, 1) as floors,
+    rank_quan, year(posted_at) as year, month(posted_at) as month, quarter(posted_at) as quarter,
+    dayofweek(posted_at) + 1 as dayofweek, interior, property_type, posted_at from pass2),
+joined as (
+  select clean.*, {', '.join(f'{dec(c, 4)} as {c}' for c in CONTEXT_COLUMNS)}
+  from clean left join daily on posted_at is not null and d = least(posted_at::date, (select max(d) from daily))
+  left join monthly on posted_at is not null and monthly.month = least(strftime(posted_at, '%Y-%m'), (select max(month) from monthly))),
+means as (select {', '.join(f'{m} as {c}' for c, m in mean.items())} from joined),
+vec as (
+  select url, {', '.join(f'coalesce(j.{c}, means.{c}) as {c}' for c in numbers)},
+    {', '.join(f'{e} as {c}' for c, e in hot.items())} from joined j, means),
+stds as (select {', '.join(f'nullif(stddev_samp({c}), 0) as {c}' for c in every_column)} from vec)
+select url, {len(every_column) + len(labels)} as dim,
+  {dec(' + '.join(f'coalesce(vec.{c} / stds.{c}, 0)' for c in every_column), 3)} as total from vec, stds"""
+
+
+@query("feature_vector", _vector_sql())
 def feature_vector(spark, sf_dir):
     """Vector length and value sum of every training row."""
     feats = train_features(spark, sf_dir)

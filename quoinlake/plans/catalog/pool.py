@@ -12,7 +12,7 @@ from quoinlake.operators.impute import (
 )
 from quoinlake.plans.catalog.registry import dec, query, table, values_of
 from quoinlake.plans.catalog.standins import (
-    NEWEST_SQL, POOL_SQL, RAW_SQL, newest_listings, raw_listings, sale_pool,
+    NEWEST_SQL, POOL_SQL, RAW_SQL, newest_listings, raw_listings, sale_pool, stored,
 )
 
 PARSED = ["ad_id", "price", "area", "bedrooms", "floors", "latitude", "longitude", "posted_at"]
@@ -146,7 +146,8 @@ _FILLED = """url, dt, price, area, district, coalesce(bedrooms, (select bedrooms
 
 @query("impute_train", f"with {FIT_SQL} select {_FILLED} from pass2")
 def imputed_for_training(spark, sf_dir):
-    newest = newest_listings(sale_pool(spark, sf_dir))
+    """The de-duplicated pool is written once, for the fit and for the rows."""
+    newest = stored(spark, newest_listings(sale_pool(spark, sf_dir)), "newest")
     return listing_rows(impute_train(newest, impute_fit(newest)))
 
 

@@ -13,14 +13,11 @@ from quoinlake.sources.tables import overwrite_table, table_exists
 
 def kafka_values(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     """One topic from its earliest offset, surviving expired offsets. Needs the Kafka package."""
-    return (
-        spark.readStream.format("kafka")
-        .option("kafka.bootstrap.servers", servers)
-        .option("subscribe", topic)
-        .option("startingOffsets", "earliest")
-        .option("failOnDataLoss", "false")
-        .load()
-    )
+    options = {
+        "kafka.bootstrap.servers": servers, "subscribe": topic,
+        "startingOffsets": "earliest", "failOnDataLoss": "false",
+    }
+    return spark.readStream.format("kafka").options(**options).load()
 
 
 def file_values(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
@@ -59,15 +56,8 @@ def drop_retries(stream: DataFrame, key: str = "ad_id", ts: str = "crawled_at",
 
 def land(stream: DataFrame, path: str, checkpoint: str, by: str = "dt") -> StreamingQuery:
     """Write everything available as new Parquet files and stop. Restarts continue exactly once."""
-    return (
-        stream.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .partitionBy(by)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = stream.writeStream.trigger(availableNow=True).partitionBy(by).outputMode("append")
+    return writer.start(path, format="parquet", checkpointLocation=checkpoint)
 
 
 def upsert_stream(
