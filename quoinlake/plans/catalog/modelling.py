@@ -33,11 +33,12 @@ GROUP = ["district", "property_type_known"]
 def group_mean_scored(spark, sf_dir) -> DataFrame:
     """Newest sale listings, each priced at the mean of its district and type.
 
-    The means are broadcast only after the groups of the scan are counted; the facts are
-    then de-duplicated in one shuffle and not moved again.
+    The means are broadcast only after the groups of the unfiltered scan, a bound on theirs,
+    are counted; the facts are then de-duplicated in one shuffle and not moved again.
     """
+    groups = raw_listings(spark, sf_dir, dealt_out=False).select("district", "property_type").distinct()
+    n_groups = groups.limit(BROADCAST_ROWS + 1).count()
     pool = sale_pool(spark, sf_dir).withColumn("property_type_known", F.coalesce("property_type", F.lit("UNKNOWN")))
-    n_groups = pool.select(*GROUP).distinct().limit(BROADCAST_ROWS + 1).count()
     newest = newest_listings(pool)
     means = newest.groupBy(*GROUP).agg(exact_round(F.avg("price_per_m2"), 6).alias("predicted_ppm2"))
     scored = newest.join(F.broadcast(means) if n_groups <= BROADCAST_ROWS else means, GROUP)

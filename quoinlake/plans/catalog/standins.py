@@ -22,9 +22,10 @@ def every(n: int, *key: str) -> "F.Column":
 
 # --- raw listings ------------------------------------------------------------
 
-def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_listings(spark: SparkSession, sf_dir: str, dealt_out: bool = True) -> DataFrame:
     """RAW_LISTING text columns plus dt."""
-    line = spread(table(spark, sf_dir, "lineitem"))
+    line = table(spark, sf_dir, "lineitem")
+    line = spread(line) if dealt_out else line
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     joined = line.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     ad_id = F.concat_ws("-", "l_orderkey", "l_linenumber")
