@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -21,4 +21,16 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder below the shared root; it is removed when the application ends."""
+    folder = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` once to the shared folder and read it back: the cut of a lineage."""
+    spark, folder = df.sparkSession, new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
