@@ -1,8 +1,10 @@
 """Registered queries of the training-data operators, with the SQL that checks them."""
 
 from quoinlake.llm.chat import CHAT_SQL, chat_query
+from quoinlake.llm.jaccard import jaccard_query
 from quoinlake.llm.pii import pii_query
 from quoinlake.llm.warc import WARC_SQL, warc_query
 
-QUERIES = {"op2_chat_format": chat_query, "op4_warc": warc_query, "op6_pii": pii_query}
+QUERIES = {"op2_chat_format": chat_query, "op4_warc": warc_query, "op5_jaccard_join": jaccard_query,
+    "op6_pii": pii_query}
 SQL = {"op2_chat_format": CHAT_SQL, "op4_warc": WARC_SQL}
