@@ -1,0 +1,72 @@
+"""Consistent weighted sampling against exact generalised Jaccard and a plain loop over neighbours."""
+
+import hashlib
+import random
+
+import numpy as np
+
+from quoinlake.llm import sampling
+from quoinlake.llm.sampling import fingerprint_query, fingerprinted, fingerprints, likeness, samples, with_next
+
+SF = "/root/testdata/sf0.001"
+
+
+def generalised(a, b):
+    keys = set(a) | set(b)
+    return sum(min(a.get(k, 0), b.get(k, 0)) for k in keys) / sum(max(a.get(k, 0), b.get(k, 0)) for k in keys)
+
+
+def test_collision_rate_is_generalised_jaccard():
+    r = random.Random(1)
+    errors = []
+    for _ in range(60):
+        a = {r.randrange(sampling.FEATURES): r.randint(1, 6) for _ in range(80)}
+        b = {k: r.randint(1, 6) for k in a if r.random() < 0.7} | {r.randrange(sampling.FEATURES): 2 for _ in range(10)}
+        x = samples(np.array(list(a)), np.array(list(a.values())))
+        y = samples(np.array(list(b)), np.array(list(b.values())))
+        errors.append(likeness(x, y) - generalised(a, b))
+    assert abs(np.mean(errors)) < 0.02 and np.abs(errors).max() < 0.2
+
+
+def expected(rows):
+    rows = sorted(rows, key=lambda r: r[0])
+    out = {}
+    for i, (doc_id, text) in enumerate(rows):
+        text, nxt = text or "", rows[(i + 1) % len(rows)][1] or ""
+        n = len(text) // 4
+        changed = text[: len(text) - n] + nxt[:n]
+        f, g, h = fingerprints([text, changed, nxt])
+        out[doc_id] = (len(text), hashlib.sha256(changed.encode()).hexdigest(), likeness(f, g), likeness(f, h))
+    return out
+
+
+def check(rows, got):
+    want = expected(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"]) == want[r["doc_id"]]
+
+
+def test_query_over_whole_texts(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    got = fingerprint_query(spark, SF).collect()
+    check(rows, got)
+    assert np.mean([r["near_edited"] for r in got]) > np.mean([r["near_next"] for r in got]) + 0.3
+
+
+def test_many_ranges_nulls_and_empty_texts(spark, monkeypatch):
+    rows = [(7 * i % 101, f"text é {i} " * (i % 7)) for i in range(100)] + [(500, None), (501, ""), (502, "one")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, part int")
+    monkeypatch.setattr(sampling, "with_next", lambda d, k, t: with_next(d, k, t, rows_in_range=7))
+    check(rows, fingerprinted(df, "doc_id", "text").collect())
+
+
+def test_equal_texts_and_ends(spark):
+    f = fingerprints(["a b c", "a b c", "", " \n", "z"])
+    assert likeness(f[0], f[1]) == 1 and likeness(f[2], f[3]) == 1 and likeness(f[0], f[2]) == 0
+    df = spark.createDataFrame([(None, "x y"), (1, "x y"), (1, "b")], "doc_id long, text string")
+    got = fingerprinted(df, "doc_id", "text").collect()
+    assert len(got) == 3 and len({r["fingerprint"] for r in got}) == 2
+    one = fingerprinted(df.where("doc_id is null"), "doc_id", "text").collect()
+    assert one[0]["near_next"] == 1.0
+    assert fingerprinted(df.limit(0), "doc_id", "text").count() == 0
