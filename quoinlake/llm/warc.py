@@ -52,19 +52,18 @@ def captures(df: DataFrame, key: str, url: str, payload: str) -> DataFrame:
 
 
 def with_revisits(rows: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Add `n` and, for repeats of a payload, the response's id and number as `first`.
+    """Add `n`, which numbers equal rows of an id, and for repeats of a payload the response's id as `first`.
 
-    Only ids, digests and sizes are shuffled to find the first of each digest. One digest
-    may hold most rows: minima combine before the shuffle and the join splits skewed sides.
+    Only ids, digests and sizes are shuffled to find the first of each repeated digest. One
+    digest may hold most rows: minima combine before the shuffle and the join splits skewed
+    sides. The payloads move once, for the numbering and the join alike.
     """
-    by_id = Window.partitionBy("id").orderBy("digest", "url")
-    ids = rows.withColumn("n", F.row_number().over(by_id))
-    firsts = ids.where(F.col("octets") >= least_bytes).groupBy("digest", "octets").agg(
-        F.min(F.struct("id", "n")).alias("first")
-    )
-    joined = ids.join(firsts, ["digest", "octets"], "left")
-    own = (F.col("first.id") == F.col("id")) & (F.col("first.n") == F.col("n"))
-    return joined.withColumn("first", F.when(~own, F.col("first")))
+    slim = rows.where(F.col("octets") >= least_bytes).select("id", "digest")
+    firsts = slim.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    facts = slim.join(firsts.where("copies > 1").drop("copies"), "digest").select("id", "digest", "first").distinct()
+    equal = Window.partitionBy("id", "digest").orderBy("url")
+    numbered = rows.withColumn("n", F.row_number().over(equal)).join(facts, ["id", "digest"], "left")
+    return numbered.withColumn("first", F.when((F.col("first") != F.col("id")) | (F.col("n") > 1), F.col("first")))
 
 
 def _uuid(kind: str, *of: Column) -> Column:
@@ -91,8 +90,9 @@ def _one_line(c: Column) -> Column:
 
 def write_warc(rows: DataFrame, folder: str, captured: str = "2025-01-01T00:00:00Z") -> None:
     """Write captures (see `with_revisits`) as gzip files of WARC records."""
-    me, url = _uuid("response", F.col("id"), F.col("n")), _one_line(F.col("url"))
-    first = _uuid("response", F.col("first.id"), F.col("first.n"))
+    key = (F.col("id"), F.col("digest"), F.col("n"))
+    me, url = _uuid("response", *key), _one_line(F.col("url"))
+    first = _uuid("response", F.col("first"), F.col("digest"), F.lit(1))
     common = {"WARC-Date": F.lit(captured), "WARC-Target-URI": url}
     digest = {"WARC-Payload-Digest": F.concat(F.lit("sha1:"), F.col("digest"))}
     response = _record("response", me, {**common, **digest}, F.concat(F.lit(HTTP_OK), F.col("payload")))
@@ -100,11 +100,11 @@ def write_warc(rows: DataFrame, folder: str, captured: str = "2025-01-01T00:00:0
         "revisit", me, {**common, **digest, "WARC-Profile": F.lit(PROFILE), "WARC-Refers-To": first}, F.lit(HTTP_OK)
     )
     request = _record(
-        "request", _uuid("request", F.col("id"), F.col("n")), {**common, "WARC-Concurrent-To": me},
+        "request", _uuid("request", *key), {**common, "WARC-Concurrent-To": me},
         F.concat(F.lit("GET / HTTP/1.1\r\nHost: "), F.regexp_extract("url", "^[a-z]+://([^/\\s]*)", 1), F.lit(END)),
     )
     metadata = _record(
-        "metadata", _uuid("metadata", F.col("id"), F.col("n")), {**common, "WARC-Concurrent-To": me},
+        "metadata", _uuid("metadata", *key), {**common, "WARC-Concurrent-To": me},
         F.concat(F.lit("capture-id: "), F.col("id").cast("string"), F.lit("\r\n")),
     )
     main = F.when(F.col("first").isNull(), response).otherwise(revisit)
@@ -175,10 +175,10 @@ def transactions(records: DataFrame, contents: bool = True) -> DataFrame:
         F.col("record_id").alias("refers_to"), F.col("payload_bytes").alias("full_bytes"),
         F.col("payload_digest").alias("full_digest"),
     )
-    main = main.join(full, "refers_to", "left").withColumns({
-        "payload_bytes": F.coalesce("full_bytes", "payload_bytes"),
-        "payload_digest": F.coalesce("full_digest", "payload_digest"),
+    again = main.where("record_type = 'revisit'").join(full, "refers_to", "left").withColumns({
+        "payload_bytes": F.col("full_bytes"), "payload_digest": F.col("full_digest"),
     })
+    main = main.where("record_type = 'response'").unionByName(again.select(*main.columns))
     response = F.struct(*kept, "record_type", "refers_to", "payload_bytes", "payload_digest", "declared", *body)
     return main.select("record_id", response.alias("response")).join(about, "record_id", "left").select(
         "record_id", "request", "response", "metadata"
@@ -188,22 +188,21 @@ def transactions(records: DataFrame, contents: bool = True) -> DataFrame:
 def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages as WARC, read the files back, assemble the transactions and digest them."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    rows = captures(pages, "page_id", "url", "html")
     folder = new_folder(spark, "warc")
-    facts = with_revisits(rows.drop("payload")).where("first is not null").select("id", "n", "url", "digest", "first")
-    by_id = Window.partitionBy("id").orderBy("digest", "url")
-    write_warc(
-        rows.withColumn("n", F.row_number().over(by_id)).join(facts, ["id", "n", "url", "digest"], "left"), folder
-    )
+    write_warc(with_revisits(captures(pages, "page_id", "url", "html")), folder)
     records = read_records(spark, folder)
     slim = records.withColumn("payload", F.when(F.col("record_type") == "metadata", F.col("payload")))
     whole = transactions(stored(slim, "records"), contents=False)
     page_id = F.regexp_extract(F.decode(F.col("metadata.payload"), "UTF-8"), r"capture-id: (-?\d+)", 1).cast("bigint")
     whole = whole.withColumn("page_id", page_id)
-    named = whole.select(F.col("record_id").alias("of"), F.col("page_id").alias("refers_to"))
-    return whole.join(named, F.col("response.refers_to") == F.col("of"), "left").select(
-        "page_id", "response.payload_bytes", "response.payload_digest", "response.record_type", "refers_to"
+    facts = ["page_id", "response.payload_bytes", "response.payload_digest", "response.record_type"]
+    whole = stored(whole.select(*facts, "record_id", "response.refers_to"), "transactions")
+    named = whole.where("record_type = 'response'").select(
+        F.col("record_id").alias("refers_to"), F.col("page_id").alias("first_id")
     )
+    again = whole.where("record_type = 'revisit'").join(named, "refers_to", "left").drop("refers_to")
+    rest = whole.where("record_type = 'response'").drop("refers_to").withColumn("first_id", F.lit(None).cast("bigint"))
+    return rest.unionByName(again).drop("record_id").withColumnRenamed("first_id", "refers_to")
 
 
 _B32 = "".join(
