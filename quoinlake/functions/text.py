@@ -52,7 +52,9 @@ def kv_lookup(items: "Column | str", wanted: str) -> Column:
     return F.element_at(hits, F.when(F.size(hits) > 0, F.lit(-1)))["value"]
 
 
-_TAG = r"(?:<[^>]*>)+"
+# A tag is "<", "</" or "<!" with a letter; its quoted values may hold angle brackets.
+_TAG = r"""<[/!]?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+_GAP = "\\x00"  # stands for markup until all of it is found
 
 
 def html_text(c: "Column | str", drop: tuple[str, ...] = ("script", "style")) -> Column:
@@ -61,18 +63,18 @@ def html_text(c: "Column | str", drop: tuple[str, ...] = ("script", "style")) ->
     Comments go first; so do the elements in `drop`, with their content. Pass ``drop=()``
     to keep script and style text.
     """
-    text = F.regexp_replace(as_col(c), r"(?s)<!--.*?-->", "<>")
+    text = F.regexp_replace(as_col(c), r"(?s)<!--.*?-->", "\0")
     for tag in drop:
-        text = F.regexp_replace(text, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "<>")
-    text = F.regexp_replace(text, rf"^{_TAG}|{_TAG}$", "")
-    return unescape(F.regexp_replace(text, _TAG, " "))
+        text = F.regexp_replace(text, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "\0")
+    text = F.regexp_replace(text, _TAG, "\0")
+    return unescape(F.regexp_replace(F.regexp_replace(text, f"^{_GAP}++|{_GAP}++$", ""), f"{_GAP}++", " "))
 
 
 # Character references. The names come from the HTML5 table of the standard library.
 _COMMON = {k: html5[k] for k in ("amp;", "lt;", "gt;", "quot;", "apos;", "nbsp;")}
 _UNTERMINATED = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
 _REFERENCE = (
-    r"^&(#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[a-zA-Z][a-zA-Z0-9]*;|"
+    r"^&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*;|"
     + "|".join(_UNTERMINATED)
     + ")"
 )
@@ -83,12 +85,18 @@ def _literal_map(entries: dict[str, str]) -> Column:
     return F.from_json(F.lit(json.dumps(entries)), "map<string,string>")
 
 
+# Numbers of the C1 controls stand for the characters of windows-1252 where it has one.
+_C1 = [bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(0x80, 0xA0)]
+
+
 def _code_point(ref: Column) -> Column:
-    digits = F.regexp_extract(ref, r"([0-9a-fA-F]+);?$", 1)
-    hexed = F.when(ref.rlike("^#[xX]"), digits).otherwise(F.conv(digits, 10, 16))
+    digits = F.regexp_replace(F.regexp_extract(ref, r"([0-9a-fA-F]+);?$", 1), "^0+", "")
+    digits = F.when(F.char_length(digits) < 8, digits).otherwise("")  # no character has so many
+    is_hex = ref.rlike("^#[xX]")
+    hexed = F.when(is_hex, digits).otherwise(F.conv(digits, 10, 16))
     code = F.conv(hexed, 16, 10).cast("bigint")
     allowed = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-    return F.when(
+    return F.when(code.between(0x80, 0x9F), F.lit(_C1)[(code - 0x80).cast("int")]).when(
         allowed, F.decode(F.unhex(F.lpad(hexed, 8, "0")), "UTF-32")
     ).otherwise(F.lit("�"))
 

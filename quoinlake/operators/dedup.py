@@ -18,14 +18,16 @@ def latest_per_key(
 
     The row_number = 1 shape lets Spark keep one row per key before the shuffle
     (WindowGroupLimit), so a hot key costs one row per map task. Rows with a NULL key are
-    not duplicates of each other: they bypass the window.
+    not duplicates of each other: each has a group of its own, so `df` is computed once.
     """
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
-    ranked = df.where(known).withColumn(
-        "_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    )
-    kept = ranked.where(F.col("_rn") == 1).drop("_rn")
-    return kept.unionByName(df.where(~known)) if keep_null_keys else kept
+    if keep_null_keys:
+        df = df.withColumn("_own", F.when(~known, F.monotonically_increasing_id()))
+        key = [*key, "_own"]
+    else:
+        df = df.where(known)
+    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+    return ranked.where(F.col("_rn") == 1).drop("_rn", "_own")
 
 
 def dedup_series(df: DataFrame, on: list[str], priority: list[Column]) -> DataFrame:

@@ -13,6 +13,11 @@ def list_batches(preds: DataFrame) -> DataFrame:
     )
 
 
+def batch_rows(preds: DataFrame, version: str, scored_at: str) -> DataFrame:
+    """Rows of one scoring run; predictions are partitioned by both columns, so others are not read."""
+    return preds.where((F.col("model_version") == version) & (F.col("scored_at") == scored_at))
+
+
 def report_filter(
     preds: DataFrame, districts: "list[str] | None" = None, only_flagged: bool = False
 ) -> DataFrame:

@@ -13,17 +13,21 @@ def upsert(
     order: list[Column],
     positive: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Last write wins; a change replaces the base row of its key.
+    """Last write wins: per key the first row under `order`, of the base and the changes together.
 
-    `order` ranks several changes of one key against each other. Changes whose
-    `positive` columns are not all above zero are refused.
+    A base without a column of the order counts as having NULL there. Of equal ranks the
+    change wins. Changes whose `positive` columns are not all above zero, or whose key is
+    NULL, are refused; base rows with a NULL key stay.
     """
-    for c in positive:
+    for c in [*positive]:
         changes = changes.where(F.col(c) > 0)
-    fresh = latest_per_key(changes, key, order, keep_null_keys=False).select(*base.columns)
-    return base.join(fresh, key, "left_anti").unionByName(fresh)
+    for k in key:
+        changes = changes.where(F.col(k).isNotNull())
+    both = base.withColumn("_change", F.lit(0)).unionByName(changes.withColumn("_change", F.lit(1)), allowMissingColumns=True)
+    return latest_per_key(both, key, [*order, F.desc("_change")]).select(*base.columns)
 
 
-def insert_missing(base: DataFrame, seed: DataFrame, key: list[str]) -> DataFrame:
-    """Add seed rows whose key the base lacks; never change a base row."""
-    return base.unionByName(seed.join(base.select(*key), key, "left_anti").select(*base.columns))
+def insert_missing(base: DataFrame, seed: DataFrame, key: list[str], order: "list[Column] | None" = None) -> DataFrame:
+    """Add seed rows whose key the base lacks, one per key (the first under `order`, default all columns ascending)."""
+    first = latest_per_key(seed, key, order or [F.col(c).asc_nulls_first() for c in seed.columns])
+    return base.unionByName(first.join(base.select(*key), key, "left_anti").select(*base.columns))

@@ -95,7 +95,10 @@ select raw.ad_id, coalesce(i = 0, false)::int as pt_0, coalesce(i = 1, false)::i
 from raw left join ranked using (property_type)""")
 def hot(spark, sf_dir):
     raw = raw_listings(spark, sf_dir)
-    labels_in_order = [r["label"] for r in label_index(raw, "property_type").orderBy("label_idx").collect()]
+    ranked = label_index(raw, "property_type").orderBy("label_idx").limit(MOST_LABELS + 1).collect()
+    if len(ranked) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels do not make a vector")
+    labels_in_order = [r["label"] for r in ranked]
     return one_hot(raw, "property_type", labels_in_order, "pt").select("ad_id", "pt_0", "pt_1", "pt_2", "pt_unseen")
 
 
@@ -110,9 +113,11 @@ def scaled(spark, sf_dir):
     return out.select("l_orderkey", "l_linenumber", "l_partkey", *[exact_round(c, 4).alias(c) for c in cols])
 
 
+MOST_LABELS = 1000
+
 METRICS_SQL = f"""{PRED_SQL},
 e as (select model_version, listing_ppm2 as y, predicted_ppm2 as p,
-  case when is_undervalued then 'macro' else 'no_macro' end as features from preds where undervalued_ratio is not null),
+  case when is_undervalued then 'macro' else 'no_macro' end as features from preds),
 metrics as (
   select model_version as model, features, count(*) as n_rows, sqrt(avg((y - p) * (y - p))) as rmse,
     avg(abs(y - p)) as mae, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) as r2 from e group by all),
@@ -121,7 +126,7 @@ shown as (select model, features, n_rows, {dec('rmse', 4)} as rmse, {dec('mae',
 
 def metrics_table(spark, sf_dir) -> DataFrame:
     """A metrics table made by judging the formula predictions per year and flag."""
-    preds = predictions(spark, sf_dir).where("undervalued_ratio is not null").select(
+    preds = predictions(spark, sf_dir).select(
         F.col("model_version").alias("model"),
         F.when(F.col("is_undervalued"), "macro").otherwise("no_macro").alias("features"),
         "listing_ppm2", "predicted_ppm2")
@@ -226,15 +231,11 @@ def feature_vector(spark, sf_dir):
 
 @query("train_grid")
 def train_grid(spark, sf_dir):
-    """All three models on every training row, three folds, with and without context.
-
-    Ensembles are smaller than the defaults of `model_cases`, so that a run takes a minute.
-    """
+    """All three models with their whole grids on every training row, three folds, with and without context."""
     feats = train_features(spark, sf_dir)
     train, test = stable_split(feats, ["url"])
     sets = {"macro": context_present(feats), "no_macro": []}
-    cases = model_cases(trees=(5, 10), forest_depths=(3, 5), boost_depths=(2, 3), rounds=(3, 5))
-    rows, _ = ablate(train, test, sets, ["url"], cases, parallelism=8)
+    rows, _ = ablate(train, test, sets, ["url"], model_cases(), parallelism=8)
     return spark.createDataFrame(
         [(r["model"], r["features"], r["rmse"], r["mae"], r["r2"], r["cv_rmse_train"]) for r in rows],
         "model string, features string, rmse double, mae double, r2 double, cv_rmse_train double")

@@ -5,11 +5,13 @@ from pyspark.sql import functions as F
 from quoinlake.fixed_values import GAP_LABELS
 from quoinlake.functions.numeric import exact_round
 from quoinlake.operators.report import (
-    actual_vs_pred_by, batch_kpis, distinct_sorted, flagged_by, gap_histogram, list_batches, report_filter,
+    actual_vs_pred_by, batch_kpis, batch_rows, distinct_sorted, flagged_by, gap_histogram, list_batches, report_filter,
     top_undervalued,
 )
 from quoinlake.plans.catalog.registry import dec, query
 from quoinlake.plans.catalog.standins import PRED_SQL, predictions
+from quoinlake.sources.tables import overwrite_partitions
+from quoinlake.workspace import new_folder
 
 
 @query("report_filter", f"""with {PRED_SQL}
@@ -19,6 +21,16 @@ def filtered(spark, sf_dir):
     return rows.select("id", "district", "model_version")
 
 
+@query("batch_rows", f"""with {PRED_SQL}
+select id, district, listing_ppm2 from preds where model_version = 'v1996' and scored_at = '1996-05-01T00:00:00'""")
+def one_batch(spark, sf_dir):
+    """One scoring run of predictions written in their partitions; the other runs are pruned."""
+    folder = new_folder(spark, "predictions")
+    overwrite_partitions(predictions(spark, sf_dir), folder, ["model_version", "scored_at"])
+    kept = spark.read.option("inferSchema", False).schema(predictions(spark, sf_dir).schema).parquet(folder)
+    return batch_rows(kept, "v1996", "1996-05-01T00:00:00").select("id", "district", "listing_ppm2")
+
+
 @query("flagged_by_group", f"""with {PRED_SQL}
 select district, count(*) as n_rows from preds where is_undervalued group by 1""")
 def flagged_by_group(spark, sf_dir):

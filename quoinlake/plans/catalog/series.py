@@ -229,13 +229,12 @@ def with_context(spark, sf_dir):
 
 
 _QUOTES = """r as (
-  select substr(o_orderpriority, 1, 1)::int as key, o_orderdate as t, max({{'p': o_totalprice, 'k': o_orderkey}}) as v
-  from orders where o_custkey % {n} = 0 group by all)"""
+  select substr(o_orderpriority, 1, 1)::int as key, o_orderdate as t, max({'p': o_totalprice, 'k': o_orderkey}) as v
+  from orders group by all)"""
 
 
-def _right(spark, sf_dir, n: int) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").where(F.col("o_custkey") % n == 0)
-    return orders.select(
+def _right(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(
         F.substring("o_orderpriority", 1, 1).cast("int").alias("key"), F.col("o_orderdate").alias("t"),
         F.col("o_totalprice").alias("price"), F.col("o_orderkey").alias("orderkey"))
 
@@ -245,17 +244,17 @@ def _left(spark, sf_dir) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", (F.col("l_linenumber") % 5 + 1).alias("key"), "l_shipdate")
 
 
-@query("asof_backward", f"""with {_QUOTES.format(n=7)}
+@query("asof_backward", f"""with {_QUOTES}
 select l_orderkey, l_linenumber, l_partkey, l_linenumber % 5 + 1 as key, l_shipdate, r.v['p'] as price, r.v['k'] as orderkey
 from lineitem asof left join r on l_linenumber % 5 + 1 = r.key and l_shipdate >= r.t""")
 def asof_keyed(spark, sf_dir):
-    return asof_backward(_left(spark, sf_dir), _right(spark, sf_dir, 7), "l_shipdate", "t", ["price", "orderkey"], ["key"])
+    return asof_backward(_left(spark, sf_dir), _right(spark, sf_dir), "l_shipdate", "t", ["price", "orderkey"], ["key"])
 
 
-@query("asof_unkeyed", f"""with {_QUOTES.format(n=50)},
+@query("asof_unkeyed", f"""with {_QUOTES},
 one as (select t, max(v) as v from r group by t)
 select l_orderkey, l_linenumber, l_partkey, l_linenumber % 5 + 1 as key, l_shipdate, one.v['p'] as price, one.v['k'] as orderkey
 from lineitem asof left join one on l_shipdate >= one.t""")
 def asof_unkeyed(spark, sf_dir):
-    right = _right(spark, sf_dir, 50).drop("key")
+    right = _right(spark, sf_dir).drop("key")
     return asof_backward(_left(spark, sf_dir), right, "l_shipdate", "t", ["price", "orderkey"])

@@ -45,13 +45,12 @@ class Lake:
     def monthly(self) -> str:
         return self.table("macro_monthly")
 
-    @property
-    def stats(self) -> str:
-        return self.table("control/impute_stats")
+    def stats(self, version: str) -> str:
+        """Cleaning statistics, kept with the model that was trained on them."""
+        return self.table(f"control/v{version}/impute_stats")
 
-    @property
-    def gate(self) -> str:
-        return self.table("control/gate")
+    def gate(self, version: str) -> str:
+        return self.table(f"control/v{version}/gate")
 
     @property
     def metrics(self) -> str:

@@ -11,7 +11,7 @@ from quoinlake.operators.context import (
 from quoinlake.operators.dedup import latest_per_key, newest_first
 from quoinlake.operators.impute import impute_fit, impute_train
 from quoinlake.operators.model import (
-    Case, ablate, best_model, current_pointer, is_training, metrics_rows, promotion_decision, save_model,
+    Case, ablate, best_model, current_pointer, current_version, is_training, metrics_rows, promotion_decision, save_model,
     stable_split,
 )
 from quoinlake.plans.lake import Lake
@@ -30,23 +30,23 @@ def context_tables(spark: SparkSession, lake: Lake) -> tuple[DataFrame, DataFram
     return daily, monthly
 
 
-def fit_cleaning(spark: SparkSession, lake: Lake) -> DataFrame:
+def fit_cleaning(spark: SparkSession, lake: Lake, version: str) -> DataFrame:
     """Fit the statistics on the whole pool, store them, write the training rows."""
     pool = spark.read.parquet(lake.pool)
     newest = latest_per_key(pool, KEY, newest_first("dt", "ad_id", "price", "area"))
     # The de-duplicated pool is written once and read by every later step.
     overwrite_table(newest, f"{lake.clean}_deduped")
     deduped = spark.read.parquet(f"{lake.clean}_deduped")
-    overwrite_table(impute_fit(deduped, lake.pool), lake.stats)
-    clean = impute_train(deduped, spark.read.parquet(lake.stats))
+    overwrite_table(impute_fit(deduped, lake.pool), lake.stats(version))
+    clean = impute_train(deduped, spark.read.parquet(lake.stats(version)))
     overwrite_table(clean, lake.clean)
     return spark.read.parquet(lake.clean)
 
 
-def build_features(spark: SparkSession, lake: Lake, clean: DataFrame) -> DataFrame:
+def build_features(spark: SparkSession, lake: Lake, clean: DataFrame, version: str) -> DataFrame:
     """Fit and store the gate; add the macro columns it admits."""
-    overwrite_table(fit_gate(clean), lake.gate)
-    gate_on = spark.read.parquet(lake.gate).first()["gate_on"]
+    overwrite_table(fit_gate(clean), lake.gate(version))
+    gate_on = spark.read.parquet(lake.gate(version)).first()["gate_on"]
     feats = attach_context(clean, *context_tables(spark, lake), gate_on) if gate_on else clean
     overwrite_table(feats, lake.features)
     return spark.read.parquet(lake.features)
@@ -83,6 +83,12 @@ def versions_rmse(spark: SparkSession, lake: Lake) -> DataFrame:
     return best_model(metrics, by=["version"]).select("version", F.col("rmse").alias("baseline_rmse"))
 
 
+def version_in_force(spark: SparkSession, lake: Lake, default: str) -> str:
+    if not table_exists(spark, lake.promotions):
+        return default
+    return current_version(spark.read.schema(PROMOTIONS).parquet(lake.promotions), default)
+
+
 def promote(spark: SparkSession, lake: Lake, version: str) -> str:
     """Move the pointer if the new version is not worse; returns the decision."""
     known = versions_rmse(spark, lake).where(F.col("version") == version)
@@ -101,7 +107,10 @@ def retrain(
     spark: SparkSession, lake: Lake, version: str, cases: "list[Case] | None" = None,
     folds: int = 3, parallelism: int = 2,
 ) -> str:
-    clean = fit_cleaning(spark, lake)
-    build_features(spark, lake, clean)
+    """Train `version` and let it take over if it is not worse; the one in force is never trained over."""
+    if version_in_force(spark, lake, "") == version:
+        return "noop"
+    clean = fit_cleaning(spark, lake, version)
+    build_features(spark, lake, clean, version)
     train(spark, lake, version, cases, folds, parallelism)
     return promote(spark, lake, version)

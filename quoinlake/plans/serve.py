@@ -10,45 +10,41 @@ from quoinlake.operators.clean import pool_day
 from quoinlake.operators.context import attach_context
 from quoinlake.operators.impute import impute_serve
 from quoinlake.operators.model import (
-    Case, current_version, drift_check, load_model, regression_metrics, stable_split,
+    Case, drift_check, load_model, regression_metrics, stable_split,
 )
 from quoinlake.operators.score import score, to_predictions
 from quoinlake.fixed_values import LABEL
 from quoinlake.plans.lake import Lake
-from quoinlake.plans.retrain import KEY, context_tables, retrain, versions_rmse
-from quoinlake.schemas import DRIFT_LOG, PROMOTIONS
+from quoinlake.plans.retrain import KEY, context_tables, retrain, version_in_force, versions_rmse
+from quoinlake.schemas import DRIFT_LOG
 from quoinlake.sources.jdbc import JdbcTarget, jdbc_append, jdbc_read, serving_types
-from quoinlake.sources.tables import append_table, overwrite_partitions, read_table, table_exists
+from quoinlake.sources.tables import overwrite_day, overwrite_partitions, overwrite_table, read_table
+from quoinlake.workspace import stored
 
 
 def clean_day(spark: SparkSession, lake: Lake, day: str, **scope_args) -> DataFrame:
     """One raw day to its pool partition, replaced as a whole on a re-run."""
     raw = read_table(spark, lake.raw, day).drop("dt")
-    overwrite_partitions(pool_day(raw, day, **scope_args), lake.pool, ["dt"])
+    overwrite_day(pool_day(raw, day, **scope_args), lake.pool, day)
     return read_table(spark, lake.pool, day)
 
 
-def version_in_force(spark: SparkSession, lake: Lake, default: str) -> str:
-    if not table_exists(spark, lake.promotions):
-        return default
-    return current_version(spark.read.schema(PROMOTIONS).parquet(lake.promotions), default)
-
-
 def score_day(spark: SparkSession, lake: Lake, day: str, version: str, scored_at: str) -> DataFrame:
-    """Fill, add context under the stored gate, score, and write the batch's predictions."""
-    batch = impute_serve(read_table(spark, lake.pool, day), spark.read.parquet(lake.stats))
-    overwrite_partitions(batch, lake.scored_input, ["dt"])
+    """Fill and add context as the version's own statistics and gate say, score, and write the predictions."""
+    batch = impute_serve(read_table(spark, lake.pool, day), spark.read.parquet(lake.stats(version)))
+    overwrite_day(batch, lake.scored_input, day)
     batch = read_table(spark, lake.scored_input, day)
-    gate_on = spark.read.parquet(lake.gate).first()["gate_on"]
+    gate_on = spark.read.parquet(lake.gate(version)).first()["gate_on"]
     if gate_on:
         batch = attach_context(batch, *context_tables(spark, lake), gate_on)
     scored = score(batch, load_model(lake.models, version))
+    scored = stored(scored, "scored")  # computed once for the predictions and the drift check
     preds = to_predictions(scored, version, scored_at)
     overwrite_partitions(preds, lake.predictions, ["model_version", "scored_at"])
     return scored
 
 
-def check_drift(spark: SparkSession, lake: Lake, scored: DataFrame, version: str) -> bool:
+def check_drift(spark: SparkSession, lake: Lake, scored: DataFrame, version: str, day: str) -> bool:
     """Holdout error of the batch against the stored baseline; logged, not acted on.
 
     A batch without a holdout row gives no signal.
@@ -61,7 +57,8 @@ def check_drift(spark: SparkSession, lake: Lake, scored: DataFrame, version: str
         "checked_at", F.lit(datetime.now(timezone.utc))
     )
     rows = checked.select(*DRIFT_LOG.names).collect()
-    append_table(spark.createDataFrame(rows, DRIFT_LOG), lake.drift_log)
+    # One entry for a day and version: running the day again replaces it.
+    overwrite_table(spark.createDataFrame(rows, DRIFT_LOG), f"{lake.drift_log}/day={day}/version={version}")
     return any(r["drift"] for r in rows)
 
 
@@ -81,7 +78,9 @@ def load_predictions(
     batch = spark.read.parquet(lake.predictions).where(
         (F.col("model_version") == version) & (F.col("scored_at") == scored_at)
     )
-    served = jdbc_read(spark, target, table).where(F.col("model_version") == version)
+    served = jdbc_read(spark, target, table).where(
+        (F.col("model_version") == version) & (F.col("scored_at").cast("string") == F.lit(scored_at).cast("timestamp").cast("string"))
+    )
     jdbc_append(not_yet_served(serving_types(batch), served), target, table)
 
 
@@ -94,14 +93,16 @@ class DayResult:
 
 def serve(
     spark: SparkSession, lake: Lake, day: str, default_version: str = "",
-    cases: "list[Case] | None" = None, scored_at: "str | None" = None, **scope_args,
+    cases: "list[Case] | None" = None, scored_at: "str | None" = None, target: "JdbcTarget | None" = None, **scope_args,
 ) -> DayResult:
-    """Run one day. The first run of a lake trains before it can score."""
+    """Run one day. The first run of a lake trains before it can score. With a target the batch is loaded there."""
     clean_day(spark, lake, day, **scope_args)
     version = version_in_force(spark, lake, default_version)
     if not version:
         retrain(spark, lake, day, cases)
         version = version_in_force(spark, lake, day)
     scored = score_day(spark, lake, day, version, scored_at or f"{day}T00:00:00")
-    drift = check_drift(spark, lake, scored, version)
+    if target is not None:
+        load_predictions(spark, lake, target, version, scored_at or f"{day}T00:00:00")
+    drift = check_drift(spark, lake, scored, version, day)
     return DayResult(version, drift, retrain(spark, lake, day, cases) if drift else None)

@@ -57,4 +57,4 @@ def serving_types(preds: DataFrame) -> DataFrame:
 
 def jdbc_append(df: DataFrame, target: JdbcTarget, table: str, partitions: int = 8) -> None:
     """Append through a bounded number of connections."""
-    df.coalesce(partitions).write.format("jdbc").options(**target.options(table)).mode("append").save()
+    df.repartition(partitions).write.format("jdbc").options(**target.options(table)).mode("append").save()

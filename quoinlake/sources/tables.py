@@ -53,6 +53,17 @@ def overwrite_partitions(df: DataFrame, path: str, by: "list[str]") -> None:
     writer.partitionBy(*by).parquet(path)
 
 
+def overwrite_day(df: DataFrame, path: str, day: "date | str") -> None:
+    """Replace one day; a run that yields no rows leaves the day empty."""
+    balanced(df, ["dt"]).drop("dt").write.mode("overwrite").parquet(f"{path}/dt={day}")
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is; one that is absent is no error."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def overwrite_table(df: DataFrame, path: str) -> None:
     """Replace the whole table. `df` must not read from `path`."""
     df.write.mode("overwrite").parquet(path)
@@ -63,10 +74,11 @@ def append_table(df: DataFrame, path: str) -> None:
 
 
 def only_absent(df: DataFrame, existing: "DataFrame | None", part: str) -> DataFrame:
-    """Rows of partitions the target does not have yet."""
+    """Rows of partitions the target does not have yet; of the target only the incoming partitions are read."""
     if existing is None:
         return df
-    return df.join(existing.select(part).distinct(), part, "left_anti")
+    there = existing.join(F.broadcast(df.select(part).distinct()), part, "left_semi").select(part).distinct()
+    return df.join(there, part, "left_anti")
 
 
 def write_if_absent(spark: SparkSession, df: DataFrame, path: str, part: str = "dt") -> None:

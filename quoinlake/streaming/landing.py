@@ -6,22 +6,23 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from quoinlake.operators.normalize import decode_json
+from quoinlake.operators.dedup import latest_per_key
 from quoinlake.operators.upsert import upsert
 from quoinlake.schemas import RAW_LISTING
-from quoinlake.sources.tables import overwrite_table, table_exists
+from quoinlake.sources.tables import balanced, newest_version, overwrite_table, remove_path, table_exists
 
 
 def kafka_values(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     """One topic from its earliest offset, surviving expired offsets. Needs the Kafka package."""
-    options = {
-        "kafka.bootstrap.servers": servers, "subscribe": topic,
-        "startingOffsets": "earliest", "failOnDataLoss": "false",
-    }
-    return spark.readStream.format("kafka").options(**options).load()
+    reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
+    return reader.option("startingOffsets", "earliest").option("failOnDataLoss", "false").load()
 
 
 def file_values(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """Text files of one JSON message per line, as the same `value` column."""
+    """Text files of one JSON message per line, as the same `value` column.
+
+    `max_files` is the size of a micro-batch; it has no influence on what is landed.
+    """
     return spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
 
 
@@ -36,30 +37,57 @@ def publish_kafka(messages: DataFrame, servers: str, topic: str) -> None:
     messages.write.format("kafka").options(**options).save()
 
 
+def utc_time(c: "Column | str") -> Column:
+    """Wall clock in UTC of a time as text; one without an offset is UTC. The session zone has no part in it."""
+    c = F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
+    part = lambda i: F.regexp_extract(c, r"T?\d{1,2}:\d{2}.*?([+-])(\d{1,2}):?(\d{2})?$", i)
+    minutes = part(2).try_cast("int") * 60 + F.coalesce(part(3).try_cast("int"), F.lit(0))
+    offset = F.coalesce(F.when(part(1) == "-", -minutes).otherwise(minutes), F.lit(0))
+    return c.try_cast("timestamp_ntz") - F.make_dt_interval(mins=offset)
+
+
 def with_dt(df: DataFrame, ts: str = "crawled_at") -> DataFrame:
-    """Day partition of the event time. Rows without a readable time have no partition: dropped."""
-    return df.withColumn("dt", F.to_date(F.try_to_timestamp(F.col(ts).cast("string")))).where("dt is not null")
+    """Day partition of the event time, in UTC. Rows without a readable time have no partition: dropped."""
+    return df.withColumn("dt", F.to_date(utc_time(ts))).where("dt is not null")
 
 
 def read_json_stream(values: DataFrame, schema: StructType = RAW_LISTING, ts: str = "crawled_at") -> DataFrame:
     return with_dt(decode_json(values, "value", schema), ts)
 
 
-def drop_retries(stream: DataFrame, key: str = "ad_id", ts: str = "crawled_at", delay: str = "1 hour") -> DataFrame:
-    """Drop redelivered messages within the delay; a later crawl of the same ad passes.
-
-    State holds the keys of the last `delay`, not of all time.
-    """
-    timed = stream.withColumn("_event_time", F.col(ts).try_cast("timestamp"))
-    return timed.withWatermark("_event_time", delay).dropDuplicatesWithinWatermark([key]).drop("_event_time")
-
-
 def land(stream: DataFrame, path: str, checkpoint: str, by: str = "dt") -> StreamingQuery:
     """Write everything available as new Parquet files and stop. Restarts continue exactly once."""
     writer = stream.writeStream.trigger(availableNow=True).partitionBy(by).outputMode("append")
     return writer.start(path, format="parquet", checkpointLocation=checkpoint)
 
 
+def land_once(
+    stream: DataFrame, path: str, checkpoint: str, key: tuple[str, ...] = ("ad_id", "crawled_at"), by: str = "dt"
+) -> StreamingQuery:
+    """Land every message once, however often it is delivered, and however late.
+
+    Redeliveries agree in `key`, and so in their day: a batch drops those within itself and
+    those that lie in the same days of earlier batches. Rows with a NULL in the key are not
+    duplicates. A batch writes its own folder and replaces it when it is repeated; the days
+    are partitions below it.
+    """
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = latest_per_key(batch, list(key), [F.col(c).asc_nulls_first() for c in batch.columns])
+        if table_exists(spark, path):
+            earlier = spark.read.parquet(path).where(F.col("batch") < batch_id).select(by, *key)
+            fresh = fresh.join(earlier, [by, *key], "left_anti")
+        balanced(fresh, [by]).write.mode("overwrite").partitionBy(by).parquet(f"{path}/batch={batch_id}")
+
+    return (
+        stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+
+
+KEPT_VERSIONS = 3
+
+
 def upsert_stream(
     changes: DataFrame, path: str, checkpoint: str, key: list[str], order: list[Column],
     positive: tuple[str, ...] = (),
@@ -67,13 +95,20 @@ def upsert_stream(
     """Keep a small keyed table of record current from a stream of changes.
 
     Each micro-batch writes version `batch` from version `batch - 1`, so a replayed batch
-    rebuilds its own version and never reads what it is writing. Read it with `latest_version`.
+    rebuilds its own version and never reads what it is writing. The table keeps the columns
+    of the order, so batches may come in any order. Read it with `latest_version`. A
+    checkpoint that starts anew on a table with versions is refused. The last
+    `KEPT_VERSIONS` versions stay.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark, before = batch.sparkSession, f"{path}/version={batch_id - 1}"
-        base = spark.read.parquet(before) if table_exists(spark, before) else batch.limit(0)
+        newest = newest_version(spark, path)
+        if newest is not None and newest > batch_id or newest is None and batch_id > 0:
+            raise ValueError(f"{path} holds version {newest}, the checkpoint is at {batch_id}")
+        base = spark.read.parquet(before) if batch_id > 0 else batch.limit(0)
         overwrite_table(upsert(base, batch, key, order, positive), f"{path}/version={batch_id}")
+        remove_path(spark, f"{path}/version={batch_id - KEPT_VERSIONS}")
 
     return (
         changes.writeStream.foreachBatch(apply)
