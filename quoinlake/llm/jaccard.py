@@ -24,7 +24,7 @@ rows that repeat an id are judged by their own texts; an empty table gives no ro
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +35,7 @@ from quoinlake.workspace import stored
 PERCENT = 80
 HOT, MOST_HOT = 32, 1 << 20
 PIVOTS = 2
+EXTRA = 0.02
 BIT_WORDS = 1 << 20  # 64-bit words of the bit table
 
 
@@ -54,27 +55,43 @@ def enough(overlap: Column, n: Column, m: Column, percent: int = PERCENT) -> Col
     return overlap * (100 + percent) >= (n + m) * percent
 
 
-def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that the texts and sets of only a few become objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _batch(**columns) -> pa.RecordBatch:
+    """Columns of (values, Arrow type)."""
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], list(columns))
+
+
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 0: each document with its set's size and name; kind 1: shingles met more than once."""
     seen, held, count = set(), [], 0
 
-    def repeated() -> pd.DataFrame:
+    def rows(kind: int, ids, sizes, names) -> pa.RecordBatch:
+        return _batch(
+            kind=(np.full(len(sizes), kind, np.int32), pa.int32()), doc_id=(ids, pa.int64()), n=(sizes, pa.int64()),
+            name=(names, pa.int64()),
+        )
+
+    def repeated() -> pa.RecordBatch:
         token, times = np.unique(np.concatenate(held), return_counts=True)
         token, times = token[times > 1], times[times > 1]
-        return pd.DataFrame({"kind": 1, "doc_id": None, "n": times, "name": token.view(np.int64)})
+        return rows(1, [None] * len(token), times, token.view(np.int64))
 
-    for pdf in batches:
-        sets = shingle_sets(list(pdf["text"]))
+    for part in _few(batches):
+        sets = shingle_sets(part.column("text").to_pylist())
         names = [signature(s) if len(s) else None for s in sets]
-        yield pd.DataFrame({
-            "kind": 0, "doc_id": pdf["doc_id"], "n": [len(s) for s in sets], "name": pd.array(names, "Int64"),
-        })
+        yield rows(0, part.column("doc_id").to_pylist(), [len(s) for s in sets], names)
         for name, s in zip(names, sets):
             if len(s) and name not in seen:
                 seen.add(name)
                 held.append(s)
                 count += len(s)
-        if count > 4_000_000:
+        if count > 2_000_000:
             yield repeated()
             held, count = [], 0
     if held:
@@ -84,7 +101,7 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def described(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, name) of all documents, and the hot shingles (token, times)."""
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    found = stored(rows.mapInPandas(_describe, "kind int, doc_id long, n long, name long"), "sets")
+    found = stored(rows.mapInArrow(_describe, "kind int, doc_id long, n long, name long"), "sets")
     hot = found.where("kind = 1").groupBy(F.col("name").alias("token")).agg(F.sum("n").alias("times"))
     hot = hot.where(F.col("times") >= HOT).orderBy(F.desc("times"), "token").limit(MOST_HOT)
     return found.where("kind = 0").drop("kind"), hot
@@ -98,12 +115,12 @@ def index_rows(docs: DataFrame, key: str, text: str, hot: DataFrame, percent: in
         ranked["token"].to_numpy().view(U64)[order], ranked["times"].to_numpy(np.int64)[order]
     ))
 
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, times = shared.value
         seen = set()
-        for pdf in batches:
+        for part in _few(batches):
             parts = []
-            for s in shingle_sets(list(pdf["text"])):
+            for s in shingle_sets(part.column("text").to_pylist()):
                 name = signature(s) if len(s) else None
                 if name is None or name in seen:
                     continue
@@ -117,18 +134,18 @@ def index_rows(docs: DataFrame, key: str, text: str, hot: DataFrame, percent: in
                 parts.append((s[:k], name, len(s)))
             if parts:
                 sizes = [len(p[0]) for p in parts]
-                yield pd.DataFrame({
-                    "token": np.concatenate([p[0] for p in parts]).view(np.int64),
-                    "name": np.repeat([p[1] for p in parts], sizes), "n": np.repeat([p[2] for p in parts], sizes),
-                    "pos": np.concatenate([np.arange(x) for x in sizes]),
-                })
+                yield _batch(
+                    token=(np.concatenate([p[0] for p in parts]).view(np.int64), pa.int64()),
+                    name=(np.repeat([p[1] for p in parts], sizes), pa.int64()),
+                    n=(np.repeat(np.array([p[2] for p in parts], np.int32), sizes), pa.int32()),
+                    pos=(np.concatenate([np.arange(x, dtype=np.int32) for x in sizes]), pa.int32()),
+                )
 
-    return docs.select(F.col(text).alias("text")).mapInPandas(prefixes, "token long, name long, n int, pos int")
+    return docs.select(F.col(text).alias("text")).mapInArrow(prefixes, "token long, name long, n int, pos int")
 
 
-def _bit_table(ids: DataFrame) -> np.ndarray:
-    """Bits of the ids' hashes: at most BIT_WORDS rows come to the driver, however many ids."""
-    hashed = ids.select(F.pmod(F.xxhash64("id"), F.lit(64 * BIT_WORDS)).alias("h"))
+def bit_table(hashed: DataFrame) -> np.ndarray:
+    """Bits of the numbers `h` below 64 * BIT_WORDS: at most BIT_WORDS rows come to the driver, however many they are."""
     words = hashed.groupBy(F.expr("shiftright(h, 6)").cast("int").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")
     ).toPandas()
@@ -147,27 +164,28 @@ def overlaps(docs: DataFrame, key: str, text: str, sets: DataFrame, pairs: DataF
     firsts = sets.groupBy("name").agg(F.min("doc_id").alias("id"))
     wanted = stored(wanted.join(firsts, "name"), "wanted")
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(_bit_table(wanted))
+    hashed = wanted.select(F.pmod(F.xxhash64("id"), F.lit(64 * BIT_WORDS)).alias("h"))
+    bits = spark.sparkContext.broadcast(bit_table(hashed))
 
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
-        for pdf in batches:
-            h = pdf["h"].to_numpy()
-            pdf = pdf[(bits.value[h >> 6] >> (h & 63)) & 1 == 1]
+        for part in _few(batches):
+            h = part.column("h").to_numpy()
+            part = part.filter(pa.array((bits.value[h >> 6] >> (h & 63)) & 1 == 1))
             out = []
-            for s in shingle_sets(list(pdf["text"])):
+            for s in shingle_sets(part.column("text").to_pylist()):
                 name = signature(s) if len(s) else None
                 if name is not None and name not in seen:
                     seen.add(name)
                     cut = np.unique(s >> U64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
                     out.append((name, cut.tobytes()))
-            yield pd.DataFrame(out, columns=["name", "members"])
+            yield _batch(name=([x[0] for x in out], pa.int64()), members=([x[1] for x in out], pa.binary()))
 
     rows = docs.select(
         F.col(text).alias("text"),
         F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(64 * BIT_WORDS)).alias("h"),
     )
-    found = rows.mapInPandas(members, "name long, members binary")
+    found = rows.mapInArrow(members, "name long, members binary")
     found = stored(found.join(wanted.select("name"), "name", "left_semi").dropDuplicates(["name"]), "members")
 
     def unpack(raw: bytes) -> np.ndarray:
@@ -175,13 +193,14 @@ def overlaps(docs: DataFrame, key: str, text: str, sets: DataFrame, pairs: DataF
         wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
         return wide.view(U64).ravel()
 
-    def common(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            n = [len(np.intersect1d(unpack(a), unpack(b), True)) for a, b in zip(pdf["of_x"], pdf["of_y"])]
-            yield pd.DataFrame({"x": pdf["x"], "y": pdf["y"], "overlap": n})
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _few(batches, 50):
+            sides = zip(part.column("of_x").to_pylist(), part.column("of_y").to_pylist())
+            n = [len(np.intersect1d(unpack(a), unpack(b), True)) for a, b in sides]
+            yield pa.RecordBatch.from_arrays([part.column("x"), part.column("y"), pa.array(n, pa.int64())], ["x", "y", "overlap"])
 
     joined = pairs.select("x", "y").join(found.toDF("x", "of_x"), "x").join(found.toDF("y", "of_y"), "y")
-    counted = joined.mapInPandas(common, "x long, y long, overlap long")
+    counted = joined.mapInArrow(common, "x long, y long, overlap long")
     return stored(pairs.join(counted, ["x", "y"]), "overlaps")
 
 
@@ -195,6 +214,18 @@ def pivot_pairs(lists: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     return met.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).select("x", "y", "n", "m")
 
 
+def _tight(n: str, m: str, percent: int) -> Column:
+    """So many first members of a set of size n hold one that a partner of size m has in as many of its own."""
+    needed = F.ceil((F.col(n) + F.col(m)) * percent / (100 + percent))
+    return F.col(n) - needed + 1
+
+
+def _reach(n: str, m: str, percent: int) -> Column:
+    """The tight prefix and 2 % more: every member beyond it is one more that the two must share."""
+    longest = F.col(n) - F.ceil(F.col(n) * percent / 100) + 1
+    return F.least(longest, _tight(n, m, percent) + F.ceil(F.least(n, m) * EXTRA))
+
+
 def stray_pairs(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that meet in a list, with all that the lists tell.
 
@@ -221,10 +252,11 @@ def stray_pairs(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     at = F.floor(F.col("p") / width(F.col("by_n")))
     left = left.withColumn("by_pos", F.explode(F.array(*[at + i for i in (-1, 0, 1)])))
     both = F.least("p", "q") + 1 + F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) - 1
+    reach_x, reach_y = _reach("n", "m", percent), _reach("m", "n", percent)
     rule = (
         (F.col("x_root") != F.col("y_root")) & (~F.col("y_stray") | (F.col("x") < F.col("y")))
         & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
-        & enough(both, F.col("n"), F.col("m"), percent)
+        & (F.col("p") < reach_x) & (F.col("q") < reach_y) & enough(both, F.col("n"), F.col("m"), percent)
     )
     keys = [left[k] == right[k] for k in ("token", "by_n", "by_pos")]
     met = left.join(right, keys[0] & keys[1] & keys[2] & rule).groupBy(
@@ -232,8 +264,8 @@ def stray_pairs(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
         F.when(F.col("x") < F.col("y"), F.col("n")).otherwise(F.col("m")).alias("n"),
         F.when(F.col("x") < F.col("y"), F.col("m")).otherwise(F.col("n")).alias("m"),
     ).agg(F.count(F.lit(1)).alias("met"))
-    rest = F.ceil(F.greatest("n", "m") * percent / 100) - 1  # members beyond the longer prefix
-    return met.where(enough(F.col("met") + rest, F.col("n"), F.col("m"), percent))
+    tight_x, tight_y = _tight("n", "m", percent), _tight("m", "n", percent)
+    return met.where(F.col("met") > F.least(reach_x - tight_x, reach_y - tight_y))
 
 
 def decide(pairs: DataFrame, answers: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
