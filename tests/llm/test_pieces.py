@@ -1,0 +1,108 @@
+"""Segmentation against a plain search over whole texts, whatever the chunks, and exact round trips."""
+
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from quoinlake.llm import pieces
+from quoinlake.llm.pieces import Matrix, PieceEncoder, boundary_states, decode, encode, pieces_query, vocabulary
+
+SF = "/root/testdata/sf0.001"
+E = PieceEncoder(vocabulary())
+
+
+def plain(e, text):
+    """Ids by one pass over the whole text, with scores of their own."""
+    if not text:
+        return []
+    s = e.inner(text)
+    cuts, start = [0] * (len(s) + 1), 0
+    for i in range(len(s)):
+        if e.cut_at_blanks and i and s[i] == " " and s[i - 1] != " ":
+            start = i
+        cuts[i + 1] = pieces._cut_weight(i + 1 - start)
+    best, back = [(0, 0)] + [None] * len(s), [None] * (len(s) + 1)
+    for j in range(1, len(s) + 1):
+        for i in range(max(0, j - e.longest), j):
+            hit = e.pieces.get(s[i:j]) or ((-1, e.unknown) if j == i + 1 else None)
+            if hit and best[i] is not None:
+                score = (best[i][0] + hit[1], best[i][1] - cuts[j])
+                if best[j] is None or score > best[j]:
+                    best[j], back[j] = score, (i, hit[0])
+    out, j = [], len(s)
+    while j:
+        i, piece = back[j]
+        out.append([piece] if piece >= 0 else [e.bytes[b] for b in s[i].encode()])
+        j = i
+    return [x for part in reversed(out) for x in part]
+
+
+def chunked(e, text, size):
+    s = e.inner(text)
+    parts = list(e.chunks(s, size))
+    states = boundary_states([e.matrix(*p[1:]) for p in parts])
+    raw = b"".join(e.part(*p[1:], a, b) for p, a, b in zip(parts, states, states[1:]))
+    return np.frombuffer(raw, "<u2").tolist()
+
+
+HAND = ["", " ", "  a  b ", "Hello world, this is it.", "▁a ▁", "日本語 テキスト", "a\n\tb", "😀😀 x", "aaaaaaaaaaaaaaaaaaaa", "\U0010ffff",
+        "internationalization" * 3, "é" * 30, "   "]
+
+
+@pytest.mark.parametrize("text", HAND)
+def test_hand_written_texts(text):
+    ids = np.frombuffer(E.encode(E.inner(text)), "<u2").tolist() if text else []
+    assert ids == plain(E, text) and E.decode(ids) == text
+    if text:
+        for size in (1, 2, 3, 7, 20):
+            assert chunked(E, text, size) == ids
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.sampled_from("  theranion▁é日\n"), min_size=1, max_size=60), st.integers(1, 25), st.booleans())
+def test_chunks_do_not_change_the_result(text, size, blanks):
+    e = E if blanks else OTHER
+    ids = plain(e, text)
+    assert chunked(e, text, size) == ids and e.decode(ids) == text
+
+
+OTHER = PieceEncoder(vocabulary())
+OTHER.cut_at_blanks = False
+
+
+def test_products_are_associative():
+    r = random.Random(4)
+    def some(full):
+        pick = lambda: None if r.random() < 0.2 else r.randint(-50, 0)
+        return Matrix([], [], [[pick() for _ in range(4)] for _ in range(4)]) if full else Matrix([pick() for _ in range(4)], [pick() for _ in range(4)])
+    for _ in range(200):
+        a, b, c = (some(r.random() < 0.5) for _ in range(3))
+        left, right = a.then(b).then(c), a.then(b.then(c))
+        assert all(left.at(i, j) == right.at(i, j) for i in range(4) for j in range(4))
+
+
+def test_query_round_trip_and_plain_search(spark):
+    import hashlib
+
+    docs = {r[0]: r[1] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    rows = pieces_query(spark, SF).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert r["decoded_sha256"] == hashlib.sha256((docs[r["doc_id"]] or "").encode()).hexdigest()
+        if len(docs[r["doc_id"]]) < 1500:
+            assert r["ids"] == plain(E, docs[r["doc_id"]])
+
+
+def test_long_texts_nulls_repeats_and_no_rows(spark):
+    long = "giant words " * 300 + "x" * 500
+    rows = [(1, long, 5), (1, long, 6), (None, None, 7), (2, "", 8), (3, long[5:], 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, name int")
+    got = encode(df, "doc_id", "text", vocabulary(), chunk=100)
+    back = sorted((r["doc_id"] or 0, r["text"]) for r in decode(got, vocabulary()).collect())
+    assert back == sorted((a or 0, b or "") for a, b, _ in rows)
+    one = [r["ids"] for r in got.collect() if r["doc_id"] == 1]
+    assert len(one) == 2 and one[0] == one[1] == plain(E, long)
+    assert encode(df.limit(0), "doc_id", "text", vocabulary()).count() == 0
