@@ -85,6 +85,16 @@ def test_latest_per_key_limits_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
+def test_rows_without_a_key_stay_and_the_input_is_read_once(spark, tmp_path):
+    rows = [("a", 1), ("a", 2), (None, 3), (None, 3)]
+    path = str(tmp_path / "t")
+    spark.createDataFrame(rows, "k string, v int").write.parquet(path)
+    out = latest_per_key(spark.read.parquet(path), ["k"], newest_first("v"))
+    assert sorted((r["k"] or "-", r["v"]) for r in out.collect()) == [("-", 3), ("-", 3), ("a", 2)]
+    text = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert text.count("FileScan") == 1 and "WindowGroupLimit" in text
+
+
 def test_upsert_and_insert(spark):
     base = spark.createDataFrame([("2099-11", 1.0, 1.0), ("2099-12", 999.0, 1.5)], "month string, cpi double, rate double")
     changes = spark.createDataFrame(
@@ -92,6 +102,11 @@ def test_upsert_and_insert(spark):
         "month string, cpi double, rate double, n int")
     out = upsert(base, changes, ["month"], newest_first("n"), ("cpi", "rate"))
     assert sorted(map(tuple, out.collect())) == [("2099-11", 1.0, 1.0), ("2099-12", 111.0, 2.5)]
+    ranked = base.withColumn("n", F.lit(9))
+    kept = upsert(ranked, changes, ["month"], newest_first("n"), ("cpi", "rate"))
+    assert sorted(r["cpi"] for r in kept.collect()) == [1.0, 999.0]  # older changes do not win
+    twice = insert_missing(base, changes.drop("n").union(changes.drop("n")), ["month"])
+    assert sorted(r["month"] for r in twice.collect()) == ["2099-11", "2099-12", "2100-01"]
     seeded = insert_missing(base, changes.drop("n"), ["month"])
     assert sorted(r["month"] for r in seeded.collect()) == ["2099-11", "2099-12", "2100-01"]
 
@@ -105,6 +120,10 @@ def test_html_text_joins_text_nodes_with_one_space(spark):
     assert one(spark, html_text(F.lit(html))) == "a b c <3'\U0001F600\xa0© &unknown; &amp; AT&T"
     assert one(spark, html_text(F.lit("x<script>var a='<p>'</script>y<style>p{}</style>"))) == "x y"
     assert one(spark, html_text(F.lit("không thẻ"))) == "không thẻ"
+    assert one(spark, html_text(F.lit("gia < 3 ty, 4 tầng > 2"))) == "gia < 3 ty, 4 tầng > 2"
+    assert one(spark, html_text(F.lit('<a title="x>y">t</a><!doctype html> 1<2'))) == "t  1<2"
+    assert one(spark, html_text(F.lit("<br>" * 5000 + "a" + "<i>" * 5000))) == "a"
+    assert one(spark, unescape(F.lit("&#000000065;b &#150; &#x80; &#x0000000041; &#129;"))) == "Ab – € A \x81"
     assert one(spark, html_text(F.lit(None).cast("string"))) is None
     assert one(spark, unescape(F.lit("&amp;lt; &ampx &#0; &#xD800; &#9999999;"))) == "&lt; &x � � �"
 

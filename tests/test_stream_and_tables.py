@@ -2,16 +2,18 @@ import datetime as dt
 import json
 import os
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from quoinlake.operators.dedup import newest_first
-from quoinlake.schemas import MACRO_MONTHLY, RAW_LISTING
+from quoinlake.schemas import RAW_LISTING
 from quoinlake.sources.jdbc import JdbcTarget, SplitBy, serving_types
 from quoinlake.sources.tables import (
-    latest_version, overwrite_partitions, read_seed_csv, read_series_csv, read_table, table_exists, write_if_absent,
+    latest_version, overwrite_day, overwrite_partitions, read_seed_csv, read_series_csv, read_table, table_exists, write_if_absent,
 )
 from quoinlake.streaming.landing import (
-    drop_retries, file_values, json_values, land, read_json_stream, upsert_stream, with_dt,
+    file_values, json_values, land, land_once, read_json_stream, upsert_stream, utc_time, with_dt,
 )
 from quoinlake.workspace import new_folder, shared_root
 
@@ -42,17 +44,35 @@ def test_landing_drops_unreadable_and_continues_after_a_restart(spark, tmp_path)
     assert set(RAW_LISTING.names) | {"dt"} == set(first.columns)
 
 
-def test_redelivery_goes_and_next_day_crawl_stays(spark, tmp_path):
-    topic = str(tmp_path / "topic")
-    send(topic, "one", message("1", "2025-01-01T10:00:00"), message("1", "2025-01-01T10:20:00"),
-         message("2", "2025-01-01T10:00:00"))
-    out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
-    land(drop_retries(read_json_stream(file_values(spark, topic))), out, ckpt).awaitTermination()
-    send(topic, "two", message("9", "2025-01-02T09:00:00"))
-    land(drop_retries(read_json_stream(file_values(spark, topic))), out, ckpt).awaitTermination()
-    send(topic, "three", message("1", "2025-01-02T10:00:00"))
-    land(drop_retries(read_json_stream(file_values(spark, topic))), out, ckpt).awaitTermination()
-    assert sorted(r["ad_id"] for r in spark.read.parquet(out).collect()) == ["1", "1", "2", "9"]
+@pytest.mark.parametrize("max_files", [1, 3, 1000])
+def test_redelivery_goes_and_late_or_nameless_messages_stay(spark, tmp_path, max_files):
+    topic, out, ckpt = (str(tmp_path / n) for n in ("topic", "out", "ckpt"))
+
+    def drain():
+        land_once(read_json_stream(file_values(spark, topic, max_files)), out, ckpt).awaitTermination()
+        return sorted((r["ad_id"] or "-", r["crawled_at"]) for r in spark.read.parquet(out).collect())
+
+    send(topic, "1", message("1", "2025-01-03T10:00:00"), message("1", "2025-01-03T10:00:00"), message(None, "2025-01-03T10:00:00"))
+    send(topic, "2", message("2", "2025-01-01T10:00:00"), message(None, "2025-01-03T10:00:00"))
+    send(topic, "3", message("1", "2025-01-03T10:00:00"), message("1", "2025-01-03T10:20:00"))
+    want = [("-", "2025-01-03T10:00:00")] * 2 + [("1", "2025-01-03T10:00:00"), ("1", "2025-01-03T10:20:00"), ("2", "2025-01-01T10:00:00")]
+    assert drain() == want
+    send(topic, "4", message("2", "2025-01-01T10:00:00"), message("9", "2024-12-01T09:00:00"))
+    assert drain() == want + [("9", "2024-12-01T09:00:00")]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Ho_Chi_Minh", "America/New_York"])
+def test_days_are_utc_in_every_session_zone(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        texts = ["2025-01-01T20:00:00Z", "2025-01-01T20:00:00", "2025-01-01T20:00:00+07:00", "2025-01-01 03:00:00+0700", "2025-03-09T02:30:00", "x", None]
+        df = spark.createDataFrame([(t,) for t in texts], "crawled_at string")
+        got = [str(r[0]) for r in df.select(utc_time("crawled_at").cast("string")).collect()]
+        assert got == ["2025-01-01 20:00:00", "2025-01-01 20:00:00", "2025-01-01 13:00:00", "2024-12-31 20:00:00", "2025-03-09 02:30:00", "None", "None"]
+        assert sorted(str(r["dt"]) for r in with_dt(df).collect()) == ["2024-12-31"] + ["2025-01-01"] * 3 + ["2025-03-09"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -66,17 +86,22 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_upsert_stream_over_several_batches(spark, tmp_path):
     src, out, ckpt = (str(tmp_path / n) for n in ("src", "out", "ckpt"))
-    schema = MACRO_MONTHLY
+    schema = "month string, cpi double, rate double, n int"
 
-    def change(*rows):
+    def change(*rows, checkpoint=ckpt):
         spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(schema).parquet(src)
-        upsert_stream(stream, out, ckpt, ["month"], newest_first("cpi"), ("cpi", "rate")).awaitTermination()
+        upsert_stream(stream, out, checkpoint, ["month"], newest_first("n"), ("cpi", "rate")).awaitTermination()
         return sorted(map(tuple, latest_version(spark, out).select("month", "cpi", "rate").collect()))
 
-    assert change(("2099-12", 999.0, 1.5)) == [("2099-12", 999.0, 1.5)]
-    assert change(("2099-12", 111.0, 2.5), ("2100-01", -1.0, 2.0)) == [("2099-12", 111.0, 2.5)]
-    assert change(("2100-02", 5.0, 5.0)) == [("2099-12", 111.0, 2.5), ("2100-02", 5.0, 5.0)]
+    assert change(("2099-12", 999.0, 1.5, 1)) == [("2099-12", 999.0, 1.5)]
+    assert change(("2099-12", 111.0, 2.5, 5), ("2100-01", -1.0, 2.0, 6)) == [("2099-12", 111.0, 2.5)]
+    assert change(("2100-02", 5.0, 5.0, 7)) == [("2099-12", 111.0, 2.5), ("2100-02", 5.0, 5.0)]
+    # An older change that comes late does not win, and old versions go.
+    assert change(("2099-12", 7.0, 7.0, 2)) == [("2099-12", 111.0, 2.5), ("2100-02", 5.0, 5.0)]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir()) == [f"version={v}" for v in (1, 2, 3)]
+    with pytest.raises(StreamingQueryException, match="checkpoint is at 0"):
+        change(("2100-03", 5.0, 5.0, 8), checkpoint=str(tmp_path / "other"))
 
 
 def test_json_messages_keep_text_and_nulls(spark):
@@ -96,6 +121,14 @@ def test_partition_overwrite_replaces_only_its_days(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(dt" in day._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_day_without_rows_is_emptied(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([(1, "2025-01-01"), (2, "2025-01-02")], "v int, d string").withColumn("dt", F.to_date("d"))
+    overwrite_partitions(df, path, ["dt"])
+    overwrite_day(df.where("v = 0"), path, "2025-01-02")
+    assert [r["v"] for r in spark.read.parquet(path).collect()] == [1]
+
+
 def test_write_if_absent(spark, tmp_path):
     path = str(tmp_path / "t")
     assert not table_exists(spark, path)
