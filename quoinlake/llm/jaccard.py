@@ -109,7 +109,7 @@ def described(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFram
 
 def index_rows(docs: DataFrame, key: str, text: str, hot: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(token, name, n, pos): the prefix of each set, once per set and task."""
-    ranked = hot.toPandas()
+    ranked = hot.toArrow().to_pandas()
     order = np.argsort(ranked["token"].to_numpy().view(U64), kind="stable")
     shared = docs.sparkSession.sparkContext.broadcast((
         ranked["token"].to_numpy().view(U64)[order], ranked["times"].to_numpy(np.int64)[order]
@@ -148,7 +148,7 @@ def bit_table(hashed: DataFrame) -> np.ndarray:
     """Bits of the numbers `h` below 64 * BIT_WORDS: at most BIT_WORDS rows come to the driver, however many they are."""
     words = hashed.groupBy(F.expr("shiftright(h, 6)").cast("int").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")
-    ).toPandas()
+    ).toArrow()
     table = np.zeros(BIT_WORDS, np.int64)
     table[words["word"].to_numpy()] = words["bits"].to_numpy()
     return table

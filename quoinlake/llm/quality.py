@@ -295,7 +295,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Clas
                 yield pd.DataFrame({"doc_id": part["doc_id"], "features": found})
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(wanted), "doc_id")
-    rows = texts.mapInPandas(run, "doc_id long, features array<long>").toPandas()
+    rows = texts.mapInPandas(run, "doc_id long, features array<long>").toArrow().to_pandas()
     texts = {int(i): np.asarray(f, np.int64).view(U64) for i, f in zip(rows["doc_id"], rows["features"])}
     chosen = chosen[chosen["doc_id"].isin(list(texts))].sort_values("doc_id")
     features = [texts[int(i)] for i in chosen["doc_id"]]
