@@ -127,8 +127,10 @@ def contaminated(docs: DataFrame, key: str, text: str, bench: DataFrame, item: s
 
 
 def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents, a row for each item that one holds; `other_values` is 1 where slots differ."""
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return contaminated(docs, "doc_id", "text", bench, "item_id", "text")
+    found = matches(docs, "doc_id", "text", bench, "item_id", "text")
+    return found.select("doc_id", "item_id", "windows", "item_windows", F.col("changed").cast("int").alias("other_values"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

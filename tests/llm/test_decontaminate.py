@@ -58,13 +58,12 @@ def test_new_values_are_found_if_they_are_consistent(spark):
 def test_documents_against_a_plain_search(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
-    want = collections.defaultdict(set)
-    for d, i in plain(docs, items):
-        want[d].add(i)
-    got = decontamination_query(spark, SF).collect()
-    assert len(got) == len(docs) and want
-    for r in got:
-        assert (r["n_items"], r["item_id"]) == (len(want[r["doc_id"]]), min(want[r["doc_id"]], default=None))
+    want = plain(docs, items)
+    assert want and {(r["doc_id"], r["item_id"]) for r in decontamination_query(spark, SF).collect()} == want
+    held = {r["doc_id"]: r["n_items"] for r in contaminated(
+        *(x for t, k in (("documents", "doc_id"), ("benchmark", "item_id")) for x in (spark.read.parquet(f"{SF}/{t}.parquet"), k, "text"))
+    ).collect()}
+    assert held == {d: len({i for e, i in want if e == d}) for d, _ in docs}
 
 
 def test_stage_and_empty_tables(spark):
