@@ -40,7 +40,7 @@ from quoinlake.workspace import stored
 
 CHUNK = 16_384
 SHIFT = 96
-MEMORY_ENTRIES = 400_000
+MEMORY_ENTRIES = 200_000
 MARK = " "  # the file writes it as U+2581, which as a character of a text has no piece
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -266,6 +266,13 @@ def boundary_states(matrices: list[Matrix]) -> list[int]:
     return states[::-1]
 
 
+def few(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
+    """The same rows in small frames, so that the ids of only a few are held at a time."""
+    for pdf in batches:
+        for at in range(0, len(pdf), rows):
+            yield pdf.iloc[at : at + rows]
+
+
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
 
@@ -283,13 +290,13 @@ def encode(docs: DataFrame, key: str, text: str, path: str, chunk: int = CHUNK,
 
     def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = encoder(path, log_ranks)
-        for pdf in batches:
+        for pdf in few(batches):
             ids = [np.frombuffer(e.encode(e.inner(t)), "<u2").astype(np.int32) if t else np.zeros(0, np.int32) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": ids})
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = encoder(path, log_ranks)
-        for pdf in batches:
+        for pdf in few(batches, 50):
             for name, t in zip(pdf["name"], pdf["text"]):
                 out = [(name, *c) for c in e.chunks(e.inner(t), chunk)]
                 yield pd.DataFrame(out, columns=["name", "k", "s", "before", "size", "offset"])
@@ -330,7 +337,7 @@ def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -
     """(*keep, text) from ids."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = encoder(path)
-        for pdf in batches:
+        for pdf in few(batches):
             yield pdf.drop(columns="ids").assign(text=[e.decode(x) if x is not None else "" for x in pdf["ids"]])
 
     chosen = encoded.select(*keep, "ids")
@@ -351,7 +358,7 @@ def pieces_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = encoder(path)
-        for pdf in batches:
+        for pdf in few(batches):
             texts = [e.decode(x) for x in pdf["ids"]]
             digests = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
             yield pdf.assign(n_tokens=pdf["ids"].map(len).astype("int64"), decoded_sha256=digests)

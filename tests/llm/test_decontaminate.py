@@ -77,7 +77,7 @@ def test_stage_and_empty_tables(spark):
     assert contaminated(docs.limit(0), "doc_id", "text", spark.read.parquet(f"{SF}/benchmark.parquet"), "item_id", "text").count() == 0
 
 
-@pytest.mark.parametrize("text", ["1 2 3 4 5 6 7 8", "A B C D E F", "", None])
+@pytest.mark.parametrize("text", ["1 2 3 4 5 6 7 8", "Aa Bb Cc Dd Ee Ff", "", None])
 def test_windows_of_placeholders_only_are_none(text):
     assert list(template_windows([text])) == []
 
