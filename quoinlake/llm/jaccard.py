@@ -270,9 +270,8 @@ def stray_pairs(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
 
 def decide(pairs: DataFrame, answers: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Bounds of the overlap of x and y from their overlaps with one pivot: `low` and `high`."""
-    flat = answers.select("x", "y", "overlap").union(answers.select("y", "x", "overlap")).union(
-        sizes.select("name", "name", "n")
-    ).toDF("of", "pivot", "overlap")
+    # A set has the answers of its few pivots and of itself; a pivot's list of members is not looked up.
+    flat = answers.select("y", "x", "overlap").union(sizes.select("name", "name", "n")).toDF("of", "pivot", "overlap")
     both = pairs.join(flat.toDF("x", "pivot", "in_x"), "x").join(flat.toDF("y", "pivot", "in_y"), ["y", "pivot"])
     both = both.join(sizes.toDF("pivot", "size"), "pivot")
     a, b = F.col("in_x"), F.col("in_y")
