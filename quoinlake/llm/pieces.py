@@ -171,7 +171,15 @@ class PieceEncoder:
                 self.memory[w], self.scores[w] = found, best[-1]
         return found
 
+    def forget(self) -> None:
+        """Keep the memory of words bounded."""
+        if len(self.memory) > MEMORY_ENTRIES:
+            self.memory.clear()
+            self.scores.clear()
+
     def word_score(self, w: str) -> int:
+        if w not in self.scores and len(w) < 40:
+            self.word(w)
         score = self.scores.get(w)
         return self.ahead(w, 0, len(w), len(w), 0)[0][-1] if score is None else score
 
@@ -184,9 +192,7 @@ class PieceEncoder:
 
     def encode(self, s: str) -> bytes:
         """Ids of one chunk that is a whole text, or a part between two sure cuts."""
-        if len(self.memory) > MEMORY_ENTRIES:
-            self.memory.clear()
-            self.scores.clear()
+        self.forget()
         known, words = self.memory.get, self.words(s)
         out = [known(w) for w in words]
         for i, found in enumerate(out):
@@ -204,6 +210,7 @@ class PieceEncoder:
 
     def matrix(self, s: str, before: str, size: int, offset: int) -> Matrix:
         """Chunk s[:size] with up to longest - 1 characters after it; `before` is the character ahead of it."""
+        self.forget()
         n = self.longest
         first, last = self.sure_cuts(s, before, size)
         if first < 0:
