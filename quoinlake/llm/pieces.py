@@ -115,6 +115,8 @@ class PieceEncoder:
                 self.pieces[piece] = (i, score << SHIFT)
                 self.text[i] = piece.encode()
                 scores.append(score)
+        # Pieces and all that a piece begins with, so that a search ends where no piece goes on.
+        self.starts = {p[:n]: (-1, 0) for p in self.pieces for n in range(1, len(p))} | self.pieces
         self.unknown = (min(scores) - 10_000_000) << SHIFT
         self.longest = max(map(len, self.pieces))
         self.cut_at_blanks = not any(MARK in p.lstrip(MARK) for p in self.pieces)
@@ -125,16 +127,6 @@ class PieceEncoder:
         """The text with a blank before it."""
         return MARK + text
 
-    def edges(self, s: str, i: int, end: int) -> Iterator[tuple[int, int, int]]:
-        """(end, id, score) of the pieces at i; one unknown character where no piece of one character is."""
-        pieces = self.pieces
-        one = pieces.get(s[i])
-        yield (i + 1, *one) if one else (i + 1, -1, self.unknown)
-        for j in range(i + 2, min(i + self.longest, end) + 1):
-            hit = pieces.get(s[i:j])
-            if hit:
-                yield (j, *hit)
-
     def ahead(self, s: str, begin: int, stop: int, end: int, offset: int):
         """Best scores and last edges from `begin` to every place up to `end`; pieces start before `stop`.
 
@@ -143,14 +135,25 @@ class PieceEncoder:
         best: list = [None] * (end + 1)
         back: list = [None] * (end + 1)
         best[begin] = 0
+        known, longest = self.starts.get, self.longest
+        cuts = _CUTS if offset == 0 and end < len(_CUTS) else [cut_weight(offset + j) for j in range(end + 1)]
         for i in range(begin, stop):
             here = best[i]
             if here is None:
                 continue
-            for j, piece, score in self.edges(s, i, end):
-                total = here + score - cut_weight(offset + j)
+            for j in range(i + 1, min(i + longest, end) + 1):
+                hit = known(s[i:j])
+                if hit is None or hit[0] < 0:
+                    if j == i + 1:  # a character without a piece
+                        total = here + self.unknown - cuts[j]
+                        if best[j] is None or total > best[j]:
+                            best[j], back[j] = total, (i, -1)
+                    if hit is None:
+                        break
+                    continue
+                total = here + hit[1] - cuts[j]
                 if best[j] is None or total > best[j]:
-                    best[j], back[j] = total, (i, piece)
+                    best[j], back[j] = total, (i, hit[0])
         return best, back
 
     def trace(self, s: str, back: list, begin: int, end: int) -> list[int]:
