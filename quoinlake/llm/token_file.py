@@ -29,7 +29,7 @@ from quoinlake.llm.huffman import RUN, canonical_codes, code_lengths, decode_tab
 from quoinlake.workspace import new_folder
 
 END_ID = 2
-MEMORY_ENTRIES = 400_000
+MEMORY_ENTRIES = 300_000
 BUCKET_TOKENS = 20_000_000
 CODED = "doc_id long, bucket int, n_tokens long, checkpoints array<int>, payload binary"
 
@@ -62,39 +62,50 @@ class WordEncoder:
         seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in seen]
         self.letters = {**{b: chr(b) for b in seen}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
-        self.memory: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}  # pieces after a blank, without it
+        self.spelled: dict[str, bytes] = {}  # words with their blank
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def _word(self, word: str) -> bytes:
-        found = self.memory.get(word)
+        found = self.spelled.get(word)
         if found is None:
             spelled = word.encode().decode("latin-1").translate(self.letters)
             found = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u2").tobytes()
             if len(word) < 40:
-                self.memory[word] = found
+                self.spelled[word] = found
         return found
 
     def _piece(self, piece: str) -> bytes:
-        if _UNUSUAL.search(piece):
-            return self._whole(piece)
+        """Ids of a piece; its first character may be the blank before it."""
+        if not piece.isascii() or not piece.isprintable():
+            if _UNUSUAL.search(piece):
+                return self._whole(piece)
+        letters = piece[1:-1] if piece[-1:] in ",." else piece[1:]
+        if piece[:1] == " " and letters.isalpha():  # a word, perhaps with one mark after it
+            n = len(letters) + 1
+            return self._word(piece[:n]) + self._word(piece[n:]) if n < len(piece) else self._word(piece)
         return b"".join([self._word(w) for w in self.words(piece)])
 
     def __call__(self, text: str) -> bytes:
         if not self.by_words or any(s in text for s in self.special):
             return self._whole(text)
-        if len(self.memory) > MEMORY_ENTRIES:
-            self.memory.clear()
+        if len(self.tails) > MEMORY_ENTRIES:
+            self.tails.clear()
+        if len(self.spelled) > MEMORY_ENTRIES:
+            self.spelled.clear()
         pieces = _GAP.split(text) if _WIDE_GAP.search(text) else text.split(" ")
-        pieces = [pieces[0], *[" " + p for p in pieces[1:]]]
-        known = self.memory.get
-        out = [known(p) for p in pieces]
-        for i, found in enumerate(out):
-            if found is None:
-                out[i] = found = self._piece(pieces[i])
-                if len(pieces[i]) < 40:
-                    self.memory[pieces[i]] = found
+        first = pieces[0]
+        out = list(map(self.tails.get, pieces))
+        out[0] = self._piece(first) if first else b""
+        if None in out:
+            for i, found in enumerate(out):
+                if found is None:
+                    piece = pieces[i]
+                    out[i] = found = self._piece(" " + piece)
+                    if len(piece) < 40:
+                        self.tails[piece] = found
         return b"".join(out)
 
 
@@ -148,7 +159,7 @@ def write_token_file(docs: DataFrame, key: str, text: str, folder: str, path: st
             packed = [pack(np.frombuffer(x, "<u2"), codes, size) for x in pdf["ids"]]
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"],
-                "bucket": np.searchsorted(cuts, pdf["doc_id"].fillna(-(2**62)), side="right"),
+                "bucket": np.searchsorted(cuts, pdf["doc_id"].fillna(-(2**62)), side="right").astype(np.int32),
                 "n_tokens": pdf["n"], "checkpoints": [x[1] for x in packed], "payload": [x[0] for x in packed],
             })
 
@@ -172,7 +183,7 @@ def write_token_file(docs: DataFrame, key: str, text: str, folder: str, path: st
                 start += n
             yield pdf.drop(columns="bucket").assign(start=starts)
 
-    coded = ids.mapInPandas(code, CODED).repartitionByRange(len(cuts) + 1, "bucket")
+    coded = ids.mapInPandas(code, CODED).repartitionById(len(cuts) + 1, F.col("bucket"))
     ordered = coded.sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "payload")
     ordered.mapInPandas(
         number, "doc_id long, start long, n_tokens long, checkpoints array<int>, payload binary"
