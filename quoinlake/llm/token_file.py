@@ -29,7 +29,7 @@ from quoinlake.llm.huffman import RUN, canonical_codes, code_lengths, decode_tab
 from quoinlake.workspace import new_folder
 
 END_ID = 2
-MEMORY_ENTRIES = 300_000
+MEMORY_ENTRIES = 450_000
 BUCKET_TOKENS = 20_000_000
 CODED = "doc_id long, bucket int, n_tokens long, checkpoints array<int>, payload binary"
 
