@@ -1,14 +1,20 @@
 """Fingerprints by consistent weighted sampling.
 
 A text's terms are pairs of adjacent words (its first and last word also pair with the
-text's ends), weighted by how often they occur and hashed to 2^16 features. For feature f,
-weight w and sample k, with r and c drawn from Gamma(2, 1) and b from [0, 1) by the hash of
-(f, k):
+text's ends), weighted by how often they occur and hashed to 63 bits. For term f, weight w
+and sample k, with r and c drawn from Gamma(2, 1) and b from [0, 1) by the hash of (f, k):
 
     t = floor(ln w / r + b),  ln y = r (t - b),  ln a = ln c - ln y - r
 
 Sample k is the (f, t) of the smallest a. Two texts agree in a sample with a chance equal
-to the generalised Jaccard similarity of their weights, sum of minima over sum of maxima.
+to the generalised Jaccard similarity of their weights, sum of minima over sum of maxima,
+however long they are: draws belong to the whole hash, no table holds them.
+
+The draws come from three of Exp(1), e1 to e3: a of weight 1 is e1, c = e1 + e2,
+r = ln(c / e1) + e3 and b = 1 - ln(c / e1) / r have the same joint law as above. So ln a is
+ln e1 - r t, which is at most ln e1 and at least ln e1 - ln w - e3: the least e1 of all
+terms, a product and a minimum, rules nearly all draws of repeated terms out.
+
 A fingerprint is 128 samples, each as four hex digits.
 
 Neighbours by ascending id: rows are dealt to ranges of ids whose bounds are quantiles;
@@ -30,24 +36,18 @@ from pyspark.sql import functions as F
 
 from quoinlake.llm.shingles import LANES, U64, mix, word_hashes
 
-SAMPLES, FEATURES = 128, 1 << 16
+SAMPLES, FEATURES = 128, 1 << 63
 FIRST_MARK, LAST_MARK = U64(0x243F6A8885A308D3), U64(0x13198A2E03707344)
-_TABLES: list = []
-
+#: A hash times a sample's odd factor is the sample's draw; the inverse gives the hash back.
+_FACTORS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) + U64(1 << 40)) | U64(1)
+_INVERSES = np.array([pow(int(m), -1, 2**64) for m in _FACTORS], U64)
+_SECOND, _THIRD = U64(0xA4093822299F31D0), U64(0x082EFA98EC4E6C89)
+ROWS = 512
 
-def draws() -> tuple:
-    """r, c and b for each feature and sample, and ln a for weight 1; made once a process."""
-    if not _TABLES:
-        def uniform(lane: int) -> np.ndarray:
-            n = np.arange(FEATURES * SAMPLES, dtype=np.uint64)
-            bits = mix(n * U64(8) + U64(lane) + U64(1 << 40)) >> U64(40)
-            return ((bits.astype(np.float64) + 0.5) / (1 << 24)).astype(np.float32).reshape(FEATURES, SAMPLES)
 
-        r = -np.log(uniform(0)) - np.log(uniform(1))
-        ln_c = np.log(-np.log(uniform(2)) - np.log(uniform(3)))
-        b = uniform(4)
-        _TABLES.append((r, ln_c, b, ln_c + r * b - r))
-    return _TABLES[0]
+def _unit(bits: np.ndarray) -> np.ndarray:
+    """Numbers within (0, 1)."""
+    return ((bits >> U64(12)).astype(np.float64) + 0.5) / (1 << 52)
 
 
 def weighted_features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -59,7 +59,7 @@ def weighted_features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     for b in ends:
         if b > a:
             row = np.concatenate([[FIRST_MARK], words[a:b], [LAST_MARK]])
-            pairs = mix(row[:-1] * LANES[0] + row[1:] * LANES[1]) % U64(FEATURES)
+            pairs = mix(row[:-1] * LANES[0] + row[1:] * LANES[1]) >> U64(1)
             out.append(np.unique(pairs.astype(np.int64), return_counts=True))
         else:
             out.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
@@ -71,28 +71,31 @@ def samples(features: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """16 bits of each sample; empty without features."""
     if not len(features):
         return np.zeros(0, np.uint16)
-    r, ln_c, b, ln_a1 = draws()
-    best = np.full(SAMPLES, np.inf, np.float32)
-    key = np.zeros(SAMPLES, np.uint64)
-    lanes = np.arange(SAMPLES)
-    ones, more = features[weights == 1], features[weights > 1]
-    for at in range(0, len(ones), 4096):
-        f = ones[at : at + 4096]
-        a = ln_a1[f]
-        i = a.argmin(axis=0)
-        low = a[i, lanes]
-        better = low < best
-        best[better], key[better] = low[better], f[i[better]].astype(np.uint64)
-    ln_w = np.log(weights[weights > 1].astype(np.float32))
-    for at in range(0, len(more), 4096):
-        f = more[at : at + 4096]
-        t = np.floor(ln_w[at : at + 4096, None] / r[f] + b[f])
-        a = ln_c[f] - r[f] * (t - b[f]) - r[f]
-        i = a.argmin(axis=0)
-        low = a[i, lanes]
-        better = low < best
-        best[better] = low[better]
-        key[better] = f[i[better]].astype(np.uint64) + (t[i[better], lanes[better]].astype(np.uint64) << U64(17))
+    terms = mix(features.astype(np.uint64) + U64(1))
+    least = np.full(SAMPLES, 2**64 - 1, U64)
+    for at in range(0, len(terms), ROWS):
+        np.minimum(least, (terms[at : at + ROWS, None] * _FACTORS).min(axis=0), out=least)
+    key = least * _INVERSES
+    least_e1 = -np.log1p(-_unit(least))
+    best = np.log(least_e1)
+    repeated = weights > 1
+    terms, weights = terms[repeated], weights[repeated].astype(np.float64)
+    for at in range(0, len(terms), ROWS):
+        w = weights[at : at + ROWS, None]
+        bits = terms[at : at + ROWS, None] * _FACTORS
+        u1, u3 = _unit(bits), _unit(mix(bits ^ _THIRD))
+        i, k = np.nonzero(u1 * u3 <= w * least_e1 * 1.000001)  # e1 is at least u1
+        e1 = -np.log1p(-u1[i, k])
+        e2 = -np.log(_unit(mix(bits[i, k] ^ _SECOND)))
+        above = np.log1p(e2 / e1)
+        r = above - np.log(u3[i, k])
+        t = np.floor(np.log(w[i, 0]) / r + (1 - above / r))
+        a = np.log(e1) - r * t
+        order = np.lexsort((a, k))
+        first = order[np.flatnonzero(np.diff(k[order], prepend=-1))]
+        first = first[a[first] <= best[k[first]]]
+        best[k[first]] = a[first]
+        key[k[first]] = terms[at + i[first]] + t[first].astype(np.uint64) * LANES[2]
     return (mix(key + U64(1)) >> U64(48)).astype(np.uint16)
 
 

@@ -70,3 +70,20 @@ def test_equal_texts_and_ends(spark):
     one = fingerprinted(df.where("doc_id is null"), "doc_id", "text").collect()
     assert one[0]["near_next"] == 1.0
     assert fingerprinted(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_long_unrelated_texts_are_unlike():
+    a, b = (" ".join(f"{side}{i}" for i in range(100_000)) for side in "ab")
+    f, g = fingerprints([a, b])
+    assert likeness(f, g) == 0
+
+
+def test_long_related_texts_and_the_spread_of_the_rate():
+    errors = []
+    for n in range(40):
+        words = [f"{n}w{i}" for i in range(3000)]
+        a, b = words + words[:900], words[:2000] + [f"{n}x{i}" for i in range(1000)] + words[:300] * 2
+        x, y = (sampling.weighted_features([" ".join(t)])[0] for t in (a, b))
+        truth = generalised(*(dict(zip(f.tolist(), w.tolist())) for f, w in (x, y)))
+        errors.append((likeness(samples(*x), samples(*y)) - truth) / (truth * (1 - truth) / sampling.SAMPLES) ** 0.5)
+    assert abs(np.mean(errors)) < 0.6 and 0.6 < np.std(errors) < 1.4
