@@ -26,7 +26,17 @@ EMAIL = rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@(?=[A-Za-z0-9-]++\.)[A-Za-z0-9-][A-Za-
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9][0-9 -]{11,}+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+#: Length of an IBAN by country; further countries have none that is known here.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_BY_LENGTH = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+IBAN_START = r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11})"
+IBAN_ENDS = (rf"^(?:{_BY_LENGTH})(?![A-Za-z0-9])", r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN_CHARS = 70  # the longest IBAN with a blank before each character, and what follows it
 OCTET = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 
 #: Score of a confirmed span by itself, what a context word adds, and the words.
@@ -98,6 +108,32 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(chars, F.lit(0), add) == 1
 
 
+def _ibans(text: Column) -> Column:
+    """Confirmed IBANs. Every start is tried, by the country's length first, so that what follows or precedes one hides none."""
+    none = F.array().cast("array<struct<start:bigint,end:bigint,match:string>>")
+    pieces = F.split(F.regexp_replace(text, IBAN_START, OPEN), OPEN, -1)
+
+    def take(acc: Column, piece: Column) -> Column:
+        near = F.substr(text, (acc["pos"] + 1).cast("int"), F.lit(IBAN_CHARS))
+        ends = F.filter(
+            F.array(*[F.regexp_extract(near, p, 0) for p in IBAN_ENDS]),
+            lambda m: mod97(F.replace(m, F.lit(" "), F.lit(""))),
+        )
+        end = acc["pos"] + F.char_length(F.get(ends, F.lit(0)))
+        hit = F.struct(acc["pos"].alias("start"), end.alias("end"), F.get(ends, F.lit(0)).alias("match"))
+        fresh = (acc["pos"] >= acc["free"]) & (F.size(ends) > 0)
+        return F.struct(
+            (acc["pos"] + F.char_length(piece)).alias("pos"), F.when(fresh, end).otherwise(acc["free"]).alias("free"),
+            F.when(fresh, F.concat(acc["out"], F.array(hit))).otherwise(acc["out"]).alias("out"),
+        )
+
+    def all_of(p: Column) -> Column:
+        zero = F.struct(F.char_length(p[0]).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("free"), none.alias("out"))
+        return F.when(F.size(p) > 1, F.aggregate(F.slice(p, 2, F.size(p)), zero, take, lambda a: a["out"])).otherwise(none)
+
+    return _let(pieces, all_of)
+
+
 def _proposed(text: Column) -> dict[str, Column]:
     """Confirmed matches of each kind, each found on the text with its own stray marks."""
     none = F.array().cast("array<struct<start:bigint,end:bigint,match:string>>")
@@ -121,9 +157,7 @@ def _proposed(text: Column) -> dict[str, Column]:
         F.when(F.contains(text, F.lit("+")), _matches(text, PHONE)).otherwise(none),
         lambda m: within(_digits(m["match"]), 9, 15),
     )
-    iban = F.filter(
-        F.when(digit, _matches(text, IBAN)).otherwise(none), lambda m: mod97(F.replace(m["match"], F.lit(" "), F.lit("")))
-    )
+    iban = F.when(digit, _ibans(text)).otherwise(none)
     return dict(zip(KINDS, (email, ip, card, phone, iban)))
 
 

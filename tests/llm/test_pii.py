@@ -100,3 +100,18 @@ def test_no_rows_and_no_python(spark):
     assert out.count() == 0
     assert "Python" not in out._jdf.queryExecution().toString()
     assert with_spans(df.withColumn("pii", F.lit(1)), "text").columns == ["doc_id", "text", "pii"]
+
+
+def test_ibans_are_found_whatever_stands_beside_them(spark):
+    gb, de, no = "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "NO93 8601 1117 947"
+    texts = {
+        f"{gb} BY Friday": [gb], f"pay {gb} 100 EUR": [gb], f"{gb} {de} {no} A1": [gb, de, no], f"{no} 5 {de} OK": [no, de],
+        f"NO12 345 {gb} BY": [gb], f"XX12 {de}": [de], f"{de}X {gb[:-1]}3 NOW": [], "GB82 WEST 1234 5698 7654 3 2 BY": ["GB82 WEST 1234 5698 7654 3 2"],
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in report(with_spans(df, "text"), "doc_id").collect()}
+    for i, (text, ibans) in enumerate(texts.items()):
+        spans = [s.split(":") for s in got[i].split(",") if s.startswith("iban")]
+        assert [text[int(a) : int(b)] for _, a, b in spans] == ibans, text
+    fixed = redact(with_spans(df.where("doc_id = 0"), "text"), "text").first()["text"]
+    assert fixed == "[IBAN] BY Friday"
