@@ -3,10 +3,12 @@
 Numbers, names (capitals within a sentence) and units (after a number) become typed
 placeholders, so that a question asked again with other values keeps its template. Windows
 of five template words are joined by hash with those of the benchmark. Matches of a
-document and an item at one distance form a run; a run counts if its slots are
-consistent: each value of the item always stands for the same value of the document and
-no two for the same. A document is contaminated by an item if its consistent runs hold at
-least half of the item's windows, and at least four of them or all.
+document and an item at one distance form a run. Of a run, the windows count that have
+equal values or none, and those whose slots are consistent: each value of the item stands
+for the value of the document that it meets most often in the run, and no two names or
+units for the same one (two numbers may become equal). A document is contaminated by an
+item if such windows make at least half of the item's windows, and at least four of them
+or all.
 
 Documents are read once. Of their windows only those leave a task whose bit is set in a
 table of fixed size made of the benchmark's hashes, so what is joined by shuffle is about
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoinlake.llm.jaccard import BIT_WORDS, bit_table
@@ -88,6 +90,18 @@ def _windows(df: DataFrame, key: str, text: str, wanted=None) -> DataFrame:
     return rows.mapInPandas(run, f"id long, {WINDOW}")
 
 
+def _keys(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"k_{c}") for c in columns]).distinct()
+
+
+def _equal(prefix: str, columns: list[str]) -> Column:
+    """Equality with a table of keys in which NULL is a value."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(c).eqNullSafe(F.col(f"{prefix}_{c}"))
+    return out
+
+
 def matches(docs: DataFrame, key: str, text: str, bench: DataFrame, item: str, item_text: str) -> DataFrame:
     """(doc_id, item_id, windows, item_windows, changed) of each document and item that it holds."""
     items = stored(_windows(bench.where(F.col(item).isNotNull()), item, item_text), "items").dropDuplicates(["id", "h", "pos"])
@@ -99,12 +113,21 @@ def matches(docs: DataFrame, key: str, text: str, bench: DataFrame, item: str, i
     )
     met = stored(met.where(F.size("got") == F.size("slots")).withColumn("run", F.col("at") - F.col("pos")), "matches")
     run = ["doc_id", "item_id", "run"]
-    pairs = met.select(*run, F.inline(F.arrays_zip(F.col("slots").alias("a"), F.col("got").alias("b")))).toDF(*run, "a", "b").distinct()
-    twice = pairs.groupBy(*run, "a").count().where("count > 1").select(*run).union(
-        pairs.groupBy(*run, "b").count().where("count > 1").select(*run)
-    ).distinct()
-    same = [F.col(f"m.{c}").eqNullSafe(F.col(f"t.{c}")) for c in run]
-    good = met.alias("m").join(twice.alias("t"), same[0] & same[1] & same[2], "left_anti")
+    changed = met.where(F.col("slots") != F.col("got"))
+    slots = lambda df, *cols: df.select(
+        *cols, F.inline(F.arrays_zip(F.col("slots").alias("a"), F.col("got").alias("b")))
+    ).toDF(*cols, "a", "b")
+    times = slots(met.join(_keys(changed, run), _equal("k", run), "left_semi"), *run).groupBy(*run, "a", "b").agg(
+        F.struct(F.count(F.lit(1)), (F.col("a") == F.col("b")).alias("same")).alias("times")
+    )
+    images = times.groupBy(*run, "a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
+    sources = times.groupBy(*run, "b").agg(F.max_by("a", F.struct("times", "a")).alias("a"))
+    fits = images.select(*run, "a", "b").where("a rlike '^[0-9]'").unionByName(
+        images.select(*run, "a", "b").where("not a rlike '^[0-9]'").intersect(sources.select(*run, "a", "b"))
+    )
+    place = [*run, "pos", "at"]
+    wrong = _keys(slots(changed, *place).join(fits.select(*[F.col(c).alias(f"k_{c}") for c in [*run, "a", "b"]]), _equal("k", [*run, "a", "b"]), "left_anti"), place)
+    good = met.join(wrong, _equal("k", place) & (F.col("slots") != F.col("got")), "left_anti")
     held = good.groupBy("doc_id", "item_id").agg(
         F.count_distinct("pos").alias("windows"), F.max((F.col("slots") != F.col("got")).cast("int")).alias("changed")
     )

@@ -87,3 +87,19 @@ def test_long_text(spark):
     docs = spark.createDataFrame([(1, long)], "doc_id long, text string")
     bench = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
     assert contaminated(docs, "doc_id", "text", bench, "item_id", "text").first()["n_items"] == 1
+
+
+def found(spark, docs, items):
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    return [(r["doc_id"], r["n_items"]) for r in contaminated(df, "doc_id", "text", bench, "item_id", "text").orderBy("doc_id", "n_items").collect()]
+
+
+def test_one_inconsistent_slot_does_not_clear_a_copy(spark):
+    sums = "A farmer sells 3 baskets of ripe plums and then another 5 baskets of sweet pears at the old market before noon ."
+    docs = [
+        (1, "Once more : " + CASES[4].replace("eat 12", "eat 13")),  # verbatim but for one occurrence of a number
+        (2, sums.replace("3", "4").replace("5", "4")),  # two numbers become equal
+        (3, CASES[2]), (4, CASES[3]),
+    ]
+    assert found(spark, docs, [(7, ITEM), (8, sums)]) == [(1, 1), (2, 1), (3, 1), (4, 0)]
