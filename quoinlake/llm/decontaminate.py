@@ -10,17 +10,21 @@ units for the same one (two numbers may become equal). A document is contaminate
 item if such windows make at least half of the item's windows, and at least four of them
 or all.
 
+Items of at most four such windows are also looked for by their literal words, five at a
+time, or all of them if they are fewer, so that a copy of any item with a word is found.
+
 Documents are read once. Of their windows only those leave a task whose bit is set in a
 table of fixed size made of the benchmark's hashes, so what is joined by shuffle is about
 as much as what matches, however large the benchmark grows.
 
-Defined results: NULL and empty texts match nothing; an item of fewer than five template
-words has no window and matches nothing; rows that repeat an id are one document, rows
+Defined results: NULL and empty texts match nothing; an item of fewer than five words is
+one literal window; rows that repeat an id are one document, rows
 without an id are one too; repeated items are one; extra columns are ignored by the report
 and kept by the filter; either table may be empty.
 """
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,7 +37,7 @@ from quoinlake.llm.wordscan import in_batches, scan
 from quoinlake.workspace import stored
 
 SHARE, LEAST, PLAIN_WORDS = 0.5, 4, 3
-NUMBER, NAME, UNIT = (U64(x) for x in (0xA4093822299F31D0, 0x082EFA98EC4E6C89, 0x452821E638D01377))
+NUMBER, NAME, UNIT, LITERAL = (U64(x) for x in (0xA4093822299F31D0, 0x082EFA98EC4E6C89, 0x452821E638D01377, 0xBE5466CF34E90C6C))
 UNIT_WORDS = (
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers "
     "kilometre kilometres centimeter centimeters mg g kg t lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton "
@@ -45,6 +49,41 @@ _UNITS = np.sort(scan(UNIT_WORDS).hashes)
 WINDOW = "h long, pos int, slots array<string>"
 
 
+def _bit(wanted: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    low = (hashes & U64(64 * BIT_WORDS - 1)).astype(np.int64)
+    return (wanted[low >> 6] >> (low & 63)) & 1 == 1
+
+
+def literal_windows(texts: list, lengths: list[int], wanted: "np.ndarray | None" = None) -> Iterator[tuple[int, int, int, list[str]]]:
+    """(text, window hash, position, no slots) of all windows of so many words as they stand, case folded."""
+    for first, part in in_batches(texts):
+        s = scan(part)
+        of = np.searchsorted(s.bounds, np.arange(len(s.starts)), side="right") - 1
+        for length in lengths:
+            n = len(s.starts) - length + 1
+            if n < 1:
+                continue
+            rolled = np.full(n, LITERAL + U64(length), U64)
+            for j in range(length):
+                rolled += s.hashes[j : j + n] * LANES[j]
+            rolled = mix(rolled)
+            ok = of[:n] == of[length - 1 :]
+            if wanted is not None:
+                ok &= _bit(wanted, rolled)
+            for i in np.flatnonzero(ok):
+                yield first + int(of[i]), int(rolled[i : i + 1].view(np.int64)[0]), int(i - s.bounds[of[i]]), []
+
+
+def item_windows(texts: list) -> Iterator[tuple[int, int, int, list[str], int]]:
+    """Template windows of each text, and literal ones where the former are few; the last column is the literal length or 0."""
+    for i, text in enumerate(texts):
+        own = [w[1:] for w in template_windows([text])]
+        yield from ((i, *w, 0) for w in own)
+        if len(own) <= LEAST:
+            length = min(WORDS, len(scan([text]).starts))
+            yield from ((i, *w[1:], length) for w in literal_windows([text], [length] if length else []))
+
+
 def template_windows(texts: list, wanted: "np.ndarray | None" = None) -> Iterator[tuple[int, int, int, list[str]]]:
     """(text, window hash, position, values of its slots) of windows with enough plain words.
 
@@ -69,8 +108,7 @@ def template_windows(texts: list, wanted: "np.ndarray | None" = None) -> Iterato
         plain = np.concatenate([[0], np.cumsum(~slot)])
         ok = (of[:n] == of[WORDS - 1 :]) & (plain[WORDS:] - plain[:n] >= PLAIN_WORDS)
         if wanted is not None:
-            low = (rolled & U64(64 * BIT_WORDS - 1)).astype(np.int64)
-            ok &= (wanted[low >> 6] >> (low & 63)) & 1 == 1
+            ok &= _bit(wanted, rolled)
         for i in np.flatnonzero(ok):
             values = [
                 bytes(s.raw[s.starts[k] : s.ends[k]]).decode(errors="replace").lower() for k in range(i, i + WORDS) if slot[k]
@@ -78,16 +116,21 @@ def template_windows(texts: list, wanted: "np.ndarray | None" = None) -> Iterato
             yield first + int(of[i]), int(rolled[i : i + 1].view(np.int64)[0]), int(i - s.bounds[of[i]]), values
 
 
-def _windows(df: DataFrame, key: str, text: str, wanted=None) -> DataFrame:
+def _windows(df: DataFrame, key: str, text: str, wanted=None, lengths: "list[int] | None" = None) -> DataFrame:
+    """Windows of documents by a bit table, with literal ones of the given lengths; without a table those of items."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = wanted.value if wanted is not None else None
         for pdf in batches:
-            ids = pdf["id"].tolist()
-            rows = [(ids[i], h, pos, slots) for i, h, pos, slots in template_windows(list(pdf["text"]), bits)]
-            yield pd.DataFrame(rows, columns=["id", "h", "pos", "slots"]).astype({"id": "Int64"})
+            ids, texts = pdf["id"].tolist(), list(pdf["text"])
+            if bits is None:
+                found = item_windows(texts)
+            else:
+                found = ((*w, 0) for w in chain(template_windows(texts, bits), literal_windows(texts, lengths, bits)))
+            rows = [(ids[i], *w) for i, *w in found]
+            yield pd.DataFrame(rows, columns=["id", "h", "pos", "slots", "literal"]).astype({"id": "Int64"})
 
     rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, f"id long, {WINDOW}")
+    return rows.mapInPandas(run, f"id long, {WINDOW}, literal int")
 
 
 def _keys(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -107,12 +150,13 @@ def matches(docs: DataFrame, key: str, text: str, bench: DataFrame, item: str, i
     items = stored(_windows(bench.where(F.col(item).isNotNull()), item, item_text), "items").dropDuplicates(["id", "h", "pos"])
     spark = docs.sparkSession
     hashes = items.select(F.col("h").bitwiseAND(F.lit(64 * BIT_WORDS - 1)).alias("h")).distinct()
-    found = _windows(docs, key, text, spark.sparkContext.broadcast(bit_table(hashes)))
+    lengths = [r[0] for r in items.where("literal > 0").select("literal").distinct().collect()]  # five at most
+    found = _windows(docs, key, text, spark.sparkContext.broadcast(bit_table(hashes)), lengths)
     met = found.select(F.col("id").alias("doc_id"), "h", F.col("pos").alias("at"), F.col("slots").alias("got")).join(
-        items.select(F.col("id").alias("item_id"), "h", "pos", "slots"), "h"
+        items.select(F.col("id").alias("item_id"), "h", "pos", "slots", (F.col("literal") > 0).alias("literal")), "h"
     )
     met = stored(met.where(F.size("got") == F.size("slots")).withColumn("run", F.col("at") - F.col("pos")), "matches")
-    run = ["doc_id", "item_id", "run"]
+    run = ["doc_id", "item_id", "literal", "run"]
     changed = met.where(F.col("slots") != F.col("got"))
     slots = lambda df, *cols: df.select(
         *cols, F.inline(F.arrays_zip(F.col("slots").alias("a"), F.col("got").alias("b")))
@@ -128,13 +172,15 @@ def matches(docs: DataFrame, key: str, text: str, bench: DataFrame, item: str, i
     place = [*run, "pos", "at"]
     wrong = _keys(slots(changed, *place).join(fits.select(*[F.col(c).alias(f"k_{c}") for c in [*run, "a", "b"]]), _equal("k", [*run, "a", "b"]), "left_anti"), place)
     good = met.join(wrong, _equal("k", place) & (F.col("slots") != F.col("got")), "left_anti")
-    held = good.groupBy("doc_id", "item_id").agg(
+    held = good.groupBy("doc_id", "item_id", "literal").agg(
         F.count_distinct("pos").alias("windows"), F.max((F.col("slots") != F.col("got")).cast("int")).alias("changed")
     )
-    sizes = items.groupBy(F.col("id").alias("item_id")).agg(F.count_distinct("pos").alias("item_windows"))
-    held = held.join(sizes, "item_id")
+    sizes = items.groupBy(F.col("id").alias("item_id"), (F.col("literal") > 0).alias("literal")).agg(F.count_distinct("pos").alias("item_windows"))
+    held = held.join(sizes, ["item_id", "literal"])
     enough = (F.col("windows") >= SHARE * F.col("item_windows")) & (F.col("windows") >= F.least(F.lit(LEAST), F.col("item_windows")))
-    return held.where(enough).select("doc_id", "item_id", "windows", "item_windows", (F.col("changed") == 1).alias("changed"))
+    told = F.min(F.struct("literal", "windows", "item_windows", (F.col("changed") == 1).alias("changed"))).alias("told")
+    held = held.where(enough).groupBy("doc_id", "item_id").agg(told)
+    return held.select("doc_id", "item_id", "told.windows", "told.item_windows", "told.changed")
 
 
 def contaminated(docs: DataFrame, key: str, text: str, bench: DataFrame, item: str, item_text: str) -> DataFrame:

@@ -103,3 +103,10 @@ def test_one_inconsistent_slot_does_not_clear_a_copy(spark):
         (3, CASES[2]), (4, CASES[3]),
     ]
     assert found(spark, docs, [(7, ITEM), (8, sums)]) == [(1, 1), (2, 1), (3, 1), (4, 0)]
+
+
+def test_copies_of_short_and_slot_dense_items_are_found(spark):
+    items = [(1, "Compute 12 + 7 - 3 ."), (2, "Did Anna Berg pay Carl Dorn 12 , 40 or 77 dollars in Ulm 1999 or Bonn 2004 ?"), (3, "Why ?"), (4, "Tom eats 3 red apples daily .")]
+    docs = [(1, "So he said : compute 12 + 7 - 3 ."), (2, f"He asked : {items[1][1]} Nobody knew ."), (3, "I wonder why it rains ."),
+            (4, "It is said that Tom eats 3 red apples daily ."), (5, "Compute 12 + 8 - 3 and see what Anna Berg pays in Ulm 1999 .")]
+    assert found(spark, docs, items) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 0)]
