@@ -29,6 +29,7 @@ from quoinlake.llm.wordscan import Scan, in_batches, scan
 from quoinlake.workspace import stored
 
 SAMPLE_DOCS = 6000
+VARIETY_WORDS = 1000
 SCREENED = 30_000  # features with the strongest association that enter a fit
 INSULTS = "worthless loser pathetic disgusting idiot trash moron scum stupid clown".split()
 STRONG = "idiot moron scum worthless disgusting dumb bastard fool".split()
@@ -54,6 +55,17 @@ def _class_counts() -> dict[str, np.ndarray]:
 _CLASSES = _class_counts()
 
 
+def variety(words: np.ndarray) -> float:
+    """Least share of distinct words in a stretch of VARIETY_WORDS words; the last stretch ends with the text."""
+    n = len(words)
+    if n <= VARIETY_WORDS:
+        return len(np.unique(words)) / max(1, n)
+    whole = n // VARIETY_WORDS * VARIETY_WORDS
+    rows = np.sort(words[:whole].reshape(-1, VARIETY_WORDS), axis=1)
+    distinct = (rows[:, 1:] != rows[:, :-1]).sum(axis=1).min() + 1
+    return min(int(distinct), len(np.unique(words[-VARIETY_WORDS:]))) / VARIETY_WORDS
+
+
 def shapes(texts: list) -> pd.DataFrame:
     """Numbers on which the heuristics rest, one row a text."""
     out = []
@@ -79,7 +91,7 @@ def shapes(texts: list) -> pd.DataFrame:
                 n, int(same[b - 1] - same[a]) / n if n > 1 else 0.0,
                 sums["symbols"][i] / max(1, sums["solid"][i]),
                 sums["upper"][i] / max(1, sums["upper"][i] + sums["lower"][i]),
-                len(np.unique(s.hashes[a:b][: 1000])) / max(1, min(n, 1000)),
+                variety(s.hashes[a:b]),
                 (bare_sum[token_end[i]] - bare_sum[t0]) / max(1, token_end[i] - t0),
                 sums["marks"][i] / max(1, sums["solid"][i]),
                 len(insult), int(np.isin(s.hashes[a:b], _STRONG).any()) if n else 0,

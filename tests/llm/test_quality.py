@@ -76,3 +76,14 @@ def test_empty_tables(spark, tables):
     assert scored(docs.limit(0), train(docs.limit(0), labels.limit(0))).count() == 0
     assert scored(docs.limit(20), train(docs.limit(20), labels.limit(0))).count() == 20
     assert quality.SAMPLE_DOCS == 6000
+
+
+def test_variety_reads_the_whole_text():
+    head = " ".join(f"{a}{b}" for a in "abcdefghijklmnopqrstuvwxyzäöüßéè" for b in "abcdefghijklmnopqrstuvwxyzäöüßéè")
+    junk = "the same few lines stand here once more. " * 3000
+    texts = [head, f"{head} {junk}", f"{junk} {head}", f"{head} {junk} {head}", " ".join([head] * 20)]
+    x = shapes(texts)["variety"]
+    assert x[0] == 1 and x[4] == 1 and (x[1:4] < 0.25).all()
+    q, _ = votes(shapes(texts))
+    j = quality.QUALITY_LABELLERS.index("variety")
+    assert (q[1:4, j] == 0).all() and (q[1:4, j + 3] != 1).all() and q[0, j] == q[4, j] == 2
