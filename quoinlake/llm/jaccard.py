@@ -11,6 +11,10 @@ each (the prefix that a partner must meet). Two relations save comparisons:
   the bounds decide are not compared again, and pairs already in one component are not
   even listed, so a group of near copies costs as many comparisons as it has members.
 
+Links are counted afterwards, as all of them lie within components: the sets of each are
+dealt to blocks, and a task multiplies the incidence matrices of two blocks, so that every
+pair is counted and none is stored.
+
 Any order of shingles gives the same result. Frequent shingles come last: every task counts
 the shingles of its sets, those met more than once are summed over all tasks, and up to
 `MOST_HOT` of the most frequent are ranked; this bounds what is broadcast, at 16 MB, and
@@ -24,6 +28,7 @@ rows that repeat an id are judged by their own texts; an empty table gives no ro
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,6 +42,9 @@ HOT, MOST_HOT = 32, 1 << 20
 PIVOTS = 2
 EXTRA = 0.02
 BIT_WORDS = 1 << 20  # 64-bit words of the bit table
+#: Members in a block of a component when links are counted, blocks before they grow, and the most that one holds.
+BLOCK, BLOCKS, LARGEST_BLOCK = 1 << 16, 16, 1 << 19
+COLUMNS = 2048
 
 
 def signature(s: np.ndarray) -> int:
@@ -154,20 +162,15 @@ def bit_table(hashed: DataFrame) -> np.ndarray:
     return table
 
 
-def overlaps(docs: DataFrame, key: str, text: str, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Add the exact `overlap` to pairs (x, y) of set names; stored.
-
-    One document of each set is read again; its hashes, cut to 48 bits, travel with the
-    pair. The join splits the rows of a hot pivot.
-    """
-    wanted = pairs.select(F.col("x").alias("name")).union(pairs.select("y")).distinct()
+def members(docs: DataFrame, key: str, text: str, sets: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, members) of the named sets, stored: one document of each is read again, its hashes cut to 48 bits."""
     firsts = sets.groupBy("name").agg(F.min("doc_id").alias("id"))
-    wanted = stored(wanted.join(firsts, "name"), "wanted")
+    wanted = stored(names.join(firsts, "name"), "wanted")
     spark = docs.sparkSession
     hashed = wanted.select(F.pmod(F.xxhash64("id"), F.lit(64 * BIT_WORDS)).alias("h"))
     bits = spark.sparkContext.broadcast(bit_table(hashed))
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for part in _few(batches):
             h = part.column("h").to_numpy()
@@ -185,13 +188,20 @@ def overlaps(docs: DataFrame, key: str, text: str, sets: DataFrame, pairs: DataF
         F.col(text).alias("text"),
         F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(64 * BIT_WORDS)).alias("h"),
     )
-    found = rows.mapInArrow(members, "name long, members binary")
-    found = stored(found.join(wanted.select("name"), "name", "left_semi").dropDuplicates(["name"]), "members")
+    found = rows.mapInArrow(read, "name long, members binary")
+    return stored(found.join(wanted.select("name"), "name", "left_semi").dropDuplicates(["name"]), "members")
 
-    def unpack(raw: bytes) -> np.ndarray:
-        wide = np.zeros((len(raw) // 6, 8), np.uint8)
-        wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-        return wide.view(U64).ravel()
+
+def unpack(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return wide.view(U64).ravel()
+
+
+def overlaps(docs: DataFrame, key: str, text: str, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Add the exact `overlap` to pairs (x, y) of set names; stored. The join splits the rows of a hot pivot."""
+    wanted = pairs.select(F.col("x").alias("name")).union(pairs.select("y")).distinct()
+    found = members(docs, key, text, sets, wanted)
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _few(batches, 50):
@@ -204,6 +214,60 @@ def overlaps(docs: DataFrame, key: str, text: str, sets: DataFrame, pairs: DataF
     return stored(pairs.join(counted, ["x", "y"]), "overlaps")
 
 
+def linked_counts(of: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, split: int, percent: int) -> np.ndarray:
+    """Links of each set to others; with `split`, only those between sets before and from that number.
+
+    `of` is the number of the set that each hash is of, in ascending order.
+    """
+    _, column, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    of, column = of[shared], (np.cumsum(times > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    k = len(sizes)
+    left, right = (slice(0, split), slice(split, k)) if split else (slice(0, k), slice(0, k))
+    both = np.zeros((left.stop - left.start, right.stop - right.start), np.float64)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [first, first + COLUMNS])
+        grid = np.zeros((k, COLUMNS), np.float32)
+        grid[of[a:b], column[a:b] - first] = 1
+        both += grid[left] @ grid[right].T
+    n = sizes.astype(np.float64)
+    linked = (both > 0) & (both * (100 + percent) >= (n[left, None] + n[None, right]) * percent)
+    if split:
+        return np.concatenate([linked.sum(axis=1), linked.sum(axis=0)])
+    np.fill_diagonal(linked, False)
+    return linked.sum(axis=1)
+
+
+def link_counts(docs: DataFrame, key: str, text: str, named: DataFrame, sizes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(name, n_links): how many other sets each set of a component is similar to, by all its pairs."""
+    own = roots.toDF("name", "root").distinct().join(sizes, "name")
+    extent = own.groupBy("root").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k"))
+    blocks = F.greatest(F.least(F.ceil(F.col("total") / BLOCK), F.lit(BLOCKS)), F.ceil(F.col("total") / LARGEST_BLOCK))
+    own = own.join(extent.select("root", F.least(blocks, "k").alias("blocks")), "root")
+    own = own.withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")))
+    rows = own.join(members(docs, key, text, named, own.select("name")), "name").withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    )
+    rows = rows.select(
+        "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "name", "n", "members"
+    )
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block", kind="stable")
+        split = int((pdf["block"] == pdf["i"]).sum()) if pdf["i"].iloc[0] != pdf["j"].iloc[0] else 0
+        if pdf["i"].iloc[0] != pdf["j"].iloc[0] and split in (0, len(pdf)):
+            return pd.DataFrame({"name": pdf["name"], "links": 0})
+        sets = [unpack(m) for m in pdf["members"]]
+        of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        links = linked_counts(of, np.concatenate(sets), pdf["n"].to_numpy(), split, percent)
+        return pd.DataFrame({"name": pdf["name"], "links": links})
+
+    counted = rows.groupBy("root", "i", "j").applyInPandas(count, "name long, links long")
+    return counted.groupBy("name").agg(F.sum("links").alias("n_links"))
+
+
 def pivot_pairs(lists: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Each set with the pivots of most of its lists (x below y)."""
     met = lists.where("name <> pivot").groupBy("name", "pivot", "n").agg(F.count(F.lit(1)).alias("met"))
@@ -285,7 +349,7 @@ def decide(pairs: DataFrame, answers: DataFrame, sizes: DataFrame, percent: int)
 def similar_components(docs: DataFrame, key: str, text: str, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for every row of `docs`.
 
-    `n_links` counts the compared or derived links of the row's set to other sets.
+    `n_links` is the number of other sets that the row's set is similar to.
     """
     sets, hot = described(docs, key, text)
     named = sets.where("name is not null")
@@ -309,7 +373,7 @@ def similar_components(docs: DataFrame, key: str, text: str, percent: int = PERC
     links = stored(links.union(derived).union(checked), "edges")
     roots = components(links, "x", "y")
 
-    degree = links.select("x").union(links.select("y")).toDF("name").groupBy("name").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = link_counts(docs, key, text, named, sizes, roots, percent)
     firsts = named.groupBy("name").agg(F.min("doc_id").alias("first"))
     firsts = firsts.join(roots.toDF("name", "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     least = firsts.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -92,3 +92,23 @@ def test_components_of_a_chain_and_a_star(spark, n):
     edges = [(i, i + 1) for i in range(n)] + [(1000, 1000 + i) for i in range(1, 40)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect())
     assert got == {i: 0 for i in range(n + 1)} | {1000 + i: 1000 for i in range(40)}
+
+
+def links(rows):
+    sets = {frozenset(shingles(t)) for _, t in rows}
+    near = lambda a, b: a != b and a & b and 100 * len(a & b) >= 80 * len(a | b)
+    return sorted((d, sum(1 for y in sets if near(frozenset(shingles(t)), y))) for d, t in rows)
+
+
+@pytest.mark.parametrize("block", [1 << 16, 200])
+def test_every_link_is_counted(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "COLUMNS", 64)
+    r, rows = random.Random(3), []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(r.choice([30, 90]))]
+        rows += [" ".join(edited(base, r, r.choice([0, 0.01, 0.02, 0.03]))) for _ in range(12)]
+    rows = list(enumerate([*rows, None, "", "alone here"]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_links"]) for r in similar_components(df, "doc_id", "text").collect())
+    assert got == links(rows) and max(n for _, n in got) > 4
