@@ -18,8 +18,8 @@ table of fixed size made of the benchmark's hashes, so what is joined by shuffle
 as much as what matches, however large the benchmark grows.
 
 Defined results: NULL and empty texts match nothing; an item of fewer than five words is
-one literal window; rows that repeat an id are one document, rows
-without an id are one too; repeated items are one; extra columns are ignored by the report
+one literal window; each row is judged by its own text, whatever
+rows share its id or have none; repeated items are one; extra columns are ignored by the report
 and kept by the filter; either table may be empty.
 """
 
@@ -116,21 +116,26 @@ def template_windows(texts: list, wanted: "np.ndarray | None" = None) -> Iterato
             yield first + int(of[i]), int(rolled[i : i + 1].view(np.int64)[0]), int(i - s.bounds[of[i]]), values
 
 
+def _row(key: Column, text: Column) -> Column:
+    """Name of a row: rows of equal id and text have the same."""
+    return F.concat_ws(":", F.coalesce(key.cast("bigint").cast("string"), F.lit("-")), F.xxhash64(text).cast("string"))
+
+
 def _windows(df: DataFrame, key: str, text: str, wanted=None, lengths: "list[int] | None" = None) -> DataFrame:
     """Windows of documents by a bit table, with literal ones of the given lengths; without a table those of items."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = wanted.value if wanted is not None else None
         for pdf in batches:
-            ids, texts = pdf["id"].tolist(), list(pdf["text"])
+            ids, names, texts = pdf["id"].tolist(), pdf["row"].tolist(), list(pdf["text"])
             if bits is None:
                 found = item_windows(texts)
             else:
                 found = ((*w, 0) for w in chain(template_windows(texts, bits), literal_windows(texts, lengths, bits)))
-            rows = [(ids[i], *w) for i, *w in found]
-            yield pd.DataFrame(rows, columns=["id", "h", "pos", "slots", "literal"]).astype({"id": "Int64"})
+            rows = [(ids[i], names[i], *w) for i, *w in found]
+            yield pd.DataFrame(rows, columns=["id", "row", "h", "pos", "slots", "literal"]).astype({"id": "Int64"})
 
-    rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, f"id long, {WINDOW}, literal int")
+    rows = df.select(F.col(key).cast("bigint").alias("id"), _row(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text"))
+    return rows.mapInPandas(run, f"id long, row string, {WINDOW}, literal int")
 
 
 def _keys(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -146,17 +151,17 @@ def _equal(prefix: str, columns: list[str]) -> Column:
 
 
 def matches(docs: DataFrame, key: str, text: str, bench: DataFrame, item: str, item_text: str) -> DataFrame:
-    """(doc_id, item_id, windows, item_windows, changed) of each document and item that it holds."""
+    """(doc_id, row, item_id, windows, item_windows, changed) of each document and item that it holds."""
     items = stored(_windows(bench.where(F.col(item).isNotNull()), item, item_text), "items").dropDuplicates(["id", "h", "pos"])
     spark = docs.sparkSession
     hashes = items.select(F.col("h").bitwiseAND(F.lit(64 * BIT_WORDS - 1)).alias("h")).distinct()
     lengths = [r[0] for r in items.where("literal > 0").select("literal").distinct().collect()]  # five at most
     found = _windows(docs, key, text, spark.sparkContext.broadcast(bit_table(hashes)), lengths)
-    met = found.select(F.col("id").alias("doc_id"), "h", F.col("pos").alias("at"), F.col("slots").alias("got")).join(
+    met = found.select(F.col("id").alias("doc_id"), "row", "h", F.col("pos").alias("at"), F.col("slots").alias("got")).join(
         items.select(F.col("id").alias("item_id"), "h", "pos", "slots", (F.col("literal") > 0).alias("literal")), "h"
     )
     met = stored(met.where(F.size("got") == F.size("slots")).withColumn("run", F.col("at") - F.col("pos")), "matches")
-    run = ["doc_id", "item_id", "literal", "run"]
+    run = ["row", "item_id", "literal", "run"]
     changed = met.where(F.col("slots") != F.col("got"))
     slots = lambda df, *cols: df.select(
         *cols, F.inline(F.arrays_zip(F.col("slots").alias("a"), F.col("got").alias("b")))
@@ -172,24 +177,24 @@ def matches(docs: DataFrame, key: str, text: str, bench: DataFrame, item: str, i
     place = [*run, "pos", "at"]
     wrong = _keys(slots(changed, *place).join(fits.select(*[F.col(c).alias(f"k_{c}") for c in [*run, "a", "b"]]), _equal("k", [*run, "a", "b"]), "left_anti"), place)
     good = met.join(wrong, _equal("k", place) & (F.col("slots") != F.col("got")), "left_anti")
-    held = good.groupBy("doc_id", "item_id", "literal").agg(
+    held = good.groupBy("doc_id", "row", "item_id", "literal").agg(
         F.count_distinct("pos").alias("windows"), F.max((F.col("slots") != F.col("got")).cast("int")).alias("changed")
     )
     sizes = items.groupBy(F.col("id").alias("item_id"), (F.col("literal") > 0).alias("literal")).agg(F.count_distinct("pos").alias("item_windows"))
     held = held.join(sizes, ["item_id", "literal"])
     enough = (F.col("windows") >= SHARE * F.col("item_windows")) & (F.col("windows") >= F.least(F.lit(LEAST), F.col("item_windows")))
     told = F.min(F.struct("literal", "windows", "item_windows", (F.col("changed") == 1).alias("changed"))).alias("told")
-    held = held.where(enough).groupBy("doc_id", "item_id").agg(told)
-    return held.select("doc_id", "item_id", "told.windows", "told.item_windows", "told.changed")
+    held = held.where(enough).groupBy("doc_id", "row", "item_id").agg(told)
+    return held.select("doc_id", "row", "item_id", "told.windows", "told.item_windows", "told.changed")
 
 
 def contaminated(docs: DataFrame, key: str, text: str, bench: DataFrame, item: str, item_text: str) -> DataFrame:
     """One row per row of `docs`: doc_id, n_items held, the smallest of them, and if values were changed."""
-    held = matches(docs, key, text, bench, item, item_text).groupBy("doc_id").agg(
+    held = matches(docs, key, text, bench, item, item_text).groupBy("row").agg(
         F.count(F.lit(1)).alias("n_items"), F.min("item_id").alias("item_id"), F.max("changed").alias("changed")
     )
-    ids = docs.select(F.col(key).cast("bigint").alias("id"))
-    return ids.join(held, F.col("id").eqNullSafe(F.col("doc_id")), "left").select(
+    ids = docs.select(F.col(key).cast("bigint").alias("id"), _row(F.col(key), F.col(text)).alias("row"))
+    return ids.join(held, "row", "left").select(
         F.col("id").alias("doc_id"), F.coalesce("n_items", F.lit(0)).alias("n_items"), "item_id",
         F.coalesce("changed", F.lit(False)).alias("changed"),
     )
@@ -205,5 +210,5 @@ def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: documents that hold a benchmark item go."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    held = matches(docs, "doc_id", "text", bench, "item_id", "text").select(F.col("doc_id").alias("_held")).distinct()
-    return docs.join(held, F.col("doc_id").eqNullSafe(F.col("_held")), "left_anti")
+    held = matches(docs, "doc_id", "text", bench, "item_id", "text").select(F.col("row").alias("_held")).distinct()
+    return docs.join(held, _row(docs["doc_id"], docs["text"]) == F.col("_held"), "left_anti")

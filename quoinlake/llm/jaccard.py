@@ -79,21 +79,21 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 0: each document with its set's size and name; kind 1: shingles met more than once."""
     seen, held, count = set(), [], 0
 
-    def rows(kind: int, ids, sizes, names) -> pa.RecordBatch:
+    def rows(kind: int, ids, sizes, names, hashes) -> pa.RecordBatch:
         return _batch(
             kind=(np.full(len(sizes), kind, np.int32), pa.int32()), doc_id=(ids, pa.int64()), n=(sizes, pa.int64()),
-            name=(names, pa.int64()),
+            name=(names, pa.int64()), text_hash=(hashes, pa.int64()),
         )
 
     def repeated() -> pa.RecordBatch:
         token, times = np.unique(np.concatenate(held), return_counts=True)
         token, times = token[times > 1], times[times > 1]
-        return rows(1, [None] * len(token), times, token.view(np.int64))
+        return rows(1, [None] * len(token), times, token.view(np.int64), [None] * len(token))
 
     for part in _few(batches):
         sets = shingle_sets(part.column("text").to_pylist())
         names = [signature(s) if len(s) else None for s in sets]
-        yield rows(0, part.column("doc_id").to_pylist(), [len(s) for s in sets], names)
+        yield rows(0, part.column("doc_id").to_pylist(), [len(s) for s in sets], names, part.column("text_hash").to_pylist())
         for name, s in zip(names, sets):
             if len(s) and name not in seen:
                 seen.add(name)
@@ -107,9 +107,9 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def described(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, name) of all documents, and the hot shingles (token, times)."""
-    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    found = stored(rows.mapInArrow(_describe, "kind int, doc_id long, n long, name long"), "sets")
+    """(doc_id, n, name, text_hash) of all documents, and the hot shingles (token, times)."""
+    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+    found = stored(rows.mapInArrow(_describe, "kind int, doc_id long, n long, name long, text_hash long"), "sets")
     hot = found.where("kind = 1").groupBy(F.col("name").alias("token")).agg(F.sum("n").alias("times"))
     hot = hot.where(F.col("times") >= HOT).orderBy(F.desc("times"), "token").limit(MOST_HOT)
     return found.where("kind = 0").drop("kind"), hot
@@ -346,11 +346,8 @@ def decide(pairs: DataFrame, answers: DataFrame, sizes: DataFrame, percent: int)
     return pairs.join(bounds, ["x", "y"], "left")
 
 
-def similar_components(docs: DataFrame, key: str, text: str, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) for every row of `docs`.
-
-    `n_links` is the number of other sets that the row's set is similar to.
-    """
+def linked_sets(docs: DataFrame, key: str, text: str, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows' sets (doc_id, n, name, text_hash), their sizes (name, n), and (node, root) of the sets that have links."""
     sets, hot = described(docs, key, text)
     named = sets.where("name is not null")
     sizes = stored(named.groupBy("name").agg(F.min("n").alias("n")), "sizes")
@@ -371,8 +368,16 @@ def similar_components(docs: DataFrame, key: str, text: str, percent: int = PERC
     ).select("x", "y", "n", "m")
     checked = overlaps(docs, key, text, named, doubt).where(enough(F.col("overlap"), n, m, percent)).select("x", "y")
     links = stored(links.union(derived).union(checked), "edges")
-    roots = components(links, "x", "y")
+    return sets, sizes, components(links, "x", "y")
+
 
+def similar_components(docs: DataFrame, key: str, text: str, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) for every row of `docs`.
+
+    `n_links` is the number of other sets that the row's set is similar to.
+    """
+    sets, sizes, roots = linked_sets(docs, key, text, percent)
+    named = sets.where("name is not null")
     degree = link_counts(docs, key, text, named, sizes, roots, percent)
     firsts = named.groupBy("name").agg(F.min("doc_id").alias("first"))
     firsts = firsts.join(roots.toDF("name", "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))
@@ -389,13 +394,19 @@ def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: of each component the document with the smallest id stays.
+    """Pipeline: of each component the first row by id and text stays.
 
-    Rows that repeat an id are one document, of which the first text stays; rows without
-    an id are not judged and stay.
+    Each row is judged by its own text, whatever rows share its id; rows without words have
+    no component and stay, as do rows without an id, which are not judged.
     """
-    found = similar_components(docs.where("doc_id is not null"), "doc_id", "text")
-    kept = found.where("component_id = doc_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("text")
-    one = docs.join(kept, "doc_id", "left_semi").withColumn("_row", F.row_number().over(first)).where("_row = 1")
-    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    sets, _, roots = linked_sets(docs.where("doc_id is not null"), "doc_id", "text")
+    own = sets.join(roots.toDF("name", "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    first = own.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
+    row = [F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64("text").alias("_hash")]
+    rows = docs.where("doc_id is not null").select("*", *row)
+    kept = rows.join(first.select(F.col("row.doc_id").alias("_id"), F.col("row.text_hash").alias("_hash")), ["_id", "_hash"], "left_semi")
+    order = Window.partitionBy("_id", "_hash").orderBy("text")
+    one = kept.withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*docs.columns)
+    blank = sets.where("name is null").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    wordless = rows.join(blank, ["_id", "_hash"], "left_semi").select(*docs.columns)
+    return one.unionByName(wordless).unionByName(docs.where("doc_id is null"))

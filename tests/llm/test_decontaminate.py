@@ -110,3 +110,14 @@ def test_copies_of_short_and_slot_dense_items_are_found(spark):
     docs = [(1, "So he said : compute 12 + 7 - 3 ."), (2, f"He asked : {items[1][1]} Nobody knew ."), (3, "I wonder why it rains ."),
             (4, "It is said that Tom eats 3 red apples daily ."), (5, "Compute 12 + 8 - 3 and see what Anna Berg pays in Ulm 1999 .")]
     assert found(spark, docs, items) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 0)]
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    half = len(ITEM) // 2
+    docs = [(None, ITEM), (None, "clean text of its own"), (5, ITEM), (5, "another clean text"), (None, ITEM[:half]), (None, "x " + ITEM[half:])]
+    assert sorted(n for i, n in found(spark, docs, [(7, ITEM)]) if i == 5) == [0, 1]
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    rows = [(i, item if t == ITEM else t, "en", "s", 1) for i, t in docs]
+    got = decontamination_stage(spark, spark.createDataFrame(rows, schema), SF).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted((str(i), t) for i, t in docs if t != ITEM)

@@ -112,3 +112,10 @@ def test_every_link_is_counted(spark, monkeypatch, block):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r["doc_id"], r["n_links"]) for r in similar_components(df, "doc_id", "text").collect())
     assert got == links(rows) and max(n for _, n in got) > 4
+
+
+def test_stage_judges_rows_that_repeat_an_id_by_their_own_texts(spark):
+    rows = [(1, "a b c d e f"), (1, "q r s t u v"), (2, "Q r s t u v"), (2, "k l m n o p"), (3, None), (3, "k l m n o p"), (3, "")]
+    df = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+    got = [(r["doc_id"], r["text"]) for r in jaccard_stage(spark, df, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, "a b c d e f"), (1, "q r s t u v"), (2, "k l m n o p"), (3, None), (3, "")], key=str)
