@@ -9,7 +9,7 @@ from quoinlake.fixed_values import CONTEXT_COLUMNS
 from quoinlake.functions.numeric import exact_round, hash_percent
 from quoinlake.operators.context import attach_context, context_present, fit_gate
 from quoinlake.operators.features import (
-    default_category, feature_stages, label_index, one_hot, scale_fit, scale_std,
+    default_category, feature_stages, label_index, one_hot_slots, scale_fit, scale_std,
 )
 from quoinlake.operators.impute import impute_fit, impute_train
 from quoinlake.operators.model import (
@@ -94,12 +94,12 @@ ranked as (select property_type, row_number() over (order by n desc, property_ty
 select raw.ad_id, coalesce(i = 0, false)::int as pt_0, coalesce(i = 1, false)::int as pt_1, coalesce(i = 2, false)::int as pt_2, (i is null)::int as pt_unseen
 from raw left join ranked using (property_type)""")
 def hot(spark, sf_dir):
+    """The slots of the three most frequent labels and the spare one, by index: any number of labels will do."""
     raw = raw_listings(spark, sf_dir)
-    ranked = label_index(raw, "property_type").orderBy("label_idx").limit(MOST_LABELS + 1).collect()
-    if len(ranked) > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} labels do not make a vector")
-    labels_in_order = [r["label"] for r in ranked]
-    return one_hot(raw, "property_type", labels_in_order, "pt").select("ad_id", "pt_0", "pt_1", "pt_2", "pt_unseen")
+    slots = one_hot_slots(raw, "property_type", label_index(raw, "property_type"), "pt")
+    flags = {f"pt_{i}": (F.col("pt_slot") == i) & (i < F.col("pt_size") - 1) for i in range(3)}
+    flags["pt_unseen"] = F.col("pt_slot") == F.col("pt_size") - 1
+    return slots.select("ad_id", *[flag.cast("int").alias(name) for name, flag in flags.items()])
 
 
 @query("std_scale", f"""
@@ -113,8 +113,6 @@ def scaled(spark, sf_dir):
     return out.select("l_orderkey", "l_linenumber", "l_partkey", *[exact_round(c, 4).alias(c) for c in cols])
 
 
-MOST_LABELS = 1000
-
 METRICS_SQL = f"""{PRED_SQL},
 e as (select model_version, listing_ppm2 as y, predicted_ppm2 as p,
   case when is_undervalued then 'macro' else 'no_macro' end as features from preds),
