@@ -6,28 +6,28 @@ from pyspark.sql import functions as F
 
 from quoinlake.fixed_values import LABEL, UNDERVALUED_FROM
 from quoinlake.functions.numeric import exact_round, relative_change, total_value
+from quoinlake.operators.compiled import predicted
 from quoinlake.schemas import PREDICTIONS
 
 
 def flag_undervalued(
-    df: DataFrame, predicted: str = "predicted_ppm2", actual: str = LABEL,
+    df: DataFrame, estimate: str = "predicted_ppm2", actual: str = LABEL,
     threshold: float = UNDERVALUED_FROM,
 ) -> DataFrame:
     """Share by which the asking price lies below the estimate, and whether it is enough."""
-    ratio = -relative_change(F.col(actual), F.col(predicted))
+    ratio = -relative_change(F.col(actual), F.col(estimate))
     return df.withColumn("undervalued_ratio", ratio).withColumn(
         "is_undervalued", F.col("undervalued_ratio") >= F.lit(threshold)
     )
 
 
-def with_total_value(df: DataFrame, predicted: str = "predicted_ppm2", area: str = "area") -> DataFrame:
-    return df.withColumn("predicted_total_vnd", total_value(predicted, area))
+def with_total_value(df: DataFrame, estimate: str = "predicted_ppm2", area: str = "area") -> DataFrame:
+    return df.withColumn("predicted_total_vnd", total_value(estimate, area))
 
 
 def score(df: DataFrame, model: PipelineModel) -> DataFrame:
-    """Apply a saved model; every input row gets an estimate."""
-    scored = model.transform(df).withColumnRenamed("prediction", "predicted_ppm2")
-    return with_total_value(flag_undervalued(scored))
+    """Apply a saved model; every input row gets an estimate, in one projection where the model allows it."""
+    return with_total_value(flag_undervalued(predicted(df, model, "predicted_ppm2")))
 
 
 def to_predictions(scored: DataFrame, version: str, scored_at: str) -> DataFrame:

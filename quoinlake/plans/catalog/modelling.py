@@ -1,23 +1,25 @@
 """Flags, splits, features, model search and decisions."""
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoinlake.fixed_values import CONTEXT_COLUMNS
+from quoinlake.fixed_values import CONTEXT_COLUMNS, LABEL
 from quoinlake.functions.numeric import exact_round, hash_percent
+from quoinlake.operators.compiled import compiled_prediction, predicted
 from quoinlake.operators.context import attach_context, context_present, fit_gate
 from quoinlake.operators.features import (
-    default_category, feature_stages, label_index, one_hot_slots, scale_fit, scale_std,
+    ListingFeatures, default_category, feature_stages, label_index, one_hot_slots, scale_fit, scale_std,
 )
 from quoinlake.operators.impute import impute_fit, impute_train
 from quoinlake.operators.model import (
     ablate, ablation_pivot, best_model, current_pointer, drift_check, load_model, model_cases,
     promotion_decision, regression_metrics, save_model, stable_split,
 )
-from quoinlake.operators.score import flag_undervalued, score, to_predictions, with_total_value
+from quoinlake.operators.score import flag_undervalued, to_predictions, with_total_value
 from quoinlake.operators.sizing import BROADCAST_ROWS
+from quoinlake.operators.sums import fold_sums, linear_errors
 from quoinlake.plans.catalog.registry import dec, query, table
 from quoinlake.plans.catalog.pool import FIT_SQL
 from quoinlake.plans.catalog.series import features
@@ -239,11 +241,77 @@ def train_grid(spark, sf_dir):
         "model string, features string, rmse double, mae double, r2 double, cv_rmse_train double")
 
 
-@query("score_batch")
+SINGLE = ["log_area", "bedrooms", "floors", "rank_quan"]
+SETTINGS = [(0.0, 0.0), (0.0, 0.5), (0.1, 0.0), (0.1, 0.5)]
+
+
+def _single_sql() -> str:
+    """Least squares of one number with penalties in closed form, for each number, fold and setting."""
+    settings = ", ".join(f"({reg}::double, {elastic}::double)" for reg, elastic in SETTINGS)
+    parts = []
+    for c in SINGLE:
+        mean = f"avg({c})" if c == "log_area" else f"trunc(avg({c}))"
+        parts.append(f"""
+select '{c}' as feature, k, fold, coalesce({c}, (select {mean} from clean t where t.fold <> k)) as x, price_per_m2 as y
+from clean, (select unnest([0, 1, 2]) as k)""")
+    return f"""with {FIT_SQL},
+clean as (
+  select ln(area) as log_area, coalesce(bedrooms, (select bedrooms from med)) as bedrooms, coalesce(floors, 1) as floors, rank_quan,
+    price_per_m2, ('0x' || substr(md5(url), 1, 8))::bigint % 100 % 3 as fold from pass2),
+x as ({' union all '.join(parts)}),
+m as (
+  select feature, k, avg(x) as xm, avg(y) as ym, stddev_pop(x) as sx, stddev_pop(y) as sy, covar_pop(x, y) as c
+  from x where fold <> k group by all),
+b as (
+  select m.*, reg, elastic, c / (sx * sy) as r,
+    sign(r) * greatest(abs(r) - elastic * reg / sy, 0) / (1 + (1 - elastic) * reg / sy) * sy / sx as slope
+  from m, (values {settings}) s(reg, elastic))
+select feature, reg, elastic, k::int as fold, {dec('sqrt(avg(power(y - ym - slope * (x - xm), 2)))', 6)} as rmse
+from b join x using (feature, k) where x.fold = k group by all"""
+
+
+@query("linear_search", _single_sql())
+def linear_search(spark, sf_dir):
+    """Cross-validation of every linear setting on single numbers, from one pass' sums of products."""
+    feats = ListingFeatures().transform(train_features(spark, sf_dir))
+    sums = fold_sums(feats, SINGLE, [], LABEL, hash_percent("url") % 3)
+    rows = [(c, *SETTINGS[s], k, rmse) for c in SINGLE for (s, k), rmse in linear_errors(sums, [c], SETTINGS, 3).items()]
+    frame = spark.createDataFrame(rows, "feature string, reg double, elastic double, fold int, rmse double")
+    return frame.withColumn("rmse", exact_round("rmse", 6))
+
+
+@query("score_batch", f"""with {FIT_SQL},
+clean as (
+  select *, ('0x' || substr(md5(url), 1, 8))::bigint % 100 < 80 as in_train from pass2),
+fit as (select regr_slope(price_per_m2, ln(area)) as b, regr_intercept(price_per_m2, ln(area)) as a from clean where in_train),
+e as (select clean.*, {dec('a + b * ln(area)', 3)} as predicted from clean, fit),
+scored as (
+  select *, (predicted - price_per_m2) / predicted as ratio, {dec('predicted * area * 1000000', 0)}::bigint as total from e)
+select ad_id as id, district, area as area_m2, {dec('price_per_m2', 2)} as listing_ppm2,
+  {dec('predicted', 2)} as predicted_ppm2, total as predicted_total_vnd, {dec('ratio', 4)} as undervalued_ratio,
+  ratio >= 0.2::double as is_undervalued, url, '1' as model_version, '2024-01-01T00:00:00' as scored_at from scored""")
 def score_batch(spark, sf_dir):
-    """A linear model saved, loaded again and applied to every training row."""
+    """A linear model of the area saved, loaded again and applied to every training row."""
     feats = train_features(spark, sf_dir)
-    stages = [*feature_stages(context_present(feats)), model_cases()[0].estimator]
+    stages = [*feature_stages(numbers=["log_area"], categories=[]), model_cases()[0].estimator]
     store = new_folder(spark, "models")
     save_model(Pipeline(stages=stages).fit(stable_split(feats, ["url"])[0]), store, "1")
-    return to_predictions(score(feats, load_model(store, "1")), "1", "2024-01-01T00:00:00")
+    scored = predicted(feats, load_model(store, "1"), "predicted_ppm2").withColumn(
+        "predicted_ppm2", exact_round("predicted_ppm2", 3))
+    return to_predictions(with_total_value(flag_undervalued(scored)), "1", "2024-01-01T00:00:00")
+
+
+@query("score_compiled", f"with {FIT_SQL} select name as model, count(*) as n_rows, count(*) as n_equal from pass2, "
+                         "(select unnest(['GBT', 'LinearRegression', 'RandomForest']) as name) group by 1")
+def score_compiled(spark, sf_dir):
+    """Models of every column and context as one expression: their estimates are those of the stages on every row."""
+    feats = train_features(spark, sf_dir)
+    fitted = Pipeline(stages=feature_stages(context_present(feats))).fit(feats)
+    vectors = stored(spark, fitted.transform(feats).select("features", LABEL), "vectors")
+    out = []
+    for case in model_cases(trees=(3,), forest_depths=(6,), boost_depths=(4,), rounds=(3,)):
+        model = PipelineModel(stages=[*fitted.stages, case.estimator.fit(vectors, case.grid[-1])])
+        near = F.abs(F.col("prediction") - F.col("compiled")) <= 1e-9 * F.abs(F.col("prediction"))
+        out.append(model.transform(feats).withColumn("compiled", compiled_prediction(model, feats)).agg(
+            F.lit(case.name).alias("model"), F.count(F.lit(1)).alias("n_rows"), F.count_if(near).alias("n_equal")))
+    return out[0].unionByName(out[1]).unionByName(out[2])

@@ -22,15 +22,15 @@ from quoinlake.plans.catalog.standins import (
 
 
 def thin_series(spark, sf_dir) -> DataFrame:
-    """Daily maximum order per priority, on every third day of the month only."""
-    orders = table(spark, sf_dir, "orders").where(F.dayofmonth("o_orderdate") % 3 == 0)
-    return orders.groupBy(F.col("o_orderpriority").alias("series"), F.to_date("o_orderdate").alias("d")).agg(
-        F.max("o_totalprice").alias("value"))
+    """Daily maximum order per priority over all order days, known on each third day of the month."""
+    known = F.when(F.dayofmonth("o_orderdate") % 3 == 0, F.col("o_totalprice"))
+    return table(spark, sf_dir, "orders").groupBy(
+        F.col("o_orderpriority").alias("series"), F.to_date("o_orderdate").alias("d")).agg(F.max(known).alias("value"))
 
 
 THIN_SQL = """thin as (
-  select o_orderpriority as series, o_orderdate::date as d, max(o_totalprice) as value
-  from orders where day(o_orderdate) % 3 = 0 group by all),
+  select o_orderpriority as series, o_orderdate::date as d, max(case when day(o_orderdate) % 3 = 0 then o_totalprice end) as value
+  from orders group by all),
 spans as (select series, min(d) as lo, max(d) as hi from thin group by 1),
 dense as (
   select c.series, c.d, value from (
@@ -127,24 +127,23 @@ def series_dedup(spark, sf_dir):
 
 
 @query("series_merge", """
-with gold as (select o_orderdate::date as d, max(o_totalprice) as v from orders
-    where day(o_orderdate) % 3 = 0 and o_orderdate >= timestamp '1995-02-01' group by 1),
-fx as (select o_orderdate::date as d, min(o_totalprice) as v from orders
-    where day(o_orderdate) % 2 = 1 and o_orderdate >= timestamp '1995-02-10' group by 1),
-idx as (select o_orderdate::date as d, count(*)::double as v from orders where dayofweek(o_orderdate) between 1 and 5 group by 1),
-days as (select d from gold union select d from fx union select d from idx),
-cal as (select unnest(generate_series((select min(d) from days)::timestamp, (select max(d) from days)::timestamp,
-  interval 1 day))::date as d)
-select cal.d, last_value(gold.v ignore nulls) over w as gold_usd, last_value(fx.v ignore nulls) over w as usdvnd,
-  last_value(idx.v ignore nulls) over w as vnindex
-from cal left join gold using (d) left join fx using (d) left join idx using (d)
-window w as (order by cal.d rows between unbounded preceding and current row)""")
+with q as (
+  select o_orderdate::date as d,
+    max(case when day(o_orderdate) % 3 = 0 and o_orderdate >= timestamp '1995-02-01' then o_totalprice end) as gold,
+    min(case when day(o_orderdate) % 2 = 1 and o_orderdate >= timestamp '1995-02-10' then o_totalprice end) as fx,
+    nullif(count(*) filter (dayofweek(o_orderdate) between 1 and 5), 0)::double as idx
+  from orders group by 1),
+cal as (select unnest(generate_series((select min(d) from q)::timestamp, (select max(d) from q)::timestamp, interval 1 day))::date as d)
+select cal.d, last_value(gold ignore nulls) over w as gold_usd, last_value(fx ignore nulls) over w as usdvnd,
+  last_value(idx ignore nulls) over w as vnindex
+from cal left join q using (d) window w as (order by cal.d rows between unbounded preceding and current row)""")
 def series_merge(spark, sf_dir):
+    """Three series over all order days; each has its own days without a quote."""
     orders = table(spark, sf_dir, "orders").withColumn("day", F.to_date("o_orderdate"))
 
-    def series(cond, header, value):
-        return orders.where(cond).groupBy(F.col("day").cast("string").alias(header)).agg(
-            value.cast("string").alias("v"))
+    def series(quoted, header, value):
+        return orders.groupBy(F.col("day").cast("string").alias(header)).agg(
+            F.when(F.first(F.expr(quoted)), value).cast("string").alias("v"))
 
     return merge_series([
         (series("day(day) % 3 = 0 and day >= date'1995-02-01'", "Date", F.max("o_totalprice")), "Date", "v", "gold_usd"),

@@ -12,7 +12,7 @@ from quoinlake.fixed_values import DISTRICT_TIERS
 from quoinlake.operators.dedup import latest_per_key, newest_first
 from quoinlake.operators.sizing import spread
 from quoinlake.plans.catalog.registry import table, values_of
-from quoinlake.workspace import new_folder
+from quoinlake import workspace
 
 
 def every(n: int, *key: str) -> "F.Column":
@@ -147,32 +147,32 @@ preds as (
 
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """A series written once as its own small table, as a deployment keeps it."""
-    folder = new_folder(spark, name)
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return workspace.stored(df, name)
 
 
 def market_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MARKET_RAW shape: quotes on two days out of three, FX missing on some of them."""
-    orders = table(spark, sf_dir, "orders")
+    """MARKET_RAW shape of every order day: no quotes on each third day of a month, no FX on each fifth."""
     day = F.to_date("o_orderdate")
-    daily = orders.where(F.dayofmonth(day) % 3 != 0).groupBy(day.alias("day")).agg(
+    quoted = F.dayofmonth("day") % 3 != 0
+    daily = table(spark, sf_dir, "orders").groupBy(day.alias("day")).agg(
         F.max("o_totalprice").alias("gold_usd"),
         F.max("o_orderkey").cast("double").alias("usdvnd"),
         F.min("o_totalprice").alias("vnindex"),
     )
     return daily.select(
-        F.col("day").cast("string").alias("date"), "gold_usd",
-        F.when(F.dayofmonth("day") % 5 != 0, F.col("usdvnd")).alias("usdvnd"), "vnindex",
+        F.col("day").cast("string").alias("date"),
+        F.when(quoted, F.col("gold_usd")).alias("gold_usd"),
+        F.when(quoted & (F.dayofmonth("day") % 5 != 0), F.col("usdvnd")).alias("usdvnd"),
+        F.when(quoted, F.col("vnindex")).alias("vnindex"),
     )
 
 
 
 MARKET_SQL = """quotes as (
-  select o_orderdate::date as d, max(o_totalprice) as gold,
-    case when day(o_orderdate::date) % 5 <> 0 then max(o_orderkey)::double end as usdvnd,
-    min(o_totalprice) as vnindex
-  from orders where day(o_orderdate) % 3 <> 0 group by o_orderdate::date),
+  select o_orderdate::date as d, case when day(o_orderdate::date) % 3 <> 0 then max(o_totalprice) end as gold,
+    case when day(o_orderdate::date) % 3 <> 0 and day(o_orderdate::date) % 5 <> 0 then max(o_orderkey)::double end as usdvnd,
+    case when day(o_orderdate::date) % 3 <> 0 then min(o_totalprice) end as vnindex
+  from orders group by o_orderdate::date),
 cal as (select unnest(generate_series((select min(d) from quotes)::timestamp,
                                       (select max(d) from quotes)::timestamp, interval 1 day))::date as d),
 filled as (
@@ -193,19 +193,21 @@ daily as (select d, {', '.join(cols)} from filled
 
 
 def macro_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MACRO_MONTHLY shape; every seventh month is missing."""
-    orders = table(spark, sf_dir, "orders")
+    """MACRO_MONTHLY shape of every order month; the figures of each seventh one are missing."""
     month = F.date_format("o_orderdate", "yyyy-MM")
-    kept = orders.where((F.year("o_orderdate") * 12 + F.month("o_orderdate")) % 7 != 0)
-    return kept.groupBy(month.alias("month")).agg(
-        F.count(F.lit(1)).cast("double").alias("cpi"), F.max("o_totalprice").alias("rate")
+    known = (F.year("o_orderdate") * 12 + F.month("o_orderdate")) % 7 != 0
+    return table(spark, sf_dir, "orders").groupBy(month.alias("month")).agg(
+        F.when(F.first(known), F.count(F.lit(1)).cast("double")).alias("cpi"),
+        F.max(F.when(known, F.col("o_totalprice"))).alias("rate"),
     )
 
 
 
 MONTHLY_SQL = """months as (
-  select date_trunc('month', o_orderdate)::date as m, count(*)::double as cpi, max(o_totalprice) as rate
-  from orders where (year(o_orderdate) * 12 + month(o_orderdate)) % 7 <> 0 group by 1),
+  select date_trunc('month', o_orderdate)::date as m,
+    case when (year(m) * 12 + month(m)) % 7 <> 0 then count(*)::double end as cpi,
+    case when (year(m) * 12 + month(m)) % 7 <> 0 then max(o_totalprice) end as rate
+  from orders group by 1),
 mcal as (select unnest(generate_series((select min(m) from months)::timestamp,
                                        (select max(m) from months)::timestamp, interval 1 month))::date as m),
 mdense as (select m, cpi, rate from mcal left join months using (m))"""
