@@ -72,21 +72,63 @@ def forward_fill(
 
 
 def trailing_mean(
-    df: DataFrame, value: str, days: int, by: list[str], on: str, out: str
+    df: DataFrame, value: str, days: int, by: list[str], on: str, out: str, block_days: "int | None" = None
 ) -> DataFrame:
-    """Mean over the last `days` calendar days including this one; shorter at the start."""
-    w = Window.partitionBy(*by).orderBy(F.unix_date(on)).rangeBetween(1 - days, 0)
-    return df.withColumn(out, F.avg(value).over(w))
+    """Mean over the last `days` calendar days including this one; shorter at the start.
+
+    With `block_days` (at least `days`) a task averages one block of that many days of one
+    series. Rows that the next block's first frames reach back to are carried over to it,
+    so a task holds less than two blocks of a series however long it is.
+    """
+    frame = Window.partitionBy(*by).orderBy(F.unix_date(on)).rangeBetween(1 - days, 0)
+    if block_days is None:
+        return df.withColumn(out, F.avg(value).over(frame))
+    if block_days < days:
+        raise ValueError(f"a block of {block_days} days is shorter than the frame of {days}")
+    day = F.unix_date(on)
+    own = F.floor(day / block_days)
+    reaches = (own + 1) * block_days - day < days
+    # a row stands in its own block and, if frames of the next one reach it, there as well
+    places = F.array_compact(F.array(
+        F.struct(own.alias("_block"), F.lit(False).alias("_carried")),
+        F.when(reaches, F.struct((own + 1).alias("_block"), F.lit(True).alias("_carried")))))
+    frame = Window.partitionBy(*by, "_block").orderBy(F.unix_date(on)).rangeBetween(1 - days, 0)
+    placed = df.select("*", F.inline(places)).withColumn(out, F.avg(value).over(frame))
+    return placed.where("not _carried").drop("_block", "_carried")
 
 
 def trailing_pct(
-    df: DataFrame, value: str, steps: int, by: list[str], on: str, out: str
+    df: DataFrame, value: str, steps: int, by: list[str], on: str, out: str, joined: bool = False
 ) -> DataFrame:
-    """Change against the value `steps` rows ago on a dense series; NULL before that."""
+    """Change against the value `steps` rows ago on a dense series; NULL before that.
+
+    With `joined` the earlier value comes by `shifted`, on days.
+    """
+    if joined:
+        moved = shifted(df, value, (steps,), by, on, "_before_{}")
+        return moved.withColumn(out, relative_change(F.col(value), F.col(f"_before_{steps}"))).drop(f"_before_{steps}")
     before = F.lag(value, steps).over(Window.partitionBy(*by).orderBy(on))
     return df.withColumn(out, relative_change(F.col(value), before))
 
 
+def shifted(
+    df: DataFrame, value: str, steps: "tuple[int, ...]", by: list[str], on: str, name: str = "lag_{}", unit: str = "day"
+) -> DataFrame:
+    """Values of `steps` days (months) ago, by equality with the moved series instead of a window.
+
+    The keys are (series, day): the rows of one long series are spread over all tasks. The
+    series must be dense and have one row a day; a NULL series key is a series.
+    """
+    later = (lambda n: F.date_add(on, n)) if unit == "day" else (lambda n: F.add_months(on, n))
+    moves = F.inline(F.array(*[F.struct(later(n).alias("_on"), F.lit(n).alias("_n")) for n in steps]))
+    keys = {b: f"_by{i}" for i, b in enumerate(by)}
+    moved = df.select(*[F.col(b).alias(k) for b, k in keys.items()], F.col(value).alias("_v"), moves)
+    wide = moved.groupBy(*keys.values(), "_on").agg(
+        *[F.max(F.when(F.col("_n") == n, F.col("_v"))).alias(name.format(n)) for n in steps])
+    same = reduce(lambda a, b: a & b, [df[b].eqNullSafe(wide[k]) for b, k in keys.items()], df[on] == wide["_on"])
+    return df.join(wide, same, "left").drop(*keys.values(), "_on")
+
+
 def lags(
     df: DataFrame, value: str, steps: "tuple[int, ...]", by: list[str], on: str, name: str = "lag_{}"
 ) -> DataFrame:

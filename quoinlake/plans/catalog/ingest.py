@@ -14,6 +14,7 @@ from quoinlake.sources.tables import latest_version, overwrite_partitions, read_
 from quoinlake.streaming.landing import (
     file_values, json_values, land, land_once, read_json_stream, upsert_stream, with_dt,
 )
+from quoinlake.streaming.merge import MergeTable, merge_stream, read_merged
 from quoinlake.workspace import new_folder
 
 
@@ -105,6 +106,20 @@ def stream_upsert(spark, sf_dir):
     return latest_version(spark, f"{folder}/table")
 
 
+@query("stream_merge", """
+select user_id, max_by(value, event_id) as cpi, max(event_id) as rate
+from events where value > 0 and event_id > 0 group by 1""")
+def stream_merge(spark, sf_dir):
+    """A table of record with a row for each user, changed by a stream in six batches and merged when it is read."""
+    folder = new_folder(spark, "merge")
+    changes = table(spark, sf_dir, "events").select("user_id", F.col("value").alias("cpi"), F.col("event_id").alias("rate"))
+    changes.repartition(6).write.parquet(f"{folder}/changes")
+    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/changes")
+    record = MergeTable(f"{folder}/table", changes.schema, ["user_id"], newest_first("rate"), 4, ("cpi", "rate"))
+    merge_stream(stream, record, f"{folder}/checkpoint", most=3).awaitTermination()
+    return read_merged(spark, record)
+
+
 @query("partition_prune", """
 select ts::date as dt, event_type, count(*) as n_rows from events where ts::date = date '2024-01-15' group by 1, 2""")
 def partition_prune(spark, sf_dir):

@@ -13,7 +13,7 @@ from quoinlake.operators.context import (
 from quoinlake.operators.dedup import dedup_series
 from quoinlake.operators.timeseries import (
     coverage, day_spine, densify, forward_fill, lag_ratio, lags, last_observation, merge_series, month_spine,
-    spine, trailing_mean, trailing_pct,
+    shifted, spine, trailing_mean, trailing_pct,
 )
 from quoinlake.plans.catalog.registry import dec, query, table
 from quoinlake.plans.catalog.standins import (
@@ -114,6 +114,37 @@ def month_lags(spark, sf_dir):
     return both.select("m", "lag_1", "lag_3", "lag_6", exact_round("q", 4).alias("quarter"))
 
 
+@query("trailing_mean_blocks", f"""with {THIN_SQL}
+select series, d, {dec('''avg(value) over (partition by series order by d
+  range between interval 89 days preceding and current row)''', 4)} as mean_90d from filled""")
+def mean_90d_by_block(spark, sf_dir):
+    """The same means with each series in blocks of 128 days, as for a hot series."""
+    out = trailing_mean(dense_filled(spark, sf_dir), "value", 90, ["series"], "d", "m", block_days=128)
+    return out.select("series", "d", exact_round("m", 4).alias("mean_90d"))
+
+
+@query("trailing_pct_joined", f"""with {THIN_SQL},
+l as (select *, lag(value, 90) over (partition by series order by d) as prev from filled)
+select series, d, {dec('(value - prev) / nullif(prev, 0)', 4)} as pct_90d from l""")
+def pct_90d_joined(spark, sf_dir):
+    """The same changes by a join on the moved days."""
+    out = trailing_pct(dense_filled(spark, sf_dir), "value", 90, ["series"], "d", "p", joined=True)
+    return out.select("series", "d", exact_round("p", 4).alias("pct_90d"))
+
+
+@query("monthly_lags_joined", f"""with {MONTHLY_SQL}
+select m, lag(cpi, 1) over o as lag_1, lag(cpi, 3) over o as lag_3, lag(cpi, 6) over o as lag_6,
+  {dec('lag(cpi, 1) over o / nullif(lag(cpi, 4) over o, 0) - 1', 4)} as quarter
+from mdense window o as (order by m)""")
+def month_lags_joined(spark, sf_dir):
+    """The same lags by a join on the moved months."""
+    monthly = macro_monthly(spark, sf_dir).select(
+        F.lit("cpi").alias("series"), F.to_date(F.concat("month", F.lit("-01"))).alias("m"), "cpi")
+    out = shifted(densify(monthly, "m", ["series"], "month"), "cpi", (1, 3, 4, 6), ["series"], "m", unit="month")
+    quarter = exact_round(F.try_divide("lag_1", "lag_4") - 1, 4)
+    return out.select("m", "lag_1", "lag_3", "lag_6", quarter.alias("quarter"))
+
+
 @query("series_dedup", """
 select o_orderdate::date as d, o_orderstatus as source, o_totalprice as value from orders
 qualify row_number() over (partition by o_orderdate::date
@@ -168,13 +199,10 @@ with s as (select datediff('day', min(l_shipdate), max(l_shipdate))::int as span
   count(distinct strftime(l_shipdate, '%Y-%m')) as months from lineitem group by l_linestatus, l_quantity >= 50 and l_shipdate < timestamp '1995-02-01')
 select span_days, months, span_days >= 183 and months >= 3 as gate_on, count(*) as n_groups from s group by all""")
 def time_span_gate(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem")
+    """The gate of every group from one scan."""
     early = (F.col("l_quantity") >= 50) & (F.col("l_shipdate") < F.lit("1995-02-01").cast("timestamp_ntz"))
-    parts = [span_stats(line.where((F.col("l_linestatus") == status) & cond), "l_shipdate")
-             for status in ("F", "O") for cond in (early, ~early)]
-    stats = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    return with_gate(stats.where("months > 0")).groupBy("span_days", "months", "gate_on").agg(
-        F.count(F.lit(1)).alias("n_groups"))
+    stats = span_stats(table(spark, sf_dir, "lineitem").withColumn("early", early), "l_shipdate", ["l_linestatus", "early"])
+    return with_gate(stats).groupBy("span_days", "months", "gate_on").agg(F.count(F.lit(1)).alias("n_groups"))
 
 
 def facts(spark, sf_dir) -> DataFrame:

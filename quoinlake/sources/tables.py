@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 from pyspark.errors import AnalysisException
 
 from quoinlake.operators.normalize import normalize_csv
+from quoinlake.operators.sizing import small_or_shuffled
 
 
 def read_table(
@@ -58,6 +59,18 @@ def overwrite_day(df: DataFrame, path: str, day: "date | str") -> None:
     balanced(df, ["dt"]).drop("dt").write.mode("overwrite").parquet(f"{path}/dt={day}")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders that match a pattern, on whatever file system it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    return [str(f.getPath()) for f in found or [] if f.isDirectory()]
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a folder on whatever file system it is; one that is absent is no error."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -77,7 +90,8 @@ def only_absent(df: DataFrame, existing: "DataFrame | None", part: str) -> DataF
     """Rows of partitions the target does not have yet; of the target only the incoming partitions are read."""
     if existing is None:
         return df
-    there = existing.join(F.broadcast(df.select(part).distinct()), part, "left_semi").select(part).distinct()
+    incoming = small_or_shuffled(df.select(part).distinct())
+    there = existing.join(incoming, part, "left_semi").select(part).distinct()
     return df.join(there, part, "left_anti")
 
 

@@ -7,9 +7,13 @@ from pyspark.sql.types import StructType
 
 from quoinlake.operators.normalize import decode_json
 from quoinlake.operators.dedup import latest_per_key
+from quoinlake.operators.sizing import small_or_shuffled
 from quoinlake.operators.upsert import upsert
 from quoinlake.schemas import RAW_LISTING
-from quoinlake.sources.tables import balanced, newest_version, overwrite_table, remove_path, table_exists
+from quoinlake.sources.tables import (
+    newest_version, overwrite_partitions, overwrite_table, path_exists, remove_path, table_exists,
+)
+from quoinlake.workspace import stored
 
 
 def kafka_values(spark: SparkSession, servers: str, topic: str) -> DataFrame:
@@ -38,17 +42,27 @@ def publish_kafka(messages: DataFrame, servers: str, topic: str) -> None:
 
 
 def utc_time(c: "Column | str") -> Column:
-    """Wall clock in UTC of a time as text; one without an offset is UTC. The session zone has no part in it."""
+    """Wall clock in UTC of a time as text; one without an offset is UTC. The session zone has no part in it.
+
+    An offset has its sign behind the date and the hour, so a text without a sign there is
+    cast as it is; only the others pay for the patterns that take an offset apart.
+    """
     c = F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
     part = lambda i: F.regexp_extract(c, r"T?\d{1,2}:\d{2}.*?([+-])(\d{1,2}):?(\d{2})?$", i)
     minutes = part(2).try_cast("int") * 60 + F.coalesce(part(3).try_cast("int"), F.lit(0))
     offset = F.coalesce(F.when(part(1) == "-", -minutes).otherwise(minutes), F.lit(0))
-    return c.try_cast("timestamp_ntz") - F.make_dt_interval(mins=offset)
+    moved = c.try_cast("timestamp_ntz") - F.make_dt_interval(mins=offset)
+    clock = F.substring(c, 12, 64)
+    return F.when(clock.contains("+") | clock.contains("-"), moved).otherwise(c.try_cast("timestamp_ntz"))
 
 
 def with_dt(df: DataFrame, ts: str = "crawled_at") -> DataFrame:
-    """Day partition of the event time, in UTC. Rows without a readable time have no partition: dropped."""
-    return df.withColumn("dt", F.to_date(utc_time(ts))).where("dt is not null")
+    """Day partition of the event time, in UTC. Rows without a readable time have no partition: dropped.
+
+    The day is made in a generator that yields nothing for NULL: a filter on it would have
+    the time read twice.
+    """
+    return df.withColumn("dt", F.explode(F.array_compact(F.array(F.to_date(utc_time(ts))))))
 
 
 def read_json_stream(values: DataFrame, schema: StructType = RAW_LISTING, ts: str = "crawled_at") -> DataFrame:
@@ -61,23 +75,43 @@ def land(stream: DataFrame, path: str, checkpoint: str, by: str = "dt") -> Strea
     return writer.start(path, format="parquet", checkpointLocation=checkpoint)
 
 
+#: Days of a batch up to which their folders are named one by one.
+NAMED_DAYS = 1000
+
+
+def landed_days(spark: SparkSession, path: str, days: list[str], by: str = "dt") -> "DataFrame | None":
+    """What lies in the given days of a landed table; no other folder is listed or read. None if there is nothing."""
+    there = [f"{path}/{by}={d}" for d in days if path_exists(spark, f"{path}/{by}={d}")]
+    return spark.read.option("basePath", path).parquet(*there) if there else None
+
+
 def land_once(
     stream: DataFrame, path: str, checkpoint: str, key: tuple[str, ...] = ("ad_id", "crawled_at"), by: str = "dt"
 ) -> StreamingQuery:
     """Land every message once, however often it is delivered, and however late.
 
     Redeliveries agree in `key`, and so in their day: a batch drops those within itself and
-    those that lie in the same days of earlier batches. Rows with a NULL in the key are not
-    duplicates. A batch writes its own folder and replaces it when it is repeated; the days
-    are partitions below it.
+    those that earlier batches left in its days. Only the folders of these days are listed,
+    and only the key columns of their files are read; the keys of the batch, if they are few,
+    go to the files, so that landed rows do not move. No state is kept between batches, so
+    none grows. Rows with a NULL in the key are not duplicates. A batch writes a folder of
+    its own below each day and replaces it when it is repeated.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = latest_per_key(batch, list(key), [F.col(c).asc_nulls_first() for c in batch.columns])
-        if table_exists(spark, path):
-            earlier = spark.read.parquet(path).where(F.col("batch") < batch_id).select(by, *key)
-            fresh = fresh.join(earlier, [by, *key], "left_anti")
-        balanced(fresh, [by]).write.mode("overwrite").partitionBy(by).parquet(f"{path}/batch={batch_id}")
+        fresh = stored(fresh, "fresh")  # read for its days, its keys and its rows
+        days = [str(r[0]) for r in fresh.select(by).distinct().limit(NAMED_DAYS + 1).collect()]
+        if len(days) <= NAMED_DAYS:
+            earlier = landed_days(spark, path, days, by)
+        else:
+            earlier = spark.read.parquet(path) if table_exists(spark, path) else None
+        if earlier is not None:
+            before = earlier.where(F.col("batch") < batch_id).select(by, *key)
+            again = before.join(small_or_shuffled(fresh.select(by, *key)), [by, *key], "left_semi").distinct()
+            fresh = fresh.join(again, [by, *key], "left_anti")
+        rows = fresh.withColumn("batch", F.lit(batch_id).cast("long"))
+        overwrite_partitions(rows, path, [by, "batch"])
 
     return (
         stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

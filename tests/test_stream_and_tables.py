@@ -1,20 +1,23 @@
 import datetime as dt
 import json
 import os
+import random
 
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quoinlake.operators.dedup import newest_first
 from quoinlake.schemas import RAW_LISTING
 from quoinlake.sources.jdbc import JdbcTarget, SplitBy, serving_types
 from quoinlake.sources.tables import (
-    latest_version, overwrite_day, overwrite_partitions, read_seed_csv, read_series_csv, read_table, table_exists, write_if_absent,
+    folders, latest_version, overwrite_day, overwrite_partitions, read_seed_csv, read_series_csv, read_table, table_exists, write_if_absent,
 )
 from quoinlake.streaming.landing import (
-    file_values, json_values, land, land_once, read_json_stream, upsert_stream, utc_time, with_dt,
+    file_values, json_values, land, land_once, landed_days, read_json_stream, upsert_stream, utc_time, with_dt,
 )
+from quoinlake.streaming.merge import MergeTable, add_changes, compact, read_merged
 from quoinlake.workspace import new_folder, shared_root
 
 
@@ -172,3 +175,84 @@ def test_event_time_text_of_several_forms(spark):
     df = spark.createDataFrame([("2025-01-01T23:59:59.123456",), ("2025-01-02 00:00:00",), ("2025-01-03",), ("",), (None,)],
                                "crawled_at string")
     assert sorted(str(r["dt"]) for r in with_dt(df).collect()) == ["2025-01-01", "2025-01-02", "2025-01-03"]
+
+
+def test_a_batch_reads_only_its_own_days(spark, tmp_path):
+    topic, out, ckpt = (str(tmp_path / n) for n in ("topic", "out", "ckpt"))
+
+    def drain():
+        land_once(read_json_stream(file_values(spark, topic)), out, ckpt).awaitTermination()
+
+    send(topic, "1", *[message(str(i), f"2025-01-0{i}T10:00:00") for i in range(1, 8)])
+    drain()
+    send(topic, "2", message("3", "2025-01-03T10:00:00"), message("30", "2025-01-03T11:00:00"), message("40", "2025-01-31T11:00:00"))
+    drain()
+    landed = landed_days(spark, out, ["2025-01-03", "2025-01-31", "2030-01-01"])
+    assert all("dt=2025-01-03/" in f or "dt=2025-01-31/" in f for f in landed.inputFiles()) and len(landed.inputFiles()) == 3
+    assert sorted((r["ad_id"], r["batch"]) for r in landed.collect()) == [("3", 0), ("30", 1), ("40", 1)]
+    assert landed_days(spark, out, ["2030-01-01"]) is None
+
+
+def test_more_days_than_are_named(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("quoinlake.streaming.landing.NAMED_DAYS", 1)
+    topic, out, ckpt = (str(tmp_path / n) for n in ("topic", "out", "ckpt"))
+    for name in ("1", "2"):
+        send(topic, name, *[message(str(i), f"2025-01-0{i}T10:00:00") for i in range(1, 4)])
+        land_once(read_json_stream(file_values(spark, topic)), out, ckpt).awaitTermination()
+    assert spark.read.parquet(out).count() == 3
+
+
+def merge_table(tmp_path, **kw):
+    schema = StructType().add("k", "string").add("v", "double").add("at", "integer")
+    return MergeTable(str(tmp_path / "t"), schema, ["k"], newest_first("at"), kw.pop("buckets", 3), **kw)
+
+
+def test_merge_on_read_equals_an_upsert_of_every_batch(spark, tmp_path):
+    table, rng, want = merge_table(tmp_path, positive=("v",)), random.Random(5), {}
+    for batch in range(7):
+        rows = [(None if rng.random() < 0.05 else f"k{rng.randrange(20)}", rng.choice([-1.0, 2.0, 3.0, None]), rng.randrange(50)) for _ in range(15)]
+        for k, v, at in rows:
+            if k is not None and v is not None and v > 0 and at > want.get(k, (0, -1))[1]:
+                want[k] = (v, at)
+        frame = spark.createDataFrame(rows, table.schema)
+        for _ in range(2):  # a repeated batch changes nothing
+            add_changes(table, frame, batch)
+        compact(spark, table, most=2)
+        got = {r["k"]: (r["v"], r["at"]) for r in read_merged(spark, table).collect()}
+        assert {k: at for k, (_, at) in got.items()} == {k: at for k, (_, at) in want.items()}
+    for batch in (0, 3):  # replays of batches that a base covers already
+        add_changes(table, spark.createDataFrame([("k1", 9.0, -5)], table.schema), batch)
+    assert {r["k"]: r["at"] for r in read_merged(spark, table).collect()} == {k: at for k, (_, at) in want.items()}
+    assert len(folders(spark, f"{table.path}/base/bucket=*/upto=*")) >= 3
+
+
+def test_a_small_change_touches_its_bucket_only(spark, tmp_path):
+    table = merge_table(tmp_path, buckets=8)
+    add_changes(table, spark.createDataFrame([(f"k{i}", 1.0, 1) for i in range(200)], table.schema), 0)
+    add_changes(table, spark.createDataFrame([("k7", 2.0, 2), ("k7", 3.0, 1)], table.schema), 1)
+    assert len(folders(spark, f"{table.path}/delta/bucket=*/batch=0")) == 8
+    assert len(folders(spark, f"{table.path}/delta/bucket=*/batch=1")) == 1
+    rows = {r["k"]: (r["v"], r["at"]) for r in read_merged(spark, table).collect()}
+    assert len(rows) == 200 and rows["k7"] == (2.0, 2)
+
+
+def test_compaction_keeps_readers_and_removes_what_nobody_needs(spark, tmp_path):
+    table = merge_table(tmp_path, buckets=1)
+    assert read_merged(spark, table).count() == 0 and compact(spark, table) == []
+    for batch in range(3):
+        add_changes(table, spark.createDataFrame([("a", float(batch), batch)], table.schema), batch)
+    before = read_merged(spark, table)
+    assert compact(spark, table, most=2) == [0]
+    assert before.first()["v"] == 2.0  # its folders are still there
+    assert len(folders(spark, f"{table.path}/delta/bucket=*/batch=*")) == 3
+    compact(spark, table, most=2)
+    assert folders(spark, f"{table.path}/delta/bucket=*/batch=*") == [] and read_merged(spark, table).first()["v"] == 2.0
+
+
+def test_an_expression_for_offsets_only_where_there_is_one(spark):
+    texts = ["2025-01-01T20:00:00", "2025-1-1 1:00:00+07:00", "2025-01-01T20:00:00.5-0330", "2025-01-01 20:00:00 +05:30", "2025-01-01", "-1", "+1", "1:00+7",
+             "2025-01-01T20:00:00+99:99", "2025-01-01T20:00-x"]
+    plain = {"2025-01-01T20:00:00": "2025-01-01 20:00:00", "2025-1-1 1:00:00+07:00": "2024-12-31 18:00:00", "2025-01-01T20:00:00.5-0330": "2025-01-01 23:30:00.5",
+             "2025-01-01": "2025-01-01 00:00:00"}
+    got = {r["t"]: r["u"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", utc_time("t").cast("string").alias("u")).collect()}
+    assert {t: got[t] for t in plain} == plain and got["1:00+7"] is None and got["2025-01-01T20:00-x"] is None

@@ -1,10 +1,11 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from quoinlake.operators.timeseries import (
     coverage, day_spine, densify, forward_fill, lag_ratio, lags, last_observation, merge_series, month_spine,
-    spine, to_long, trailing_mean, trailing_pct,
+    shifted, spine, to_long, trailing_mean, trailing_pct,
 )
 
 D0 = dt.date(2025, 1, 1)
@@ -103,3 +104,37 @@ def test_densify_last_and_coverage(spark):
     assert coverage(dense, ["value"]).first().asDict() == {"n_rows": 4, "n_value": 3}
     assert last_observation(df, "d").first()["value"] == 3.0
     assert last_observation(df.limit(0), "d").where("d is not null").count() == 0
+
+
+def hot_series(spark, n=700):
+    """One long series with gaps of days and NULLs, a short one and one without a name."""
+    rows = [("hot", i, None if i % 5 == 0 else float((i * 37) % 101)) for i in range(n) if i % 11]
+    rows += [("short", i, float(i)) for i in range(3)] + [(None, i * 40, 1.0 + i) for i in range(9)]
+    df = spark.createDataFrame(rows, "series string, i int, value double")
+    return df.select("series", F.date_add(F.lit("2024-01-01").cast("date"), F.col("i")).alias("d"), "value")
+
+
+@pytest.mark.parametrize("block_days", [90, 91, 128, 1000])
+def test_means_of_blocks_equal_those_of_the_window(spark, block_days):
+    df = hot_series(spark)
+    whole = trailing_mean(df, "value", 90, ["series"], "d", "m")
+    blocks = trailing_mean(df, "value", 90, ["series"], "d", "m", block_days)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, blocks.collect())) and blocks.columns == whole.columns
+    with pytest.raises(ValueError):
+        trailing_mean(df, "value", 90, ["series"], "d", "m", 89)
+
+
+def test_no_task_holds_more_than_two_blocks_of_a_series(spark):
+    df = hot_series(spark, 5000)
+    out = trailing_mean(df, "value", 30, ["series"], "d", "m", block_days=60)
+    assert "_block" in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == df.count()
+
+
+def test_changes_and_lags_by_join_equal_those_of_the_window(spark):
+    dense = densify(hot_series(spark).where("series is not null"), "d", ["series"])
+    a = trailing_pct(dense, "value", 90, ["series"], "d", "p")
+    b = trailing_pct(dense, "value", 90, ["series"], "d", "p", joined=True)
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and a.columns == b.columns
+    c, e = lags(dense, "value", (1, 7), ["series"], "d"), shifted(dense, "value", (1, 7), ["series"], "d")
+    assert sorted(map(str, c.collect())) == sorted(map(str, e.collect())) and c.columns == e.columns
