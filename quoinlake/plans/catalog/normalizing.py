@@ -3,16 +3,18 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quoinlake.fixed_values import BEDROOMS_IN_TEXT, CODE_LABELS, FLOORS_IN_TEXT
+from quoinlake.fixed_values import BEDROOMS_IN_TEXT, CODE_LABELS, DISTRICT_TIERS, FLOORS_IN_TEXT
 from quoinlake.functions.numeric import epoch_ms
 from quoinlake.functions.text import first_number, html_text
+from quoinlake.operators.audit import accepted, audited_require, audited_tiers, refusals, unmapped_seen
 from quoinlake.operators.normalize import (
     LISTING_REQUIRED, ads_from_json, backfill_from_text, decode_json, normalize_ads, require,
 )
 from quoinlake.operators.sizing import spread
 from quoinlake.plans.catalog.registry import query, table, values_of
-from quoinlake.plans.catalog.standins import every
+from quoinlake.plans.catalog.standins import RAW_SQL, every, raw_listings
 from quoinlake.schemas import AD_JSON
+from quoinlake.workspace import stored
 
 URL_PREFIX = "https://lots.example/"
 
@@ -168,6 +170,30 @@ def required_fields(spark, sf_dir):
     return refused.unionByName(total)
 
 
+@query("required_fields_observed", f"""with {AD_SQL}
+select concat_ws(',', case when ad_id is null then 'ad_id' end, case when title is null then 'title' end,
+  case when price is null then 'price' end) as missing, count(*) as n_rows
+from norm where ad_id is null or title is null or price is null group by 1
+union all select 'none', count(*) from good""")
+def required_fields_observed(spark, sf_dir):
+    """The same counts from the one pass that writes the usable ads."""
+    ads = normalize_ads(decode_json(ad_json(spark, sf_dir), "value", AD_JSON), URL_PREFIX, F.lit(None))
+    audit = audited_require(ads, LISTING_REQUIRED)
+    stored(audit.rows, "ads")
+    return spark.createDataFrame([*refusals(audit), ("none", accepted(audit))], "missing string, n_rows long")
+
+
+@query("unmapped_keys_observed", f"""with {RAW_SQL}
+select district, count(*) as n_rows from raw
+where district not in (select district from {values_of(DISTRICT_TIERS, 't', 'district', 'tier')}) group by 1""")
+def unmapped_keys_observed(spark, sf_dir):
+    """Districts without a tier from the pass that writes the tiered listings."""
+    raw = raw_listings(spark, sf_dir)
+    audit = audited_tiers(raw, DISTRICT_TIERS)
+    stored(audit.rows, "tiered")
+    return spark.createDataFrame(unmapped_seen(audit, raw, DISTRICT_TIERS), "district string, n_rows long")
+
+
 @query("parse_unit_number", """
 select l_orderkey, l_linenumber, l_partkey, case l_linenumber when 1 then l_quantity when 2 then floor(l_quantity)
   when 3 then null when 4 then null when 5 then 3.25::double when 6 then null else l_quantity end as area
