@@ -9,11 +9,11 @@ each (the prefix that a partner must meet). Two relations save comparisons:
   the overlaps found are kept. For two sets x, y with the same pivot p they bound the
   overlap of x and y: at most |p∩y| + |x\\p|, at least |p∩x| + |p∩y| - |p|. Pairs that
   the bounds decide are not compared again, and pairs already in one component are not
-  even listed, so a group of near copies costs as many comparisons as it has members.
+  even listed. A group of near copies around one pivot costs a comparison a member.
 
-Links are counted afterwards, as all of them lie within components: the sets of each are
-dealt to blocks, and a task multiplies the incidence matrices of two blocks, so that every
-pair is counted and none is stored.
+The links of each set are counted only where they are asked for, as that takes every pair of
+a component: the sets of each are dealt to blocks, and a task multiplies the incidence
+matrices of two blocks, so that every pair is counted and none is stored.
 
 Any order of shingles gives the same result. Frequent shingles come last: every task counts
 the shingles of its sets, those met more than once are summed over all tasks, and up to
@@ -116,7 +116,7 @@ def described(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFram
 
 
 def index_rows(docs: DataFrame, key: str, text: str, hot: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(token, name, n, pos): the prefix of each set, once per set and task."""
+    """(token, name, n, pos): the prefix of each set, once. Tasks leave repeats out, and so does what they sum up to."""
     ranked = hot.toArrow().to_pandas()
     order = np.argsort(ranked["token"].to_numpy().view(U64), kind="stable")
     shared = docs.sparkSession.sparkContext.broadcast((
@@ -149,7 +149,8 @@ def index_rows(docs: DataFrame, key: str, text: str, hot: DataFrame, percent: in
                     pos=(np.concatenate([np.arange(x, dtype=np.int32) for x in sizes]), pa.int32()),
                 )
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(prefixes, "token long, name long, n int, pos int")
+    found = docs.select(F.col(text).alias("text")).mapInArrow(prefixes, "token long, name long, n int, pos int")
+    return found.dropDuplicates(["token", "name"])
 
 
 def bit_table(hashed: DataFrame) -> np.ndarray:
@@ -371,22 +372,24 @@ def linked_sets(docs: DataFrame, key: str, text: str, percent: int = PERCENT) ->
     return sets, sizes, components(links, "x", "y")
 
 
-def similar_components(docs: DataFrame, key: str, text: str, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) for every row of `docs`.
+def similar_components(docs: DataFrame, key: str, text: str, percent: int = PERCENT, count_links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id[, n_links]) for every row of `docs`.
 
-    `n_links` is the number of other sets that the row's set is similar to.
+    `n_links` is the number of other sets that the row's set is similar to. It takes the work
+    of all pairs of each component, many times that of finding the components.
     """
     sets, sizes, roots = linked_sets(docs, key, text, percent)
     named = sets.where("name is not null")
-    degree = link_counts(docs, key, text, named, sizes, roots, percent)
     firsts = named.groupBy("name").agg(F.min("doc_id").alias("first"))
     firsts = firsts.join(roots.toDF("name", "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     least = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = firsts.join(least, "root").join(degree, "name", "left").select("name", "component_id", "n_links")
+    labels = firsts.join(least, "root").select("name", "component_id")
+    if count_links:
+        degree = link_counts(docs, key, text, named, sizes, roots, percent)
+        labels = labels.join(degree, "name", "left")
     return sets.join(labels, "name", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-    )
+        *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []))
 
 
 def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 
 from quoinlake.llm import jaccard
 from quoinlake.llm.graph import components
-from quoinlake.llm.jaccard import jaccard_query, jaccard_stage, similar_components
+from quoinlake.llm.jaccard import described, index_rows, jaccard_query, jaccard_stage, similar_components
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -110,7 +110,7 @@ def test_every_link_is_counted(spark, monkeypatch, block):
         rows += [" ".join(edited(base, r, r.choice([0, 0.01, 0.02, 0.03]))) for _ in range(12)]
     rows = list(enumerate([*rows, None, "", "alone here"]))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((r["doc_id"], r["n_links"]) for r in similar_components(df, "doc_id", "text").collect())
+    got = sorted((r["doc_id"], r["n_links"]) for r in similar_components(df, "doc_id", "text", count_links=True).collect())
     assert got == links(rows) and max(n for _, n in got) > 4
 
 
@@ -119,3 +119,21 @@ def test_stage_judges_rows_that_repeat_an_id_by_their_own_texts(spark):
     df = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
     got = [(r["doc_id"], r["text"]) for r in jaccard_stage(spark, df, "").collect()]
     assert sorted(got, key=str) == sorted([(1, "a b c d e f"), (1, "q r s t u v"), (2, "k l m n o p"), (3, None), (3, "")], key=str)
+
+
+def test_copies_in_many_tasks_enter_the_index_once(spark):
+    """A set that every task holds is one row for each of its tokens, so it meets itself nowhere and others once."""
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    df = spark.createDataFrame([(i, text) for i in range(64)], "doc_id long, text string").repartition(16)
+    _, hot = described(df, "doc_id", "text")
+    rows = index_rows(df, "doc_id", "text", hot)
+    assert rows.count() == rows.select("token", "name").distinct().count() > 0
+    assert {r["component_id"] for r in similar_components(df, "doc_id", "text").collect()} == {0}
+
+
+def test_long_paths_and_stars_come_to_one_root(spark):
+    edges = [(i, i + 1) for i in range(1000, 1060)] + [(5000, 5000 + i) for i in range(1, 40)] + [(7, 8), (8, 7), (9, 9), (None, 3)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r["node"]: r["root"] for r in components(df, "a", "b").collect()}
+    want = {i: 1000 for i in range(1000, 1061)} | {5000 + i: 5000 for i in range(40)} | {7: 7, 8: 7}
+    assert {k: v for k, v in got.items() if k != 9} == want and got.get(9, 9) == 9
