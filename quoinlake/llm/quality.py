@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -250,19 +251,21 @@ def fit_scorer(features: list[np.ndarray], bad: np.ndarray, l1: float = 1e-3, ro
     return Scorer(float(bias), keys[chosen[order]], w[order])
 
 
+#: Rows whose texts are Python objects at a time; a batch of Arrow may hold many more.
+SLICE = 500
+
+
 def pattern_votes(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, q, t): votes of all labellers as base-3 numbers, the given label as the last digit."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 1000):
-                part = pdf.iloc[at : at + 1000]
-                quality, toxic = votes(shapes(list(part["text"])))
-                yield pd.DataFrame({
-                    "doc_id": part["doc_id"], "q": quality @ 3 ** np.arange(quality.shape[1])[::-1],
-                    "t": toxic @ 3 ** np.arange(toxic.shape[1])[::-1],
-                })
-
-    found = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInPandas(
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                quality, toxic = votes(shapes(part["text"].to_pylist()))
+                q, t = (x @ 3 ** np.arange(x.shape[1])[::-1] for x in (quality, toxic))
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(q, pa.int32()), pa.array(t, pa.int32())], ["doc_id", "q", "t"])
+
+    found = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         run, "doc_id long, q int, t int"
     )
     given = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
@@ -307,6 +310,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Clas
                 yield pd.DataFrame({"doc_id": part["doc_id"], "features": found})
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(wanted), "doc_id")
+    # one row an id, however many rows share it
+    texts = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = texts.mapInPandas(run, "doc_id long, features array<long>").toArrow().to_pandas()
     texts = {int(i): np.asarray(f, np.int64).view(U64) for i, f in zip(rows["doc_id"], rows["features"])}
     chosen = chosen[chosen["doc_id"].isin(list(texts))].sort_values("doc_id")
@@ -318,23 +323,28 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Clas
     return Classifier(*scorers, *models)
 
 
+def _probabilities(texts: list, quality: Scorer, toxic: Scorer) -> tuple[np.ndarray, np.ndarray]:
+    """Low quality, 1 for blank texts, and toxicity."""
+    features = hashed_features(texts)
+    low, bad = quality.probability(features), toxic.probability(features)
+    return np.where(np.array([not (t or "").strip() for t in texts], bool), 1.0, low), bad
+
+
 def scored(docs: DataFrame, model: Classifier, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, low_quality, toxic, keep) of every row, from its whole text."""
+    """(doc_id, low_quality, toxic, keep) of every row, from its whole text. Ids are passed on as they are."""
     shared = docs.sparkSession.sparkContext.broadcast((model.quality, model.toxic))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        quality, toxic = shared.value
-        for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                part = pdf.iloc[at : at + 500]
-                features = hashed_features(list(part["text"]))
-                low, bad = quality.probability(features), toxic.probability(features)
-                empty = np.array([not (t or "").strip() for t in part["text"].where(part["text"].notna(), "")])
-                low = np.where(empty, 1.0, low)
-                yield pd.DataFrame({"doc_id": part["doc_id"], "low_quality": low, "toxic": bad, "keep": (low < 0.5) & (bad < 0.5)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                low, bad = _probabilities(part["text"].to_pylist(), *shared.value)
+                yield pa.RecordBatch.from_arrays(
+                    [part["doc_id"], pa.array(low, pa.float64()), pa.array(bad, pa.float64()), pa.array((low < 0.5) & (bad < 0.5))],
+                    ["doc_id", "low_quality", "toxic", "keep"])
 
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, low_quality double, toxic double, keep boolean")
+    return rows.mapInArrow(run, "doc_id long, low_quality double, toxic double, keep boolean")
 
 
 def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,14 +357,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     shared = spark.sparkContext.broadcast((model.quality, model.toxic))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        quality, toxic = shared.value
-        for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                part = pdf.iloc[at : at + 500]
-                features = hashed_features(list(part["text"]))
-                blank = np.array([not (t or "").strip() for t in part["text"].where(part["text"].notna(), "")])
-                keep = (quality.probability(features) < 0.5) & (toxic.probability(features) < 0.5) & ~blank
-                yield part[keep]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                low, bad = _probabilities(part["text"].to_pylist(), *shared.value)
+                yield part.filter(pa.array((low < 0.5) & (bad < 0.5)))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
