@@ -30,7 +30,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,57 +126,92 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def with_next(docs: DataFrame, key: str, text: str, rows_in_range: int = 20_000) -> DataFrame:
-    """Rows dealt to ranges of ids, each range in order and followed by the next range's first row (`after`)."""
+#: Bytes of text of a range of ids, and the least error of the quantiles that bound ranges:
+#: beyond 1 / LEAST_ERROR ranges they become less even, not wrong.
+RANGE_BYTES, LEAST_ERROR = 64 << 20, 1e-5
+
+
+def with_next(docs: DataFrame, key: str, text: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Rows dealt to ranges of ids, each range in order and followed by the next range's first row (`after`).
+
+    The bounds of the ranges and their first rows, three numbers a range, go to every task;
+    a row looks its range up by bisection.
+    """
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("k", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("h", F.xxhash64("text"))
-    parts = max(1, -(-rows.count() // rows_in_range))
-    cuts = sorted(set(rows.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    bounds = F.array(*[F.lit(int(c)) for c in cuts]).cast("array<bigint>")
-    rows = rows.withColumn("part", F.size(F.filter(bounds, lambda c: c <= F.col("k"))))
-    firsts = {r["part"]: r["first"] for r in rows.groupBy("part").agg(F.min(F.struct("k", "h")).alias("first")).collect()}
-    order = sorted(firsts)
-    copied = F.lit(None).cast("int")  # where a range's first row goes as well
-    for here, there in zip(order, [order[-1:], *[[p] for p in order]][: len(order)]):
-        is_first = (F.col("part") == here) & (F.col("k") == firsts[here]["k"]) & (F.col("h") == firsts[here]["h"])
-        copied = F.when(is_first, there[0]).otherwise(copied)
-    places = F.array_compact(F.array(
-        F.struct(F.col("part").alias("to"), F.lit(0).alias("after")),
-        F.when(copied.isNotNull(), F.struct(copied.alias("to"), F.lit(1).alias("after"))),
-    ))
-    dealt = rows.select("doc_id", "text", "k", "h", F.inline(places))
-    return dealt.repartition(max(1, len(order)), "to").sortWithinPartitions("to", "after", "k", "h")
-
-
-def fingerprinted(docs: DataFrame, key: str, text: str) -> DataFrame:
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = size // range_bytes + 1
+    at = [i / parts for i in range(1, parts)]
+    found = rows.approxQuantile("doc_id", at, max(0.2 / parts, LEAST_ERROR)) if at else []
+    cuts = np.array(sorted({int(c) for c in found}), np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(cuts)
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first row of each range that a task has met."""
+        best: dict[int, tuple[int, int]] = {}
+        for batch in batches:
+            k, h = batch["k"].to_numpy(), batch["h"].to_numpy()
+            part = np.searchsorted(shared.value, k, side="right")
+            order = np.lexsort((h, k, part))
+            for i in order[np.flatnonzero(np.diff(part[order], prepend=-1))]:
+                best[int(part[i])] = min(best.get(int(part[i]), (2**63, 0)), (int(k[i]), int(h[i])))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(best), pa.int64()), pa.array([x[0] for x in best.values()], pa.int64()),
+             pa.array([x[1] for x in best.values()], pa.int64())], ["part", "k", "h"])
+
+    firsts = rows.select("k", "h").mapInArrow(least, "part long, k long, h long").groupBy("part").agg(
+        F.min(F.struct("k", "h")).alias("f")).select("part", "f.k", "f.h").toArrow()
+    order = np.argsort(firsts["part"].to_numpy())
+    begins = docs.sparkSession.sparkContext.broadcast(tuple(firsts[c].to_numpy()[order] for c in ("part", "k", "h")))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there, first_k, first_h = begins.value
+        for batch in batches:
+            k, h = batch["k"].to_numpy(), batch["h"].to_numpy()
+            place = np.searchsorted(there, np.searchsorted(shared.value, k, side="right"))
+            opens = np.flatnonzero((first_k[place] == k) & (first_h[place] == h))
+            for which, to, after in (
+                (None, place, 0), (opens, np.where(place[opens] > 0, place[opens] - 1, len(there) - 1), 1),
+            ):
+                part = batch if which is None else batch.take(pa.array(which))
+                if part.num_rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [*part.columns, pa.array(to, pa.int32()), pa.array(np.full(part.num_rows, after), pa.int32())],
+                        [*part.schema.names, "to", "after"])
+
+    dealt = rows.mapInArrow(deal, "doc_id long, text string, k long, h long, `to` int, after int")
+    return dealt.repartitionById(max(1, len(order)), F.col("to")).sortWithinPartitions("to", "after", "k", "h")
+
+
+def fingerprinted(docs: DataFrame, key: str, text: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Fingerprint of every text and of its edited text, with their likeness and that to the next text."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                part = pdf.iloc[at : at + 500]
-                own = fingerprints(list(part["text"]))
-                rows = list(zip(part["doc_id"], part["text"], part["to"], part["after"], own))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts = part["text"].to_pylist()
+                rows = list(zip(*(part[c].to_pylist() for c in ("doc_id", "to", "after")), texts, fingerprints(texts)))
                 rows = rows if held is None else [held, *rows]
                 held = rows[-1]
-                pairs = [(a, b) for a, b in zip(rows, rows[1:]) if a[2] == b[2] and not a[3]]
-                texts = [edited(a[1], b[1]) for a, b in pairs]
-                changed = fingerprints(texts)
-                yield pd.DataFrame({
-                    "doc_id": pd.array([None if pd.isna(a[0]) else int(a[0]) for a, _ in pairs], "Int64"),
-                    "n_chars": [len(a[1]) for a, _ in pairs],
-                    "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in texts],
-                    "fingerprint": [as_text(a[4]) for a, _ in pairs],
-                    "edited_fingerprint": [as_text(e) for e in changed],
-                    "near_edited": [likeness(a[4], e) for (a, _), e in zip(pairs, changed)],
-                    "near_next": [likeness(a[4], b[4]) for a, b in pairs],
-                })
+                pairs = [(a, b) for a, b in zip(rows, rows[1:]) if a[1] == b[1] and not a[2]]
+                changed = [edited(a[3], b[3]) for a, b in pairs]
+                marks = fingerprints(changed)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([a[0] for a, _ in pairs], pa.int64()),
+                    pa.array([len(a[3]) for a, _ in pairs], pa.int64()),
+                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed], pa.string()),
+                    pa.array([as_text(a[4]) for a, _ in pairs], pa.string()),
+                    pa.array([as_text(e) for e in marks], pa.string()),
+                    pa.array([likeness(a[4], e) for (a, _), e in zip(pairs, marks)], pa.float64()),
+                    pa.array([likeness(a[4], b[4]) for a, b in pairs], pa.float64()),
+                ], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     schema = (
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
         "near_edited double, near_next double"
     )
-    return with_next(docs, key, text).mapInPandas(run, schema)
+    return with_next(docs, key, text, range_bytes).mapInArrow(run, schema)
 
 
 def fingerprint_query(spark: SparkSession, sf_dir: str) -> DataFrame:

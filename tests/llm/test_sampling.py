@@ -54,11 +54,32 @@ def test_query_over_whole_texts(spark):
     assert np.mean([r["near_edited"] for r in got]) > np.mean([r["near_next"] for r in got]) + 0.3
 
 
-def test_many_ranges_nulls_and_empty_texts(spark, monkeypatch):
+def test_many_ranges_nulls_and_empty_texts(spark):
     rows = [(7 * i % 101, f"text é {i} " * (i % 7)) for i in range(100)] + [(500, None), (501, ""), (502, "one")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, part int")
-    monkeypatch.setattr(sampling, "with_next", lambda d, k, t: with_next(d, k, t, rows_in_range=7))
-    check(rows, fingerprinted(df, "doc_id", "text").collect())
+    check(rows, fingerprinted(df, "doc_id", "text", range_bytes=300).collect())
+
+
+def test_three_thousand_ranges(spark):
+    rows = [(i * 7919 % 6007, f"t{i}") for i in range(6007)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = with_next(df, "doc_id", "text", range_bytes=sum(len(t) for _, t in rows) // 3000).collect()
+    ranges = {}
+    for r in got:
+        ranges.setdefault(r["to"], []).append((r["after"], r["k"], r["text"]))
+    assert len(ranges) > 2000
+    following, texts = {}, dict(rows)
+    for part in ranges.values():
+        part.sort()
+        following.update({a[1]: b[1] for a, b in zip(part, part[1:]) if not a[0]})
+    ids = sorted(texts)
+    assert following == dict(zip(ids, ids[1:] + ids[:1]))
+
+
+def test_large_ids_beside_a_null_id(spark):
+    ids = [None, 2**53 + 1, 2**60 + 3, -(2**62) - 1]
+    df = spark.createDataFrame([(i, f"text of {i}") for i in ids], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in fingerprinted(df, "doc_id", "text").collect()} == set(ids)
 
 
 def test_equal_texts_and_ends(spark):
