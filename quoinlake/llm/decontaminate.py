@@ -31,6 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quoinlake.llm.carried import carried
 from quoinlake.llm.jaccard import BIT_WORDS, bit_table
 from quoinlake.llm.shingles import LANES, U64, WORDS, mix
 from quoinlake.llm.wordscan import in_batches, scan
@@ -132,10 +133,11 @@ def _windows(df: DataFrame, key: str, text: str, wanted=None, lengths: "list[int
             else:
                 found = ((*w, 0) for w in chain(template_windows(texts, bits), literal_windows(texts, lengths, bits)))
             rows = [(ids[i], names[i], *w) for i, *w in found]
-            yield pd.DataFrame(rows, columns=["id", "row", "h", "pos", "slots", "literal"]).astype({"id": "Int64"})
+            yield pd.DataFrame(rows, columns=["id", "row", "h", "pos", "slots", "literal"])
 
     rows = df.select(F.col(key).cast("bigint").alias("id"), _row(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, f"id long, row string, {WINDOW}, literal int")
+    rows, fields, back = carried(rows, ["id", "row"])
+    return back(rows.mapInPandas(run, f"{fields}, {WINDOW}, literal int"))
 
 
 def _keys(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quoinlake.llm.carried import carried
 from quoinlake.llm.crf import ChainCRF
 from quoinlake.llm.dom import Block, blocks
 
@@ -176,9 +177,8 @@ def extract(pages: DataFrame, key: str, html: str, model: ChainCRF, keep: tuple[
             out = pdf.drop(columns="html").assign(text=[main_text(x) for x in pdf["html"].where(pdf["html"].notna(), None)])
             yield out.assign(n_chars=out["text"].map(len).astype("int64"))
 
-    chosen = pages.select(key, *keep, F.col(html).alias("html"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInPandas(run, f"{fields}, text string, n_chars long")
+    chosen, fields, back = carried(pages.select(key, *keep, F.col(html).alias("html")), [key, *keep])
+    return back(chosen.mapInPandas(run, f"{fields}, text string, n_chars long"))
 
 
 def extraction_query(spark: SparkSession, sf_dir: str) -> DataFrame:

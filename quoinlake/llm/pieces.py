@@ -36,6 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quoinlake.llm.carried import carried
 from quoinlake.workspace import stored
 
 CHUNK = 16_384
@@ -296,8 +297,6 @@ def encoder(path: str, log_ranks: bool = True) -> PieceEncoder:
 def encode(docs: DataFrame, key: str, text: str, path: str, chunk: int = CHUNK, log_ranks: bool = True) -> DataFrame:
     """(doc_id, ids) of every row of `docs`."""
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    doc_type = rows.schema["doc_id"].dataType.simpleString()
-
     def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = encoder(path, log_ranks)
         for pdf in few(batches):
@@ -330,14 +329,15 @@ def encode(docs: DataFrame, key: str, text: str, path: str, chunk: int = CHUNK,
             yield pd.DataFrame({"name": pdf["name"], "k": pdf["k"], "ids": ids})
 
     is_long = F.char_length("text") > chunk
-    out = rows.where(~is_long).mapInPandas(short, f"doc_id {doc_type}, ids array<int>")
+    few_chars, fields, back = carried(rows.where(~is_long), ["doc_id"])
+    out = back(few_chars.mapInPandas(short, f"{fields}, ids array<int>"))
     named = rows.where(is_long).withColumn("name", F.sha2("text", 256))
-    pieces = named.select("name", "text").mapInPandas(
+    pieces = named.groupBy("name").agg(F.first("text").alias("text")).mapInPandas(
         cut, "name string, k int, s string, before string, size int, offset long"
     )
     matrices = pieces.mapInPandas(transfer, "name string, k int, matrix string")
     states = stored(matrices.groupBy("name").applyInPandas(join, "name string, k int, entry int, leave int"), "states")
-    parts = pieces.dropDuplicates(["name", "k"]).join(states, ["name", "k"]).mapInPandas(trace, "name string, k int, ids array<int>")
+    parts = pieces.join(states, ["name", "k"]).mapInPandas(trace, "name string, k int, ids array<int>")
     whole = parts.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("p"))
     whole = whole.select("name", F.flatten("p.ids").alias("ids"))
     return out.unionByName(named.select("doc_id", "name").join(whole, "name").select("doc_id", "ids"))
@@ -350,9 +350,8 @@ def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -
         for pdf in few(batches):
             yield pdf.drop(columns="ids").assign(text=[e.decode(x) if x is not None else "" for x in pdf["ids"]])
 
-    chosen = encoded.select(*keep, "ids")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInPandas(run, f"{fields}, text string")
+    chosen, fields, back = carried(encoded.select(*keep, "ids"), list(keep))
+    return back(chosen.mapInPandas(run, f"{fields}, text string"))
 
 
 def vocabulary() -> str:
@@ -373,7 +372,8 @@ def pieces_query(spark: SparkSession, sf_dir: str) -> DataFrame:
             digests = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
             yield pdf.assign(n_tokens=pdf["ids"].map(len).astype("int64"), decoded_sha256=digests)
 
-    return encoded.mapInPandas(run, "doc_id long, ids array<int>, n_tokens long, decoded_sha256 string")
+    rows, fields, back = carried(encoded, ["doc_id"])
+    return back(rows.mapInPandas(run, f"{fields}, ids array<int>, n_tokens long, decoded_sha256 string"))
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

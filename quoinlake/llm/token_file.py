@@ -22,9 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quoinlake.llm.carried import carried
 from quoinlake.llm.huffman import RUN, canonical_codes, code_lengths, decode_table, pack, unpack
 from quoinlake.workspace import new_folder
 
@@ -130,10 +132,11 @@ def encode(docs: DataFrame, key: str, text: str, path: str, end_id: int = END_ID
             counts += np.bincount(np.frombuffer(b"".join(ids), "<u2"), minlength=1 << 16)
             yield pd.DataFrame({"kind": 0, "doc_id": pdf["doc_id"], "n": [len(x) // 2 for x in ids], "ids": ids})
         met = np.flatnonzero(counts)
-        yield pd.DataFrame({"kind": 1, "doc_id": met, "n": counts[met], "ids": None})
+        yield pd.DataFrame({"kind": 1, "doc_id": met.astype(str), "n": counts[met], "ids": None})
 
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInPandas(run, "kind int, doc_id long, n long, ids binary")
+    rows, fields, back = carried(rows, ["doc_id"])
+    return back(rows.mapInPandas(run, f"kind int, {fields}, n long, ids binary"))
 
 
 def write_token_file(docs: DataFrame, key: str, text: str, folder: str, path: str) -> None:
@@ -150,42 +153,51 @@ def write_token_file(docs: DataFrame, key: str, text: str, folder: str, path: st
 
     ids = found.where("kind = 0")
     parts = int(counts.sum() // BUCKET_TOKENS) + 1 if counts.sum() < 64 * BUCKET_TOKENS else 64 + int(counts.sum() // (8 * BUCKET_TOKENS))
-    cuts = sorted(set(ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    coder = spark.sparkContext.broadcast((lengths, canonical_codes(lengths)))
-
-    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size, codes = coder.value
-        for pdf in batches:
-            packed = [pack(np.frombuffer(x, "<u2"), codes, size) for x in pdf["ids"]]
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"],
-                "bucket": np.searchsorted(cuts, pdf["doc_id"].fillna(-(2**62)), side="right").astype(np.int32),
-                "n_tokens": pdf["n"], "checkpoints": [x[1] for x in packed], "payload": [x[0] for x in packed],
-            })
-
-    in_bucket = F.lit(0)
-    for c in cuts:
-        in_bucket = in_bucket + F.when(F.col("doc_id") >= c, 1).otherwise(0)
-    totals = dict(ids.groupBy(in_bucket.alias("b")).agg(F.sum("n")).collect())  # a row a bucket
+    found_cuts = ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], max(0.2 / parts, 1e-5)) if parts > 1 else []
+    cuts = np.array(sorted({int(c) for c in found_cuts}), np.int64)
+    coder = spark.sparkContext.broadcast((lengths, canonical_codes(lengths), cuts))
+    first = -(2**63)  # documents without an id come first
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, codes, bounds = coder.value
+        for batch in batches:
+            packed = [pack(np.frombuffer(x, "<u2"), codes, size) for x in batch["ids"].to_pylist()]
+            bucket = np.searchsorted(bounds, batch["doc_id"].fill_null(first).to_numpy(), side="right")
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], pa.array(bucket, pa.int32()), batch["n"], pa.array([x[1] for x in packed], pa.list_(pa.int32())),
+                 pa.array([x[0] for x in packed], pa.binary())], ["doc_id", "bucket", "n_tokens", "checkpoints", "payload"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = coder.value[2]
+        n = np.zeros(len(bounds) + 1, np.int64)
+        for batch in batches:
+            np.add.at(n, np.searchsorted(bounds, batch["doc_id"].fill_null(first).to_numpy(), side="right"), batch["n"].to_numpy())
+        met = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array(n[met], pa.int64())], ["b", "n"])
+
+    summed = ids.select("doc_id", "n").mapInArrow(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n"))
+    totals = dict(map(tuple, summed.collect()))  # a row a bucket
     before, so_far = {}, 0
     for b in range(len(cuts) + 1):
         before[b] = so_far
         so_far += totals.get(b, 0)
 
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, start = None, 0
-        for pdf in batches:
+        for batch in batches:
             starts = []
-            for b, n in zip(pdf["bucket"], pdf["n_tokens"]):
+            for b, n in zip(batch["bucket"].to_pylist(), batch["n_tokens"].to_pylist()):
                 if b != bucket:
                     bucket, start = b, before[b]
                 starts.append(start)
                 start += n
-            yield pdf.drop(columns="bucket").assign(start=starts)
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], pa.array(starts, pa.int64()), batch["n_tokens"], batch["checkpoints"], batch["payload"]],
+                ["doc_id", "start", "n_tokens", "checkpoints", "payload"])
 
-    coded = ids.mapInPandas(code, CODED).repartitionById(len(cuts) + 1, F.col("bucket"))
+    coded = ids.select("doc_id", "n", "ids").mapInArrow(code, CODED).repartitionById(len(cuts) + 1, F.col("bucket"))
     ordered = coded.sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "payload")
-    ordered.mapInPandas(
+    ordered.mapInArrow(
         number, "doc_id long, start long, n_tokens long, checkpoints array<int>, payload binary"
     ).write.option("compression", "none").parquet(f"{folder}/docs")
 
@@ -211,7 +223,8 @@ def read_token_file(spark: SparkSession, folder: str, ids: bool = True) -> DataF
                 yield out.assign(ids=[x.astype(np.int64) for x in pieces]) if ids else out
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids
-    return spark.read.parquet(f"{folder}/docs").mapInPandas(decode, schema)
+    rows, _, back = carried(spark.read.parquet(f"{folder}/docs"), ["doc_id"])
+    return back(rows.mapInPandas(decode, schema.replace("doc_id long", "doc_id string")))
 
 
 def token_query(spark: SparkSession, sf_dir: str) -> DataFrame:
