@@ -21,6 +21,10 @@ class Lake:
     def pool(self) -> str:
         return self.table("listings_pool")
 
+    @property
+    def newest(self) -> str:
+        return self.table("listings_newest")
+
     @property
     def scored_input(self) -> str:
         return self.table("scored_input")

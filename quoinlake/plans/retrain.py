@@ -1,14 +1,16 @@
 """Retrain: statistics, clean data, gated context, model search, promotion."""
 
+import zlib
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quoinlake.operators.context import (
     attach_context, context_present, fit_gate, market_features, market_quotes, monthly_features,
 )
-from quoinlake.operators.dedup import latest_per_key, newest_first
+from quoinlake.operators.dedup import newest_first
 from quoinlake.operators.impute import impute_fit, impute_train
 from quoinlake.operators.model import (
     Case, ablate, best_model, current_pointer, current_version, is_training, metrics_rows, promotion_decision, save_model,
@@ -16,6 +18,7 @@ from quoinlake.operators.model import (
 )
 from quoinlake.plans.lake import Lake
 from quoinlake.schemas import METRICS, PROMOTIONS
+from quoinlake.sources.newest import NewestTable, advance, catch_up, newest_rows
 from quoinlake.sources.tables import (
     append_table, latest_version, overwrite_partitions, overwrite_table, table_exists,
 )
@@ -30,12 +33,20 @@ def context_tables(spark: SparkSession, lake: Lake) -> tuple[DataFrame, DataFram
     return daily, monthly
 
 
+def newest_table(spark: SparkSession, lake: Lake) -> NewestTable:
+    """The newest listing of each URL, kept by days."""
+    columns = StructType([f for f in spark.read.parquet(lake.pool).schema.fields if f.name != "dt"])
+    name = f"newest_{zlib.crc32(lake.newest.encode()):08x}"
+    return NewestTable(name, lake.newest, columns, *KEY, newest_first("ad_id", "price", "area"))
+
+
 def fit_cleaning(spark: SparkSession, lake: Lake, version: str) -> DataFrame:
     """Fit the statistics on the whole pool, store them, write the training rows."""
-    pool = spark.read.parquet(lake.pool)
-    newest = latest_per_key(pool, KEY, newest_first("dt", "ad_id", "price", "area"))
+    table = newest_table(spark, lake)
+    catch_up(spark, table, lake.pool)
+    advance(spark, table)
     # The de-duplicated pool is written once and read by every later step.
-    overwrite_table(newest, f"{lake.clean}_deduped")
+    overwrite_table(newest_rows(spark, table), f"{lake.clean}_deduped")
     deduped = spark.read.parquet(f"{lake.clean}_deduped")
     overwrite_table(impute_fit(deduped, lake.pool), lake.stats(version))
     clean = impute_train(deduped, spark.read.parquet(lake.stats(version)))

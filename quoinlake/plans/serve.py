@@ -15,18 +15,21 @@ from quoinlake.operators.model import (
 from quoinlake.operators.score import score, to_predictions
 from quoinlake.fixed_values import LABEL
 from quoinlake.plans.lake import Lake
-from quoinlake.plans.retrain import KEY, context_tables, retrain, version_in_force, versions_rmse
+from quoinlake.plans.retrain import KEY, context_tables, newest_table, retrain, version_in_force, versions_rmse
 from quoinlake.schemas import DRIFT_LOG
 from quoinlake.sources.jdbc import JdbcTarget, jdbc_append, jdbc_read, serving_types
+from quoinlake.sources.newest import put_day
 from quoinlake.sources.tables import overwrite_day, overwrite_partitions, overwrite_table, read_table
 from quoinlake.workspace import stored
 
 
 def clean_day(spark: SparkSession, lake: Lake, day: str, **scope_args) -> DataFrame:
-    """One raw day to its pool partition, replaced as a whole on a re-run."""
+    """One raw day to its pool partition and the newest rows, replaced as a whole on a re-run."""
     raw = read_table(spark, lake.raw, day).drop("dt")
     overwrite_day(pool_day(raw, day, **scope_args), lake.pool, day)
-    return read_table(spark, lake.pool, day)
+    rows = read_table(spark, lake.pool, day)
+    put_day(newest_table(spark, lake), rows, day)
+    return rows
 
 
 def score_day(spark: SparkSession, lake: Lake, day: str, version: str, scored_at: str) -> DataFrame:
