@@ -14,9 +14,11 @@ semiring, which is associative; the running products give the entry state of eac
 the best path, and every chunk then traces its own part back by itself.
 
 No piece of these vocabularies holds a blank after another character, so a blank between
-words is always a cut: words are scored once for each worker while its bounded memory holds
-them, and a chunk's matrix is a column times a row unless one word fills it. With a
-vocabulary of another kind every chunk takes its full matrix.
+words is always a cut: the new words of many texts are searched together (`wordsearch`) and
+kept in the task's bounded memory, and a chunk's matrix is a column times a row unless one
+word fills it. The words between a chunk's first and last sure cut do not depend on its
+states: their ids are stored with its matrix, and only what lies outside them is traced.
+With a vocabulary of another kind every chunk takes its full matrix.
 
 Spaces are kept one by one, nothing is normalised, characters without a piece (and the
 space mark itself) become bytes: decoding gives the text back exactly. Defined results:
@@ -30,6 +32,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -37,12 +40,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoinlake.llm.carried import carried
+from quoinlake.llm.wordsearch import BLOCK, WordSearch
 from quoinlake.workspace import stored
 
 CHUNK = 16_384
 SHIFT = 96
 MEMORY_ENTRIES = 200_000
+MEMORY_LENGTH = 40  # longer words are not kept
+SLICE = 1_000_000  # characters whose new words are searched together
 MARK = " "  # the file writes it as U+2581, which as a character of a text has no piece
+_SURE = re.compile(f"[^{MARK}](?={MARK})")
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -121,6 +128,8 @@ class PieceEncoder:
         self.unknown = (min(scores) - 10_000_000) << SHIFT
         self.longest = max(map(len, self.pieces))
         self.cut_at_blanks = not any(MARK in p.lstrip(MARK) for p in self.pieces)
+        plain = {p: (i, s >> SHIFT) for p, (i, s) in self.pieces.items()}
+        self.search = WordSearch(plain, self.unknown >> SHIFT, _CUTS[:MEMORY_LENGTH])
         self.memory: dict[str, bytes] = {}
         self.scores: dict[str, int] = {}
 
@@ -171,21 +180,37 @@ class PieceEncoder:
         if found is None:
             best, back = self.ahead(w, 0, len(w), len(w), 0)
             found = np.array(self.trace(w, back, 0, len(w)), "<u2").tobytes()
-            if len(w) < 40:
+            if len(w) < MEMORY_LENGTH:
                 self.memory[w], self.scores[w] = found, best[-1]
         return found
 
+    def learn(self, texts: list[list[str]], scored: bool = False) -> None:
+        """Put the new words of many texts into the memory, with their scores where asked for."""
+        self.forget()
+        new = [w for w in set().union(*texts).difference(self.scores if scored else self.memory) if len(w) < MEMORY_LENGTH]
+        for a in range(0, len(new), BLOCK):
+            words = new[a : a + BLOCK]
+            ids, scores, cuts = self.search.search(words, self.bytes)
+            self.memory.update(zip(words, ids))
+            if scored:
+                self.scores.update({w: (s << SHIFT) - c for w, s, c in zip(words, scores.tolist(), cuts.tolist())})
+
     def forget(self) -> None:
         """Keep the memory of words bounded."""
         if len(self.memory) > MEMORY_ENTRIES:
-            self.memory.clear()
-            self.scores.clear()
+            self.give_back()
+
+    def give_back(self) -> None:
+        self.memory.clear()
+        self.scores.clear()
 
     def word_score(self, w: str) -> int:
-        if w not in self.scores and len(w) < 40:
-            self.word(w)
         score = self.scores.get(w)
-        return self.ahead(w, 0, len(w), len(w), 0)[0][-1] if score is None else score
+        if score is None:
+            score = self.ahead(w, 0, len(w), len(w), 0)[0][-1]
+            if len(w) < MEMORY_LENGTH:
+                self.scores[w] = score
+        return score
 
     def words(self, s: str) -> list[str]:
         if not self.cut_at_blanks:
@@ -197,26 +222,37 @@ class PieceEncoder:
     def encode(self, s: str) -> bytes:
         """Ids of one chunk that is a whole text, or a part between two sure cuts."""
         self.forget()
-        known, words = self.memory.get, self.words(s)
-        out = [known(w) for w in words]
-        for i, found in enumerate(out):
-            if found is None:
-                out[i] = self.word(words[i])
-        return b"".join(out)
+        return self.joined(self.words(s))
+
+    def joined(self, words: list[str]) -> bytes:
+        try:
+            return b"".join(map(self.memory.__getitem__, words))
+        except KeyError:
+            known = self.memory.get
+            return b"".join([known(w) or self.word(w) for w in words])
+
+    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each of many whole texts."""
+        for some in slices(texts, SLICE):
+            words = [self.words(self.inner(t)) if t else [] for t in some]
+            self.learn(words)
+            for w in words:
+                yield np.frombuffer(self.joined(w), "<u2").astype(np.int32)
 
     def sure_cuts(self, s: str, before: str, size: int) -> tuple[int, int]:
         """First and last place in 0..size where a word begins, or (-1, -1)."""
         if not self.cut_at_blanks:
             return -1, -1
         shown = before + s[: size + 1]
-        places = [m.end() - len(before) for m in re.finditer(f"[^{MARK}](?={MARK})", shown)]
-        return (places[0], places[-1]) if places else (-1, -1)
+        first = _SURE.search(shown)
+        if first is None:
+            return -1, -1
+        last = len(shown[: shown.rindex(MARK)].rstrip(MARK))
+        return first.end() - len(before), last - len(before)
 
-    def matrix(self, s: str, before: str, size: int, offset: int) -> Matrix:
-        """Chunk s[:size] with up to longest - 1 characters after it; `before` is the character ahead of it."""
-        self.forget()
+    def matrix(self, s: str, size: int, offset: int, first: int, last: int, words: list[str]) -> Matrix:
+        """Chunk s[:size] with up to longest - 1 characters after it, its sure cuts and the words between them."""
         n = self.longest
-        first, last = self.sure_cuts(s, before, size)
         if first < 0:
             full = []
             for i in range(n):
@@ -230,23 +266,39 @@ class PieceEncoder:
         column: list = [None] * n
         for i in range(min(n - 1, first) + 1):
             column[i] = self.ahead(s, i, first, first, offset)[0][first]
-        middle = sum(self.word_score(w) for w in self.words(s[first:last]))
+        middle = sum(map(self.word_score, words))
         best = self.ahead(s[last:], 0, size - last, len(s) - last, 0)[0]
         at = size - last
         return Matrix(column, [None if at + j >= len(best) or best[at + j] is None else middle + best[at + j] for j in range(n)])
 
-    def part(self, s: str, before: str, size: int, offset: int, entry: int, leave: int) -> bytes:
-        """Ids of the pieces that start in the chunk, from its entry state to its exit state."""
-        if entry >= size:
-            return b""
-        first, last = self.sure_cuts(s, before, size)
-        if first < 0 or entry > first:
-            back = self.ahead(s, entry, size, size + leave, offset)[1]
-            return np.array(self.trace(s, back, entry, size + leave), "<u2").tobytes()
-        head = self.ahead(s, entry, first, first, offset)[1]
-        tail = self.ahead(s[last:], 0, size - last, size - last + leave, 0)[1]
-        ids = [np.array(self.trace(s, head, entry, first), "<u2").tobytes(), self.encode(s[first:last]) if last > first else b""]
-        return b"".join([*ids, np.array(self.trace(s[last:], tail, 0, size - last + leave), "<u2").tobytes()])
+    def part(self, head: str, middle: bytes, tail: "str | None", size: int, offset: int, entry: int, leave: int) -> bytes:
+        """Ids of the pieces that start in the chunk, from its entry state to its exit state.
+
+        `size` is that of the chunk without what it holds before `tail`. No piece crosses a
+        sure cut, so the entry state lies before the first.
+        """
+        if tail is None:
+            return self.traced(head, entry, size, size + leave, offset) if entry < size else b""
+        return self.traced(head, entry, len(head), len(head), offset) + middle + self.traced(tail, 0, size, size + leave, 0)
+
+    def traced(self, s: str, begin: int, stop: int, end: int, offset: int) -> bytes:
+        return np.array(self.trace(s, self.ahead(s, begin, stop, end, offset)[1], begin, end), "<u2").tobytes()
+
+    def scored_all(self, chunks: list[tuple]) -> Iterator[tuple]:
+        """What is stored of each chunk: head, middle, tail, size of the tail (or of all), offset, matrix.
+
+        Head is the text up to the first sure cut, middle the ids between the sure cuts, tail
+        the text from the last one; a chunk without a sure cut is all head.
+        """
+        cuts = [self.sure_cuts(s, before, size) for s, before, size, _ in chunks]
+        words = [self.words(c[0][first:last]) if last > first else [] for c, (first, last) in zip(chunks, cuts)]
+        self.learn(words, scored=True)
+        for (s, _, size, offset), (first, last), between in zip(chunks, cuts, words):
+            matrix = self.matrix(s, size, offset, first, last, between).dump()
+            if first < 0:
+                yield s, b"", None, size, offset, matrix
+            else:
+                yield s[:first], self.joined(between), s[last:], size - last, offset, matrix
 
     def chunks(self, s: str, size: int) -> Iterator[tuple[int, str, str, int, int]]:
         """(number, text with what follows, character before, size, place of its start in its word)."""
@@ -261,7 +313,7 @@ class PieceEncoder:
 
     def decode(self, ids) -> str:
         text = self.text
-        return b"".join([text[i] for i in ids])[1:].decode(errors="replace")
+        return b"".join([text[i] for i in (ids.tolist() if isinstance(ids, np.ndarray) else ids)])[1:].decode(errors="replace")
 
 
 def boundary_states(matrices: list[Matrix]) -> list[int]:
@@ -277,6 +329,16 @@ def boundary_states(matrices: list[Matrix]) -> list[int]:
     return states[::-1]
 
 
+def slices(texts: list[str], most: int) -> Iterator[list[str]]:
+    """The texts in lists of about `most` characters, or of one text."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size > most or i == len(texts) - 1:
+            yield texts[at : i + 1]
+            at, size = i + 1, 0
+
+
 def few(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
     """The same rows in small frames, so that the ids of only a few are held at a time."""
     for pdf in batches:
@@ -297,24 +359,23 @@ def encoder(path: str, log_ranks: bool = True) -> PieceEncoder:
 def encode(docs: DataFrame, key: str, text: str, path: str, chunk: int = CHUNK, log_ranks: bool = True) -> DataFrame:
     """(doc_id, ids) of every row of `docs`."""
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    chunk_fields = "name string, k int, head string, middle binary, tail string, size int, offset long, matrix string"
+
     def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = encoder(path, log_ranks)
         for pdf in few(batches):
-            ids = [np.frombuffer(e.encode(e.inner(t)), "<u2").astype(np.int32) if t else np.zeros(0, np.int32) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": ids})
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = encoder(path, log_ranks)
-        for pdf in few(batches, 50):
-            for name, t in zip(pdf["name"], pdf["text"]):
-                out = [(name, *c) for c in e.chunks(e.inner(t), chunk)]
-                yield pd.DataFrame(out, columns=["name", "k", "s", "before", "size", "offset"])
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": list(e.encode_all(pdf["text"].tolist()))})
+        e.give_back()
 
     def transfer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = encoder(path, log_ranks)
-        for pdf in batches:
-            m = [e.matrix(*x).dump() for x in zip(pdf["s"], pdf["before"], pdf["size"], pdf["offset"])]
-            yield pd.DataFrame({"name": pdf["name"], "k": pdf["k"], "matrix": m})
+        columns = [x.split()[0] for x in chunk_fields.split(", ")]
+        for pdf in few(batches, 50):
+            chunks = ((name, c) for name, t in zip(pdf["name"], pdf["text"]) for c in e.chunks(e.inner(t), chunk))
+            while some := list(islice(chunks, max(1, SLICE // chunk))):
+                out = e.scored_all([c[1:] for _, c in some])
+                yield pd.DataFrame([(name, c[0], *x) for (name, c), x in zip(some, out)], columns=columns)
+        e.give_back()
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("k").sort_values("k")
@@ -323,8 +384,8 @@ def encode(docs: DataFrame, key: str, text: str, path: str, chunk: int = CHUNK,
 
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = encoder(path, log_ranks)
-        for pdf in batches:
-            columns = [pdf[c] for c in ("s", "before", "size", "offset", "entry", "leave")]
+        for pdf in few(batches):
+            columns = [pdf[c] for c in ("head", "middle", "tail", "size", "offset", "entry", "leave")]
             ids = [np.frombuffer(e.part(*x), "<u2").astype(np.int32) for x in zip(*columns)]
             yield pd.DataFrame({"name": pdf["name"], "k": pdf["k"], "ids": ids})
 
@@ -332,12 +393,11 @@ def encode(docs: DataFrame, key: str, text: str, path: str, chunk: int = CHUNK,
     few_chars, fields, back = carried(rows.where(~is_long), ["doc_id"])
     out = back(few_chars.mapInPandas(short, f"{fields}, ids array<int>"))
     named = rows.where(is_long).withColumn("name", F.sha2("text", 256))
-    pieces = named.groupBy("name").agg(F.first("text").alias("text")).mapInPandas(
-        cut, "name string, k int, s string, before string, size int, offset long"
-    )
-    matrices = pieces.mapInPandas(transfer, "name string, k int, matrix string")
+    texts = named.groupBy("name").agg(F.first("text").alias("text"))
+    chunks = stored(texts.mapInPandas(transfer, chunk_fields), "chunks")
+    matrices = chunks.select("name", "k", "matrix")
     states = stored(matrices.groupBy("name").applyInPandas(join, "name string, k int, entry int, leave int"), "states")
-    parts = pieces.join(states, ["name", "k"]).mapInPandas(trace, "name string, k int, ids array<int>")
+    parts = chunks.drop("matrix").join(states, ["name", "k"]).mapInPandas(trace, "name string, k int, ids array<int>")
     whole = parts.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("p"))
     whole = whole.select("name", F.flatten("p.ids").alias("ids"))
     return out.unionByName(named.select("doc_id", "name").join(whole, "name").select("doc_id", "ids"))
