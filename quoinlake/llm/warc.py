@@ -7,8 +7,11 @@ equal payloads of at least `least_bytes` the one with the smallest id is the res
 the others are revisits, which hold headers only and name the response in WARC-Refers-To.
 
 Files are written by Spark's text writer, whose line separator is the blank lines that end
-a record, and read whole by its binary reader; a record is cut by its Content-Length, so a
-payload may hold anything. Files stay small because their number follows the input splits.
+a record, and fetched by its binary reader; a record is cut by its Content-Length, so a
+payload may hold anything. Archives of other writers are read too: plain ones and those of
+a gzip member a record, names of headers in any case, folded values; records are taken from
+the stream one by one. A truncated archive is an error. A file must stay below 2 GB, the
+most that the binary reader takes; those written here are as many as the shuffle's partitions.
 
 Defined results: NULL html is an empty payload, NULL url an empty target; rows without an
 id are not captures and are left out; of rows that repeat an id each is a capture of its
@@ -16,8 +19,11 @@ own, numbered within the id; an empty table gives no captures; other columns are
 """
 
 import base64
+import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -112,32 +118,46 @@ def write_warc(rows: DataFrame, folder: str, captured: str = "2025-01-01T00:00:0
     records.write.option("lineSep", END).option("compression", "gzip").text(folder)
 
 
-def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record in a file's bytes."""
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        fields = dict(x.split(": ", 1) for x in data[at:end].decode().split("\r\n")[1:])
-        stop = end + 4 + int(fields["Content-Length"])
-        yield fields, data[end + 4 : stop]
-        at = stop
+def records_of(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record of an archive, one at a time."""
+    file = opened(content)
+    while line := file.readline():
+        if not line.startswith(b"WARC/"):  # blank lines between records
+            continue
+        fields, name = {}, ""
+        while (line := file.readline()).strip():
+            text = line.decode(errors="replace")
+            if text[0] in " \t":  # a value goes on
+                fields[name] += " " + text.strip()
+                continue
+            name, _, value = text.partition(":")
+            name = name.strip().lower()
+            fields[name] = value.strip()
+        block = file.read(int(fields["content-length"]))
+        if len(block) < int(fields["content-length"]):
+            raise EOFError(f"archive ends within record {fields.get('warc-record-id')}")
+        yield fields, block
+
+
+def opened(content: bytes) -> BinaryIO:
+    """An archive, plain or of any number of gzip members, as a stream."""
+    plain = io.BytesIO(content)
+    return gzip.GzipFile(fileobj=plain) if content[:2] == b"\x1f\x8b" else plain
 
 
 def _parse(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import zlib
-
     names = [x.split()[0] for x in RECORD.split(", ")]
     for batch in files:
         for content in batch["content"]:
             rows, held = [], 0
-            data = zlib.decompress(content, 47) if bytes(content[:2]) == b"\x1f\x8b" else bytes(content)
-            for h, block in records_of(data):
-                is_http = h["WARC-Type"] == "response"
-                payload = block[block.index(b"\r\n\r\n") + 4 :] if is_http else b"" if h["WARC-Type"] == "revisit" else block
+            for h, block in records_of(bytes(content)):
+                is_http = h["warc-type"] == "response"
+                head = block.find(b"\r\n\r\n") if is_http else -1
+                payload = b"" if h["warc-type"] == "revisit" else block[head + 4 :] if head >= 0 else block
                 digest = base64.b32encode(hashlib.sha1(payload).digest()).decode() if is_http else None
                 rows.append((
-                    h["WARC-Record-ID"], h["WARC-Type"], h.get("WARC-Concurrent-To"), h.get("WARC-Refers-To"),
-                    h.get("WARC-Target-URI"), h.get("WARC-Date"), h.get("WARC-Payload-Digest"), payload,
+                    h.get("warc-record-id"), h["warc-type"], h.get("warc-concurrent-to"), h.get("warc-refers-to"),
+                    h.get("warc-target-uri"), h.get("warc-date"), h.get("warc-payload-digest"), payload,
                     len(payload), digest,
                 ))
                 held += len(payload)

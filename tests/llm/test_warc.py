@@ -1,8 +1,10 @@
 """WARC: SQL of the query, and transactions read from files written and from hand-made records."""
 
 import base64
+import gzip
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from quoinlake.llm.catalog import QUERIES, SQL
@@ -62,3 +64,41 @@ def test_no_rows(spark):
     write_warc(with_revisits(captures(df, "page_id", "url", "html")), folder)
     assert transactions(read_records(spark, folder)).count() == 0
     assert captures(df.withColumn("id", F.lit(1)), "page_id", "url", "html").columns[0] == "id"
+
+
+def record(kind, n, block, names=str):
+    headers = [("WARC-Type", kind), ("WARC-Record-ID", f"<{kind}{n}>"), ("WARC-Concurrent-To", f"<response{n}>"),
+               ("WARC-Target-URI", f"http://h/\r\n {n}"), ("Content-Length", len(block))]
+    return b"WARC/1.0\r\n" + b"".join(f"{names(k)}:  {v}\r\n".encode() for k, v in headers) + b"\r\n" + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("names", [str, str.lower, str.upper])
+@pytest.mark.parametrize("form", ["plain", "one member", "a member a record", "members and zeros"])
+def test_archives_of_other_writers(spark, tmp_path, form, names):
+    page = "x" * 200_000 + "\r\n\r\nWARC/1.0\r\n"
+    parts = [record("warcinfo", 0, b"software: other\r\n", names)]
+    for n in range(20):
+        parts += [record("request", n, b"GET / HTTP/1.1\r\n\r\n", names),
+                  record("response", n, f"HTTP/1.1 200 OK\r\n\r\n{page}{n}".encode(), names),
+                  record("metadata", n, f"n: {n}".encode(), names)]
+    parts.append(record("response", 20, b"no headers of HTTP", names))
+    whole = {"plain": b"".join(parts), "one member": gzip.compress(b"".join(parts))}
+    members = b"".join(map(gzip.compress, parts))
+    (tmp_path / "other.warc").write_bytes(whole.get(form) or members + (b"\0" * 512 if form.endswith("zeros") else b""))
+    records = read_records(spark, str(tmp_path))
+    assert records.count() == 62
+    got = {r["record_id"]: r for r in transactions(records).collect()}
+    assert len(got) == 21 and bytes(got["<response20>"]["response"]["payload"]) == b"no headers of HTTP"
+    for n in range(20):
+        r = got[f"<response{n}>"]
+        assert bytes(r["response"]["payload"]) == f"{page}{n}".encode()
+        assert r["request"]["target"] == r["response"]["target"] == f"http://h/ {n}"
+        assert bytes(r["metadata"]["payload"]) == f"n: {n}".encode()
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_truncated_archive_is_an_error(packed):
+    data = record("response", 1, b"H\r\n\r\nabc")
+    data = gzip.compress(data)[:-9] if packed else data[:-6]
+    with pytest.raises(EOFError):
+        list(records_of(data))
