@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quoinlake.fixed_values import (
     BEDROOMS_IN_TEXT, CODE_LABELS, FLOORS_IN_TEXT, INTERIOR_ITEM_ID, LEGAL_ITEM_ID,
@@ -14,13 +15,18 @@ from quoinlake.functions.text import (
 from quoinlake.schemas import AD_JSON, RAW_LISTING
 
 
-def decode_json(df: DataFrame, value: str, schema=RAW_LISTING) -> DataFrame:
+def decode_json(df: DataFrame, value: str, schema=RAW_LISTING, read: "list[str] | None" = None) -> DataFrame:
     """Parse a JSON text column to flat columns; malformed or NULL text gives all NULL.
 
     The generator keeps later filters above it: pushed below, each would parse the text again.
+    Spark does not prune what a generator parses, so a caller that uses few fields names them
+    in `read`; the others are skipped in the text and come as NULL.
     """
-    parsed = F.from_json(F.col(value).cast("string"), schema)
-    return df.select(F.inline(F.array(parsed)))
+    kept = schema if read is None else StructType([f for f in schema if f.name in read])
+    flat = df.select(F.inline(F.array(F.from_json(F.col(value).cast("string"), kept))))
+    if read is None:
+        return flat
+    return flat.select(*[F.col(f.name) if f.name in read else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
 
 
 def canonical_url(prefix: str, ad_id: "Column | str") -> Column:
@@ -71,6 +77,8 @@ def normalize_ads(ads: DataFrame, url_prefix: str, crawled_at: Column) -> DataFr
 
 
 LISTING_REQUIRED = ["ad_id", "title", "price"]
+#: The fields of AD_JSON that the required ones are made of.
+REQUIRED_SOURCES = ["ad_id", "list_id", "subject", "title", "price"]
 
 
 def complete(required: list[str]) -> Column:

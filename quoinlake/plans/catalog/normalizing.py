@@ -8,7 +8,7 @@ from quoinlake.functions.numeric import epoch_ms
 from quoinlake.functions.text import first_number, html_text
 from quoinlake.operators.audit import accepted, audited_require, audited_tiers, refusals, unmapped_seen
 from quoinlake.operators.normalize import (
-    LISTING_REQUIRED, ads_from_json, backfill_from_text, decode_json, normalize_ads, require,
+    LISTING_REQUIRED, REQUIRED_SOURCES, ads_from_json, backfill_from_text, decode_json, normalize_ads, require,
 )
 from quoinlake.operators.sizing import spread
 from quoinlake.plans.catalog.registry import query, table, values_of
@@ -164,8 +164,10 @@ select concat_ws(',', case when ad_id is null then 'ad_id' end, case when title
 from norm where ad_id is null or title is null or price is null group by 1
 union all select 'none', count(*) from good""")
 def required_fields(spark, sf_dir):
-    ads = normalize_ads(decode_json(ad_json(spark, sf_dir), "value", AD_JSON), URL_PREFIX, F.lit(None))
-    usable, refused = require(ads, LISTING_REQUIRED)
+    """The required fields are written once, so that the usable and the refused ads are one pass over the text."""
+    parsed = decode_json(ad_json(spark, sf_dir), "value", AD_JSON, read=REQUIRED_SOURCES)
+    ads = normalize_ads(parsed, URL_PREFIX, F.lit(None))
+    usable, refused = require(stored(ads.select(*LISTING_REQUIRED), "required"), LISTING_REQUIRED)
     total = usable.agg(F.lit("none").alias("missing"), F.count(F.lit(1)).alias("n_rows"))
     return refused.unionByName(total)
 
