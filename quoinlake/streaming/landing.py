@@ -7,7 +7,7 @@ from pyspark.sql.types import StructType
 
 from quoinlake.operators.normalize import decode_json
 from quoinlake.operators.dedup import latest_per_key
-from quoinlake.operators.sizing import small_or_shuffled
+from quoinlake.operators.sizing import BROADCAST_ROWS, fits
 from quoinlake.operators.upsert import upsert
 from quoinlake.schemas import RAW_LISTING
 from quoinlake.sources.tables import (
@@ -85,6 +85,19 @@ def landed_days(spark: SparkSession, path: str, days: list[str], by: str = "dt")
     return spark.read.option("basePath", path).parquet(*there) if there else None
 
 
+def not_before(fresh: DataFrame, before: DataFrame, key: list[str], max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows of `fresh` whose key `before` does not have.
+
+    Up to `max_rows` keys go to the files of `before`. More are joined by shuffle: Spark would
+    else send them through the driver, batch by batch, as long as their files are small.
+    """
+    keys, before = fresh.select(*key), before.select(*key)
+    if fits(keys, max_rows):
+        return fresh.join(before.join(F.broadcast(keys), key, "left_semi").distinct(), key, "left_anti")
+    again = before.join(keys.hint("merge"), key, "left_semi").distinct()
+    return fresh.join(again.hint("merge"), key, "left_anti")
+
+
 def land_once(
     stream: DataFrame, path: str, checkpoint: str, key: tuple[str, ...] = ("ad_id", "crawled_at"), by: str = "dt"
 ) -> StreamingQuery:
@@ -107,9 +120,7 @@ def land_once(
         else:
             earlier = spark.read.parquet(path) if table_exists(spark, path) else None
         if earlier is not None:
-            before = earlier.where(F.col("batch") < batch_id).select(by, *key)
-            again = before.join(small_or_shuffled(fresh.select(by, *key)), [by, *key], "left_semi").distinct()
-            fresh = fresh.join(again, [by, *key], "left_anti")
+            fresh = not_before(fresh, earlier.where(F.col("batch") < batch_id), [by, *key])
         rows = fresh.withColumn("batch", F.lit(batch_id).cast("long"))
         overwrite_partitions(rows, path, [by, "batch"])
 

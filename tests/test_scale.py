@@ -8,6 +8,7 @@ from quoinlake.functions.text import first_filled, first_number, html_text
 from quoinlake.operators.normalize import REQUIRED_SOURCES, LISTING_REQUIRED, decode_json, normalize_ads
 from quoinlake.plans.catalog import QUERIES
 from quoinlake.schemas import AD_JSON
+from quoinlake.streaming.landing import not_before
 from pyspark.sql import functions as F
 
 LINE = ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
@@ -49,3 +50,12 @@ def test_searched_texts_give_what_the_patterns_give(spark):
     found = spark.createDataFrame([(t,) for t in texts], "t string").select(first_filled("t"), first_number("t")).collect()
     assert [r[0] for r in found] == [None, None, None, None, None, "-", "0a", None, None, " 0", "a", None, "-1", "10"]
     assert [r[1] for r in found] == [None, 0, 0, 0, 0, None, 0, None, 0, 0, None, None, 1, 10]
+
+
+def test_many_keys_of_a_batch_are_not_sent_through_the_driver(spark):
+    rows = lambda lo, hi: spark.range(lo, hi).select(F.lit("d").alias("dt"), F.col("id").cast("string").alias("ad_id"))
+    twice = rows(40, 60).unionByName(rows(40, 60))
+    for bound, sent in ((10, False), (100, True)):
+        left = not_before(rows(0, 50).unionByName(rows(0, 0)), twice, ["dt", "ad_id"], bound)
+        assert sorted(int(r["ad_id"]) for r in left.collect()) == list(range(40))
+        assert ("Broadcast" in left._jdf.queryExecution().executedPlan().toString()) is sent
