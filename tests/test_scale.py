@@ -6,6 +6,7 @@ import pytest
 
 from quoinlake.functions.text import first_filled, first_number, html_text
 from quoinlake.operators.normalize import REQUIRED_SOURCES, LISTING_REQUIRED, decode_json, normalize_ads
+from quoinlake.operators.quantiles import exact_quantiles
 from quoinlake.plans.catalog import QUERIES
 from quoinlake.schemas import AD_JSON
 from quoinlake.streaming.landing import not_before
@@ -59,3 +60,12 @@ def test_many_keys_of_a_batch_are_not_sent_through_the_driver(spark):
         left = not_before(rows(0, 50).unionByName(rows(0, 0)), twice, ["dt", "ad_id"], bound)
         assert sorted(int(r["ad_id"]) for r in left.collect()) == list(range(40))
         assert ("Broadcast" in left._jdf.queryExecution().executedPlan().toString()) is sent
+
+
+def test_quartiles_share_a_sketch(spark, monkeypatch):
+    made, sketch = [], F.percentile_approx
+    monkeypatch.setattr(F, "percentile_approx", lambda *a: made.append(a) or sketch(*a))
+    values = spark.range(1, 1001).select((F.col("id") * 7919 % 1009).cast("double").alias("v"))
+    known = sorted(i * 7919 % 1009 for i in range(1, 1001))
+    assert exact_quantiles(values, "v", [0.25, 0.75], direct_rows=100, accuracy=50) == [known[249], known[749]]
+    assert len(made) == 1
