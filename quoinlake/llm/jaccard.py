@@ -5,8 +5,9 @@ each (the prefix that a partner must meet). Two relations save comparisons:
 
 * *Index level.* A list is cut into blocks by set size and by the shingle's position in
   its set; blocks whose sizes or positions rule the overlap out are never joined.
-* *Answer level.* Each list has a pivot. Sets are compared with their pivots first, and
-  the overlaps found are kept. For two sets x, y with the same pivot p they bound the
+* *Answer level.* Each list has a pivot, the one of its sets that is in the most lists for its size:
+  among near copies that is one close to their centre, which links most of them at once. Sets are
+  compared with their pivots first, and the overlaps found are kept. For two sets x, y with the same pivot p they bound the
   overlap of x and y: at most |p∩y| + |x\\p|, at least |p∩x| + |p∩y| - |p|. Pairs that
   the bounds decide are not compared again, and pairs already in one component are not
   even listed. A group of near copies around one pivot costs a comparison a member.
@@ -116,7 +117,7 @@ def described(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFram
 
 
 def index_rows(docs: DataFrame, key: str, text: str, hot: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(token, name, n, pos): the prefix of each set, once. Tasks leave repeats out, and so does what they sum up to."""
+    """(token, name, n, pos): the prefix of each set, once, dealt out by token. Tasks leave repeats out, and so does what they sum up to."""
     ranked = hot.toArrow().to_pandas()
     order = np.argsort(ranked["token"].to_numpy().view(U64), kind="stable")
     shared = docs.sparkSession.sparkContext.broadcast((
@@ -150,7 +151,19 @@ def index_rows(docs: DataFrame, key: str, text: str, hot: DataFrame, percent: in
                 )
 
     found = docs.select(F.col(text).alias("text")).mapInArrow(prefixes, "token long, name long, n int, pos int")
-    return found.dropDuplicates(["token", "name"])
+    return found.repartition("token").dropDuplicates(["token", "name"])
+
+
+def pivot_lists(rows: DataFrame) -> DataFrame:
+    """The rows of shingles met in several sets, with the `pivot` of each; stored.
+
+    Most shingles of a prefix are in one set only. Their rows move once, with all others, and end here.
+    """
+    several = rows.withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("sets > 1").drop("sets")
+    several = stored(several, "shared")
+    share = several.groupBy("name").agg((F.count(F.lit(1)) / F.max("n")).alias("share"))
+    pivots = several.join(share, "name").groupBy("token").agg(F.min(F.struct(-F.col("share"), "name")).alias("first"))
+    return stored(several.join(pivots.select("token", F.col("first.name").alias("pivot")), "token"), "lists")
 
 
 def bit_table(hashed: DataFrame) -> np.ndarray:
@@ -335,16 +348,21 @@ def stray_pairs(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
 
 def decide(pairs: DataFrame, answers: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Bounds of the overlap of x and y from their overlaps with one pivot: `low` and `high`."""
-    # A set has the answers of its few pivots and of itself; a pivot's list of members is not looked up.
+    # A set has the answers of its few pivots and of itself, at most PIVOTS + 1; a pivot's list of members is not looked up.
     flat = answers.select("y", "x", "overlap").union(sizes.select("name", "name", "n")).toDF("of", "pivot", "overlap")
-    both = pairs.join(flat.toDF("x", "pivot", "in_x"), "x").join(flat.toDF("y", "pivot", "in_y"), ["y", "pivot"])
-    both = both.join(sizes.toDF("pivot", "size"), "pivot")
-    a, b = F.col("in_x"), F.col("in_y")
-    bounds = both.groupBy("x", "y").agg(
-        F.max(a + b - F.col("size")).alias("low"),
-        F.min(F.least(b + F.col("n") - a, a + F.col("m") - b)).alias("high"),
+    known = flat.join(sizes.toDF("pivot", "size"), "pivot").groupBy("of").agg(
+        F.collect_list(F.struct("pivot", "overlap", "size")).alias("known"))
+    both = pairs.join(known.toDF("x", "of_x"), "x").join(known.toDF("y", "of_y"), "y")
+
+    def common(bound) -> Column:
+        return F.flatten(F.transform("of_x", lambda a: F.transform(
+            F.filter("of_y", lambda b: b["pivot"] == a["pivot"]), lambda b: bound(a["overlap"], b["overlap"], a["size"]))))
+
+    return both.select(
+        *pairs.columns,
+        F.array_max(common(lambda a, b, size: a + b - size)).alias("low"),
+        F.array_min(common(lambda a, b, size: F.least(b + F.col("n") - a, a + F.col("m") - b))).alias("high"),
     )
-    return pairs.join(bounds, ["x", "y"], "left")
 
 
 def linked_sets(docs: DataFrame, key: str, text: str, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -352,10 +370,7 @@ def linked_sets(docs: DataFrame, key: str, text: str, percent: int = PERCENT) ->
     sets, hot = described(docs, key, text)
     named = sets.where("name is not null")
     sizes = stored(named.groupBy("name").agg(F.min("n").alias("n")), "sizes")
-    rows = stored(index_rows(docs, key, text, hot, percent), "index")
-    shared = rows.groupBy("token").agg(F.min("name").alias("pivot"), F.max("name").alias("top"))
-    shared = shared.where("pivot <> top").drop("top")
-    lists = stored(rows.join(shared, "token"), "lists")
+    lists = pivot_lists(index_rows(docs, key, text, hot, percent))
 
     n, m = F.col("n"), F.col("m")
     answers = overlaps(docs, key, text, named, pivot_pairs(lists, sizes, percent))

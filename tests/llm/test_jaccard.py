@@ -137,3 +137,21 @@ def test_long_paths_and_stars_come_to_one_root(spark):
     got = {r["node"]: r["root"] for r in components(df, "a", "b").collect()}
     want = {i: 1000 for i in range(1000, 1061)} | {5000 + i: 5000 for i in range(40)} | {7: 7, 8: 7}
     assert {k: v for k, v in got.items() if k != 9} == want and got.get(9, 9) == 9
+
+
+def test_near_copies_are_linked_by_the_pivot_that_most_resemble(spark, monkeypatch):
+    """Copies with edits of their own and the text itself: few pairs are left once all met the pivots of their lists."""
+    r, base, left = random.Random(5), [f"w{i}" for i in range(150)], []
+    edit = lambda k: {r.randrange(5, 145): f"e{r.random()}" for _ in range(k)}
+    texts = [" ".join(e.get(i, w) for i, w in enumerate(base)) for e in [{}, *(edit(r.choice([1, 2, 3])) for _ in range(80))]]
+    whole = jaccard.stray_pairs
+
+    def counted(*given):
+        pairs = whole(*given)
+        left.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(jaccard, "stray_pairs", counted)
+    rows = list(enumerate(texts))
+    assert joined(spark, rows) == brute(rows)
+    assert left[0] <= 8
