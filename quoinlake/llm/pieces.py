@@ -271,15 +271,20 @@ class PieceEncoder:
         at = size - last
         return Matrix(column, [None if at + j >= len(best) or best[at + j] is None else middle + best[at + j] for j in range(n)])
 
-    def part(self, head: str, middle: bytes, tail: "str | None", size: int, offset: int, entry: int, leave: int) -> bytes:
-        """Ids of the pieces that start in the chunk, from its entry state to its exit state.
+    def ends(self, head: str, tail: "str | None", size: int, offset: int, entry: int, leave: int) -> tuple[bytes, bytes]:
+        """Ids of the pieces that start in the chunk, from its entry state to its exit state, before and after its middle.
 
         `size` is that of the chunk without what it holds before `tail`. No piece crosses a
         sure cut, so the entry state lies before the first.
         """
         if tail is None:
-            return self.traced(head, entry, size, size + leave, offset) if entry < size else b""
-        return self.traced(head, entry, len(head), len(head), offset) + middle + self.traced(tail, 0, size, size + leave, 0)
+            return self.traced(head, entry, size, size + leave, offset) if entry < size else b"", b""
+        return self.traced(head, entry, len(head), len(head), offset), self.traced(tail, 0, size, size + leave, 0)
+
+    def part(self, head: str, middle: bytes, tail: "str | None", size: int, offset: int, entry: int, leave: int) -> bytes:
+        """All ids of the pieces that start in the chunk."""
+        before, after = self.ends(head, tail, size, offset, entry, leave)
+        return before + middle + after
 
     def traced(self, s: str, begin: int, stop: int, end: int, offset: int) -> bytes:
         return np.array(self.trace(s, self.ahead(s, begin, stop, end, offset)[1], begin, end), "<u2").tobytes()
@@ -312,8 +317,8 @@ class PieceEncoder:
             yield k, s[at : at + size + self.longest - 1], s[at - 1 : at] if at else "", min(size, len(s) - at), at - begin
 
     def decode(self, ids) -> str:
-        text = self.text
-        return b"".join([text[i] for i in (ids.tolist() if isinstance(ids, np.ndarray) else ids)])[1:].decode(errors="replace")
+        numbers = ids.tolist() if isinstance(ids, np.ndarray) else ids
+        return b"".join(map(self.text.__getitem__, numbers))[1:].decode(errors="replace")
 
 
 def boundary_states(matrices: list[Matrix]) -> list[int]:
@@ -385,9 +390,14 @@ def encode(docs: DataFrame, key: str, text: str, path: str, chunk: int = CHUNK,
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = encoder(path, log_ranks)
         for pdf in few(batches):
-            columns = [pdf[c] for c in ("head", "middle", "tail", "size", "offset", "entry", "leave")]
-            ids = [np.frombuffer(e.part(*x), "<u2").astype(np.int32) for x in zip(*columns)]
-            yield pd.DataFrame({"name": pdf["name"], "k": pdf["k"], "ids": ids})
+            columns = [pdf[c] for c in ("head", "tail", "size", "offset", "entry", "leave")]
+            ids = [x for row in zip(*columns) for x in e.ends(*row)]
+            yield pd.DataFrame({"name": np.repeat(pdf["name"].to_numpy(), 2), "at": (3 * pdf["k"].to_numpy()[:, None] + [0, 2]).ravel(), "ids": ids})
+
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in few(batches, 50):
+            ids = [np.frombuffer(b"".join(p), "<u2").astype(np.int32) for p in pdf["p"]]
+            yield pdf[["doc_id"]].assign(ids=ids)
 
     is_long = F.char_length("text") > chunk
     few_chars, fields, back = carried(rows.where(~is_long), ["doc_id"])
@@ -396,11 +406,14 @@ def encode(docs: DataFrame, key: str, text: str, path: str, chunk: int = CHUNK,
     texts = named.groupBy("name").agg(F.first("text").alias("text"))
     chunks = stored(texts.mapInPandas(transfer, chunk_fields), "chunks")
     matrices = chunks.select("name", "k", "matrix")
+    # What lies between sure cuts is most of a text; it moves once, to its text, and never to the states.
     states = stored(matrices.groupBy("name").applyInPandas(join, "name string, k int, entry int, leave int"), "states")
-    parts = chunks.drop("matrix").join(states, ["name", "k"]).mapInPandas(trace, "name string, k int, ids array<int>")
-    whole = parts.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("p"))
-    whole = whole.select("name", F.flatten("p.ids").alias("ids"))
-    return out.unionByName(named.select("doc_id", "name").join(whole, "name").select("doc_id", "ids"))
+    parts = chunks.drop("matrix", "middle").join(states, ["name", "k"]).mapInPandas(trace, "name string, at long, ids binary")
+    middle = chunks.select("name", (F.col("k") * 3 + 1).cast("long").alias("at"), F.col("middle").alias("ids"))
+    whole = parts.unionByName(middle).where(F.length("ids") > 0).groupBy("name").agg(
+        F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("p"))
+    found, fields, back_long = carried(named.select("doc_id", "name").join(whole, "name").select("doc_id", F.col("p.ids").alias("p")), ["doc_id"])
+    return out.unionByName(back_long(found.mapInPandas(joined, f"{fields}, ids array<int>")))
 
 
 def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -119,3 +119,15 @@ def test_long_texts_nulls_repeats_and_no_rows(spark):
     one = [r["ids"] for r in got.collect() if r["doc_id"] == 1]
     assert len(one) == 2 and one[0] == one[1] == plain(E, long)
     assert encode(df.limit(0), "doc_id", "text", vocabulary()).count() == 0
+
+
+def test_ids_between_sure_cuts_do_not_move_to_the_states(spark):
+    """What is traced with the states of a chunk is its ends; the ids are those of the whole text all the same."""
+    path = pieces.vocabulary()
+    texts = ["some words, again " * 30, "x" * 300, "y" * 90 + " end", None, "short", "some words, again " * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    encoded = pieces.encode(df, "doc_id", "text", path, chunk=64)
+    traces = [x for x in encoded._jdf.queryExecution().optimizedPlan().toString().split("\n") if "trace(" in x]
+    assert traces and not any("middle" in x for x in traces)
+    whole = [x.tolist() for x in pieces.encoder(path).encode_all([t or "" for t in texts])]
+    assert [r["ids"] for r in encoded.orderBy("doc_id").collect()] == whole
