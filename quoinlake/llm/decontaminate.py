@@ -35,6 +35,7 @@ from quoinlake.llm.carried import carried
 from quoinlake.llm.jaccard import BIT_WORDS, bit_table
 from quoinlake.llm.shingles import LANES, U64, WORDS, mix
 from quoinlake.llm.wordscan import in_batches, scan
+from quoinlake.operators.sizing import small_or_shuffled
 from quoinlake.workspace import stored
 
 SHARE, LEAST, PLAIN_WORDS = 0.5, 4, 3
@@ -213,4 +214,5 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Pipeline: documents that hold a benchmark item go."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     held = matches(docs, "doc_id", "text", bench, "item_id", "text").select(F.col("row").alias("_held")).distinct()
+    held = small_or_shuffled(stored(held, "held"))  # counted, so that the documents move only where names are many
     return docs.join(held, _row(docs["doc_id"], docs["text"]) == F.col("_held"), "left_anti")

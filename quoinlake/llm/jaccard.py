@@ -3,8 +3,8 @@
 Documents with equal sets are one set. Sets share index lists of the rarest shingles of
 each (the prefix that a partner must meet). Two relations save comparisons:
 
-* *Index level.* A list is cut into blocks by set size and by the shingle's position in
-  its set; blocks whose sizes or positions rule the overlap out are never joined.
+* *Index level.* A list is cut into blocks by set size; blocks whose sizes rule the overlap
+  out are never joined, and sets whose sizes or positions of the shingle do make no pair.
 * *Answer level.* Each list has a pivot, the one of its sets that is in the most lists for its size:
   among near copies that is one close to their centre, which links most of them at once. Sets are
   compared with their pivots first, and the overlaps found are kept. For two sets x, y with the same pivot p they bound the
@@ -316,19 +316,15 @@ def stray_pairs(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     )
     base = 104 / percent  # sizes of partners are in the same or the next block
     block = lambda n: F.floor(F.log(n) / F.log(F.lit(base)))
-    width = lambda b: F.floor(F.pow(F.lit(base), b + 1) * (100 - percent) / percent) + 1
     own = own.select("token", "name", "n", "pos", "root", "stray").withColumn("by_n", block(F.col("n")))
     right = own.select(
-        "token", "by_n", F.floor(F.col("pos") / width(F.col("by_n"))).alias("by_pos"),
-        F.col("name").alias("y"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("root").alias("y_root"),
+        "token", "by_n", F.col("name").alias("y"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("root").alias("y_root"),
         F.col("stray").alias("y_stray"),
     )
     left = own.where("stray").select(
         "token", F.col("name").alias("x"), "n", F.col("pos").alias("p"), F.col("root").alias("x_root"),
         F.explode(F.array(*[F.col("by_n") + i for i in (-1, 0, 1)])).alias("by_n"),
     )
-    at = F.floor(F.col("p") / width(F.col("by_n")))
-    left = left.withColumn("by_pos", F.explode(F.array(*[at + i for i in (-1, 0, 1)])))
     both = F.least("p", "q") + 1 + F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) - 1
     reach_x, reach_y = _reach("n", "m", percent), _reach("m", "n", percent)
     rule = (
@@ -336,8 +332,7 @@ def stray_pairs(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
         & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
         & (F.col("p") < reach_x) & (F.col("q") < reach_y) & enough(both, F.col("n"), F.col("m"), percent)
     )
-    keys = [left[k] == right[k] for k in ("token", "by_n", "by_pos")]
-    met = left.join(right, keys[0] & keys[1] & keys[2] & rule).groupBy(
+    met = left.join(right, (left["token"] == right["token"]) & (left["by_n"] == right["by_n"]) & rule).groupBy(
         F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"),
         F.when(F.col("x") < F.col("y"), F.col("n")).otherwise(F.col("m")).alias("n"),
         F.when(F.col("x") < F.col("y"), F.col("m")).otherwise(F.col("n")).alias("m"),

@@ -121,3 +121,18 @@ def test_rows_are_judged_by_their_own_text(spark):
     rows = [(i, item if t == ITEM else t, "en", "s", 1) for i, t in docs]
     got = decontamination_stage(spark, spark.createDataFrame(rows, schema), SF).collect()
     assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted((str(i), t) for i, t in docs if t != ITEM)
+
+
+def test_stage_moves_no_documents_where_few_are_held(spark, tmp_path):
+    item = "the quick brown fox jumps over the lazy dog near the old river bank today"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, item), (2, "nothing of it"), (None, None)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables whose size is not known to be small
+    try:
+        kept = decontamination_stage(spark, docs, str(tmp_path))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "None"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
