@@ -6,9 +6,10 @@ file by file: `doc_id`, `start` (ids before it in the corpus), `n_tokens`, `chec
 come from the counts of all ids and lie beside the files in `lengths`; they are all a
 reader needs. Any document, and any run within it, decodes by itself.
 
-Words are encoded once for each worker as long as its bounded memory holds them. Texts are
-cut only at single blanks between two other characters, where the vocabulary's own
-splitting always cuts; anything unusual goes through the tokenizer as it is.
+Words are encoded once for each worker as long as its bounded memory holds them; the new
+ones of many texts are merged together (`wordmerge`). Texts are cut only at single blanks
+between two other characters, where the vocabulary's own splitting always cuts; anything
+unusual goes through the tokenizer as it is.
 
 Defined results: NULL and empty texts hold the end id only; rows without an id come first;
 rows that repeat an id follow each other in order of their ids' bytes; an empty table gives
@@ -28,16 +29,22 @@ from pyspark.sql import functions as F
 
 from quoinlake.llm.carried import carried
 from quoinlake.llm.huffman import RUN, canonical_codes, code_lengths, decode_table, pack, unpack
+from quoinlake.llm.pieces import slices
+from quoinlake.llm.wordmerge import WordMerge
 from quoinlake.workspace import new_folder
 
 END_ID = 2
-MEMORY_ENTRIES = 450_000
+MEMORY_ENTRIES = 200_000
+SLICE = 2_000_000  # characters whose new pieces are encoded together
+BLOCK = 32_768  # pieces that are merged together
 BUCKET_TOKENS = 20_000_000
 CODED = "doc_id long, bucket int, n_tokens long, checkpoints array<int>, payload binary"
 
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 _WIDE_GAP = re.compile(r"^ | $| \s|\s ")
+_RARE_SPACE = re.compile(r"[^\S \n]")
 _UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa0-ɏ]")
+_PLAIN = re.compile("[!-~¡-ɏ][\t\n\r!-~¡-ɏ]*").fullmatch
 
 
 class WordEncoder:
@@ -66,6 +73,17 @@ class WordEncoder:
         self.letters = {**{b: chr(b) for b in seen}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
         self.tails: dict[str, bytes] = {}  # pieces after a blank, without it
         self.spelled: dict[str, bytes] = {}  # words with their blank
+        self.merge = self._merges(spec["model"]) if self.by_words else None
+
+    def _merges(self, model: dict) -> "WordMerge | None":
+        """The vocabulary's merges, where its words are made by them alone."""
+        if any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+            return None
+        number = model["vocab"]
+        if any(x not in number for x in self.letters.values()):
+            return None
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        return WordMerge([(number[a], number[b], number[a + b]) for a, b in pairs], [number[self.letters[b]] for b in range(256)])
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
@@ -90,25 +108,54 @@ class WordEncoder:
             return self._word(piece[:n]) + self._word(piece[n:]) if n < len(piece) else self._word(piece)
         return b"".join([self._word(w) for w in self.words(piece)])
 
-    def __call__(self, text: str) -> bytes:
+    def _pieces(self, text: str) -> list[str]:
+        """The text cut where the vocabulary's own splitting always cuts; nothing for one that goes through it whole."""
         if not self.by_words or any(s in text for s in self.special):
-            return self._whole(text)
+            return []
+        if _RARE_SPACE.search(text):
+            wide = _WIDE_GAP.search(text)
+        else:
+            wide = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " "
+        return _GAP.split(text) if wide else text.split(" ")
+
+    def _learn(self, texts: list[list[str]]) -> None:
+        """Put the new pieces of many texts into the memory."""
         if len(self.tails) > MEMORY_ENTRIES:
             self.tails.clear()
         if len(self.spelled) > MEMORY_ENTRIES:
             self.spelled.clear()
-        pieces = _GAP.split(text) if _WIDE_GAP.search(text) else text.split(" ")
-        first = pieces[0]
-        out = list(map(self.tails.get, pieces))
-        out[0] = self._piece(first) if first else b""
-        if None in out:
-            for i, found in enumerate(out):
-                if found is None:
-                    piece = pieces[i]
-                    out[i] = found = self._piece(" " + piece)
-                    if len(piece) < 40:
-                        self.tails[piece] = found
-        return b"".join(out)
+        if self.merge is not None:
+            new = [p for p in set().union(*[x[1:] for x in texts]).difference(self.tails) if len(p) < 40 and _PLAIN(p)]
+            for a in range(0, len(new), BLOCK):
+                some = new[a : a + BLOCK]
+                self.tails.update(zip(some, self.merge.pieces(some)))
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each of many texts."""
+        for some in slices(texts, SLICE):
+            pieces = [self._pieces(t) for t in some]
+            self._learn(pieces)
+            yield from map(self._joined, some, pieces)
+
+    def __call__(self, text: str) -> bytes:
+        return next(self.encode_all([text]))
+
+    def _joined(self, text: str, pieces: list[str]) -> bytes:
+        if not pieces:
+            return self._whole(text)
+        first = self._piece(pieces[0]) if pieces[0] else b""
+        try:
+            return first + b"".join(map(self.tails.__getitem__, pieces[1:]))
+        except KeyError:
+            return first + b"".join(map(self._tail, pieces[1:]))
+
+    def _tail(self, piece: str) -> bytes:
+        found = self.tails.get(piece)
+        if found is None:
+            found = self._piece(" " + piece)
+            if len(piece) < 40:
+                self.tails[piece] = found
+        return found
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -128,7 +175,7 @@ def encode(docs: DataFrame, key: str, text: str, path: str, end_id: int = END_ID
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         to_ids, counts = encoder(path), np.zeros(1 << 16, np.int64)
         for pdf in batches:
-            ids = [to_ids(t or "") + end for t in pdf["text"].where(pdf["text"].notna(), "")]
+            ids = [x + end for x in to_ids.encode_all(pdf["text"].where(pdf["text"].notna(), "").tolist())]
             counts += np.bincount(np.frombuffer(b"".join(ids), "<u2"), minlength=1 << 16)
             yield pd.DataFrame({"kind": 0, "doc_id": pdf["doc_id"], "n": [len(x) // 2 for x in ids], "ids": ids})
         met = np.flatnonzero(counts)

@@ -42,6 +42,23 @@ def test_random_texts_equal_the_tokenizer(text):
     assert ids_of(encode(text)) == encode.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_new_words_of_many_texts_are_merged_together(plain, monkeypatch):
+    parts = ["a", "s", "t", "re", "ve", "ll", "d", "'", "'s", "\n", "\r", "\t", "1", "2½", "é", "ß", "ñ", ".", ",", '"', "²", "ª", "×",
+             "the", "ing", "Ab", "ŋ", "ǅ", "«"]
+    rng = np.random.default_rng(3)
+    texts = [" ".join("".join(rng.choice(parts, rng.integers(1, 9))) for _ in range(50)) for _ in range(200)]
+    texts = [t + end for t, end in zip(texts, ["", " ", "\n", "  x"] * 50)]
+    encode, one_by_one = WordEncoder(PATH), []
+    piece = encode._piece
+    monkeypatch.setattr(encode, "_piece", lambda p: one_by_one.append(p) or piece(p))
+    for t, found in zip(texts, encode.encode_all(texts), strict=True):
+        assert ids_of(found) == plain.encode(t, add_special_tokens=False).ids
+    one_by_one.clear()
+    plain_text = " ".join(f"{w}{i}" for i in range(5000) for w in ("word", "ñuño's"))
+    assert ids_of(encode(plain_text)) == plain.encode(plain_text, add_special_tokens=False).ids
+    assert len(one_by_one) == 1  # the first word has no blank before it
+
+
 def test_query_equals_the_tokenizer_on_whole_texts(spark, plain):
     docs = sorted(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
     got = {r["doc_id"]: r for r in token_query(spark, SF).collect()}
