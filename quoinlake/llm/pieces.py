@@ -32,10 +32,12 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,16 +125,23 @@ class PieceEncoder:
                 self.pieces[piece] = (i, score << SHIFT)
                 self.text[i] = piece.encode()
                 scores.append(score)
-        # Pieces and all that a piece begins with, so that a search ends where no piece goes on.
-        self.starts = {p[:n]: (-1, 0) for p in self.pieces for n in range(1, len(p))} | self.pieces
         self.unknown = (min(scores) - 10_000_000) << SHIFT
         self.longest = max(map(len, self.pieces))
         self.cut_at_blanks = not any(MARK in p.lstrip(MARK) for p in self.pieces)
-        plain = {p: (i, s >> SHIFT) for p, (i, s) in self.pieces.items()}
-        self.search = WordSearch(plain, self.unknown >> SHIFT, _CUTS[:MEMORY_LENGTH])
         self.memory: dict[str, bytes] = {}
         self.scores: dict[str, int] = {}
 
+    # Made when first used, as a worker that only decodes has no need of them.
+    @cached_property
+    def starts(self) -> dict[str, tuple[int, int]]:
+        """Pieces and all that a piece begins with, so that a search ends where no piece goes on."""
+        return {p[:n]: (-1, 0) for p in self.pieces for n in range(1, len(p))} | self.pieces
+
+    @cached_property
+    def search(self) -> WordSearch:
+        plain = {p: (i, s >> SHIFT) for p, (i, s) in self.pieces.items()}
+        return WordSearch(plain, self.unknown >> SHIFT, _CUTS[:MEMORY_LENGTH])
+
     def inner(self, text: str) -> str:
         """The text with a blank before it."""
         return MARK + text
@@ -233,11 +242,15 @@ class PieceEncoder:
 
     def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each of many whole texts."""
+        return (np.frombuffer(x, "<u2").astype(np.int32) for x in self.raw_all(texts))
+
+    def raw_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The same as 16-bit numbers."""
         for some in slices(texts, SLICE):
             words = [self.words(self.inner(t)) if t else [] for t in some]
             self.learn(words)
             for w in words:
-                yield np.frombuffer(self.joined(w), "<u2").astype(np.int32)
+                yield self.joined(w)
 
     def sure_cuts(self, s: str, before: str, size: int) -> tuple[int, int]:
         """First and last place in 0..size where a word begins, or (-1, -1)."""
@@ -351,6 +364,19 @@ def few(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFra
             yield pdf.iloc[at : at + rows]
 
 
+def few_arrow(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same for batches of Arrow."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def id_lists(raw: list[bytes]) -> pa.ListArray:
+    """16-bit numbers of each text as a list."""
+    ends = np.cumsum([0, *(len(x) // 2 for x in raw)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<u2").astype(np.int32)))
+
+
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
 
@@ -366,10 +392,11 @@ def encode(docs: DataFrame, key: str, text: str, path: str, chunk: int = CHUNK,
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     chunk_fields = "name string, k int, head string, middle binary, tail string, size int, offset long, matrix string"
 
-    def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, log_ranks)
-        for pdf in few(batches):
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": list(e.encode_all(pdf["text"].tolist()))})
+        for batch in few_arrow(batches):
+            ids = id_lists(list(e.raw_all(batch["text"].to_pylist())))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], ids], ["doc_id", "ids"])
         e.give_back()
 
     def transfer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -394,14 +421,13 @@ def encode(docs: DataFrame, key: str, text: str, path: str, chunk: int = CHUNK,
             ids = [x for row in zip(*columns) for x in e.ends(*row)]
             yield pd.DataFrame({"name": np.repeat(pdf["name"].to_numpy(), 2), "at": (3 * pdf["k"].to_numpy()[:, None] + [0, 2]).ravel(), "ids": ids})
 
-    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in few(batches, 50):
-            ids = [np.frombuffer(b"".join(p), "<u2").astype(np.int32) for p in pdf["p"]]
-            yield pdf[["doc_id"]].assign(ids=ids)
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few_arrow(batches, 50):
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], id_lists([b"".join(p) for p in batch["p"].to_pylist()])], ["doc_id", "ids"])
 
     is_long = F.char_length("text") > chunk
-    few_chars, fields, back = carried(rows.where(~is_long), ["doc_id"])
-    out = back(few_chars.mapInPandas(short, f"{fields}, ids array<int>"))
+    fields = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>"
+    out = rows.where(~is_long).mapInArrow(short, fields)
     named = rows.where(is_long).withColumn("name", F.sha2("text", 256))
     texts = named.groupBy("name").agg(F.first("text").alias("text"))
     chunks = stored(texts.mapInPandas(transfer, chunk_fields), "chunks")
@@ -412,8 +438,8 @@ def encode(docs: DataFrame, key: str, text: str, path: str, chunk: int = CHUNK,
     middle = chunks.select("name", (F.col("k") * 3 + 1).cast("long").alias("at"), F.col("middle").alias("ids"))
     whole = parts.unionByName(middle).where(F.length("ids") > 0).groupBy("name").agg(
         F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("p"))
-    found, fields, back_long = carried(named.select("doc_id", "name").join(whole, "name").select("doc_id", F.col("p.ids").alias("p")), ["doc_id"])
-    return out.unionByName(back_long(found.mapInPandas(joined, f"{fields}, ids array<int>")))
+    found = named.select("doc_id", "name").join(whole, "name").select("doc_id", F.col("p.ids").alias("p"))
+    return out.unionByName(found.mapInArrow(joined, fields))
 
 
 def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -438,15 +464,17 @@ def pieces_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary()
     encoded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", path)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for pdf in few(batches):
-            texts = [e.decode(x) for x in pdf["ids"]]
+        for batch in few_arrow(batches):
+            n = batch["ids"].value_lengths()
+            flat, ends = batch["ids"].flatten().to_numpy().tolist(), np.cumsum(n.to_numpy()).tolist()
+            texts = (e.decode(flat[a:b]) for a, b in zip([0, *ends], ends))
             digests = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
-            yield pdf.assign(n_tokens=pdf["ids"].map(len).astype("int64"), decoded_sha256=digests)
+            yield pa.RecordBatch.from_arrays([*batch.columns, n.cast(pa.int64()), pa.array(digests, pa.string())], [*batch.schema.names, "n_tokens", "decoded_sha256"])
 
-    rows, fields, back = carried(encoded, ["doc_id"])
-    return back(rows.mapInPandas(run, f"{fields}, ids array<int>, n_tokens long, decoded_sha256 string"))
+    key = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.mapInArrow(run, f"doc_id {key}, ids array<int>, n_tokens long, decoded_sha256 string")
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 _CHARACTER_BITS = np.uint64(21)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(2**64 - 1)
-BLOCK = 16_384  # words that are searched together
+BLOCK = 10_240  # words that are searched together
 
 
 class WordSearch:
@@ -60,7 +60,7 @@ class WordSearch:
 
     def _edges(self, characters: np.ndarray, left: np.ndarray):
         """(place, length, score, piece) of all pieces, and of single characters without a piece as piece -1."""
-        at, node, found = np.arange(len(characters)), np.zeros(len(characters), np.int32), []
+        at, node, found = np.arange(len(characters), dtype=np.int32), np.zeros(len(characters), np.int32), []
         for n in range(1, self.longest + 1):
             going = (node >= 0) & (left[at] >= n)
             at, node = at[going], node[going]
@@ -70,7 +70,7 @@ class WordSearch:
             piece = np.where(node >= 0, self.piece[node], -1)
             score = np.where(piece >= 0, self.score[node], self.unknown)
             kept = slice(None) if n == 1 else piece >= 0
-            found.append((at[kept], np.full(len(at[kept]), n), score[kept], piece[kept]))
+            found.append((at[kept], np.full(len(at[kept]), n, np.int16), score[kept], piece[kept]))
         return [np.concatenate(x) for x in zip(*found)]
 
     def search(self, words: list[str], spelled: list[int]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -78,11 +78,11 @@ class WordSearch:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         characters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         ends = np.cumsum(sizes)
-        word = np.repeat(np.arange(len(words)), sizes)
-        place = np.arange(len(characters)) - (ends - sizes)[word]
+        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        place = (np.arange(len(characters)) - (ends - sizes)[word]).astype(np.int32)
         at, length, score, piece = self._edges(characters, sizes[word] - place)
         rank = place[at] * (self.longest + 1) + length
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank.astype(np.uint16) if rank.max() < 1 << 16 else rank, kind="stable")  # short keys sort in one pass
         state = (at + word[at])[order]  # a word has a state more than characters
         rank, length, score, piece = rank[order], length[order], score[order], piece[order]
 

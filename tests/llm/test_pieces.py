@@ -131,3 +131,18 @@ def test_ids_between_sure_cuts_do_not_move_to_the_states(spark):
     assert traces and not any("middle" in x for x in traces)
     whole = [x.tolist() for x in pieces.encoder(path).encode_all([t or "" for t in texts])]
     assert [r["ids"] for r in encoded.orderBy("doc_id").collect()] == whole
+
+
+def test_a_worker_that_only_decodes_builds_no_search():
+    e = PieceEncoder(vocabulary())
+    assert e.decode(plain(E, "Hello world")) == "Hello world"
+    assert "search" not in vars(e) and "starts" not in vars(e)
+
+
+def test_ids_pass_as_lists_of_arrow(spark):
+    rows = [(None, "a b"), (2**60 + 1, None), (3, ""), (3, "x" * 5 + " y" * 9000), (2**60 + 1, "é 日本")]
+    got = encode(spark.createDataFrame(rows, "n long, t string"), "n", "t", vocabulary())
+    found = sorted(((r["doc_id"], list(r["ids"])) for r in got.collect()), key=str)
+    assert found == sorted(((k, plain(E, t or "")) for k, t in rows), key=str)
+    lists = pieces.id_lists([b"", b"\x01\x00\xff\xff", b""])
+    assert lists.to_pylist() == [[], [1, 65535], []]
