@@ -68,19 +68,31 @@ def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Bit string of the ids and the bit offset of every RUN-th of them."""
+    return pack_all(ids, np.array([len(ids)]), codes, lengths)[0]
+
+
+def pack_all(ids: np.ndarray, counts: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> list[tuple[bytes, np.ndarray]]:
+    """What `pack` makes of each of several texts, of `counts` ids each, one after another."""
     if not len(ids):
-        return b"", np.zeros(0, np.int64)
+        return [(b"", np.zeros(0, np.int64)) for _ in counts]
     size = lengths[ids].astype(np.int64)
-    end = np.cumsum(size)
-    start = end - size
+    end = np.concatenate([[0], np.cumsum(size)])
+    last = np.cumsum(counts)
+    before = end[last - counts]
+    bits_of = end[last] - before
+    base = np.concatenate([[0], np.cumsum((bits_of + 31) // 32 + 1)])  # each text starts at a word of its own
+    start = end[:-1] + np.repeat(32 * base[:-1] - before, counts)
     word, low = start >> 5, 64 - (start & 31) - size  # a code lies in 64 bits from its word on
     bits = codes[ids].astype(np.uint64) << low.astype(np.uint64)
     first = np.flatnonzero(np.diff(word, prepend=-1))
     sums = np.bitwise_or.reduceat(bits, first)
-    out = np.zeros((int(end[-1]) + 31) // 32 + 2, np.uint32)
+    out = np.zeros(base[-1] + 1, np.uint32)
     out[word[first]] |= (sums >> np.uint64(32)).astype(np.uint32)
     out[word[first] + 1] |= (sums & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    return out.astype(">u4").tobytes()[: (int(end[-1]) + 7) // 8], start[::RUN]
+    data = out.astype(">u4").tobytes()
+    return [
+        (data[4 * at : 4 * at + (n + 7) // 8], start[b - c : b : RUN] - 32 * at)
+        for at, n, b, c in zip(base.tolist(), bits_of.tolist(), last.tolist(), counts.tolist())]
 
 
 def unpack(data: bytes, offsets: np.ndarray, counts: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoinlake.llm.carried import carried
-from quoinlake.llm.huffman import RUN, canonical_codes, code_lengths, decode_table, pack, unpack
+from quoinlake.llm.huffman import RUN, canonical_codes, code_lengths, decode_table, pack_all, unpack
 from quoinlake.llm.pieces import slices
 from quoinlake.llm.wordmerge import WordMerge
 from quoinlake.workspace import new_folder
@@ -37,6 +37,7 @@ END_ID = 2
 MEMORY_ENTRIES = 200_000
 SLICE = 2_000_000  # characters whose new pieces are encoded together
 BLOCK = 32_768  # pieces that are merged together
+PACKED = 200_000  # ids that are packed together
 BUCKET_TOKENS = 20_000_000
 CODED = "doc_id long, bucket int, n_tokens long, checkpoints array<int>, payload binary"
 
@@ -208,7 +209,10 @@ def write_token_file(docs: DataFrame, key: str, text: str, folder: str, path: st
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, codes, bounds = coder.value
         for batch in batches:
-            packed = [pack(np.frombuffer(x, "<u2"), codes, size) for x in batch["ids"].to_pylist()]
+            packed = []
+            for some in slices(batch["ids"].to_pylist(), 2 * PACKED):
+                n = np.array([len(x) // 2 for x in some])
+                packed += pack_all(np.frombuffer(b"".join(some), "<u2"), n, codes, size)
             bucket = np.searchsorted(bounds, batch["doc_id"].fill_null(first).to_numpy(), side="right")
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(bucket, pa.int32()), batch["n"], pa.array([x[1] for x in packed], pa.list_(pa.int32())),

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quoinlake.llm.huffman import canonical_codes, code_lengths, decode_table, pack, unpack
+from quoinlake.llm.huffman import canonical_codes, code_lengths, decode_table, pack, pack_all, unpack
 from quoinlake.llm.token_file import WordEncoder, read_token_file, token_query, write_token_file
 from quoinlake.workspace import new_folder
 
@@ -42,6 +42,20 @@ def test_random_texts_equal_the_tokenizer(text):
     assert ids_of(encode(text)) == encode.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_texts_packed_together_are_those_packed_alone():
+    rng = np.random.default_rng(5)
+    counts = np.array([0, 1, 3000, 0, 2, 1024, 1025, 1, 0])
+    ids = rng.integers(0, 400, counts.sum()) ** 2 // 400
+    lengths = code_lengths(np.bincount(ids, minlength=400))
+    codes, table = canonical_codes(lengths), decode_table(lengths)
+    parts = np.split(ids, np.cumsum(counts)[:-1])
+    for part, (data, offsets) in zip(parts, pack_all(ids, counts, codes, lengths), strict=True):
+        alone, places = pack(part, codes, lengths)
+        assert data == alone and offsets.tolist() == places.tolist()
+        runs = np.minimum(1024, len(part) - np.arange(0, len(part), 1024))
+        assert unpack(data, offsets, runs, table).tolist() == part.tolist()
+
+
 def test_new_words_of_many_texts_are_merged_together(plain, monkeypatch):
     parts = ["a", "s", "t", "re", "ve", "ll", "d", "'", "'s", "\n", "\r", "\t", "1", "2½", "é", "ß", "ñ", ".", ",", '"', "²", "ª", "×",
              "the", "ing", "Ab", "ŋ", "ǅ", "«"]
