@@ -45,7 +45,7 @@ _GAP = re.compile(r"(?<=\S) (?=\S)")
 _WIDE_GAP = re.compile(r"^ | $| \s|\s ")
 _RARE_SPACE = re.compile(r"[^\S \n]")
 _UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa0-ɏ]")
-_PLAIN = re.compile("[!-~¡-ɏ][\t\n\r!-~¡-ɏ]*").fullmatch
+_PLAIN = re.compile("\0([!-~¡-ɏ][\t\n\r!-~¡-ɏ]{0,38})(?=\0)").findall  # of pieces with NUL around each
 
 
 class WordEncoder:
@@ -126,7 +126,8 @@ class WordEncoder:
         if len(self.spelled) > MEMORY_ENTRIES:
             self.spelled.clear()
         if self.merge is not None:
-            new = [p for p in set().union(*[x[1:] for x in texts]).difference(self.tails) if len(p) < 40 and _PLAIN(p)]
+            unknown = set().union(*[x[1:] for x in texts]).difference(self.tails)
+            new = _PLAIN("\0".join(["", *unknown, ""]))
             for a in range(0, len(new), BLOCK):
                 some = new[a : a + BLOCK]
                 self.tails.update(zip(some, self.merge.pieces(some)))

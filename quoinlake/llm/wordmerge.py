@@ -12,7 +12,6 @@ import numpy as np
 
 _EMPTY = np.uint64(2**64 - 1)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
-NONE = np.int32(2**31 - 1)
 LAST = 0x24F  # last character with a class
 
 _LETTER, _NUMBER, _MARK, _SPACE = 1, 2, 3, 4
@@ -56,10 +55,12 @@ class WordMerge:
     def __init__(self, merges: list[tuple[int, int, int]], letters: list[int]):
         """`merges` gives the two ids and the id that they make, lowest first; `letters` the id of each byte."""
         pairs = np.array(merges, np.uint64).reshape(-1, 3)
-        keys, self.made = pairs[:, 0] << np.uint64(16) | pairs[:, 1], np.append(pairs[:, 2], 0).astype(np.int32)
+        keys = pairs[:, 0] << np.uint64(16) | pairs[:, 1]
+        kind = np.uint16 if max(len(pairs), int(pairs.max(initial=0)), max(letters)) < 2**16 - 1 else np.int32  # narrow matrices are quicker
+        self.none, self.made = kind(np.iinfo(kind).max), np.append(pairs[:, 2], 0).astype(kind)
         bits = max(4, (4 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), 2**bits - 1
-        self.keys, self.ranks = np.full(2**bits, _EMPTY, np.uint64), np.full(2**bits, NONE, np.int32)
+        self.keys, self.ranks = np.full(2**bits, _EMPTY, np.uint64), np.full(2**bits, self.none, kind)
         left, at = np.arange(len(keys)), self._slots(keys)
         while len(left):
             free = self.keys[at] == _EMPTY
@@ -69,18 +70,18 @@ class WordMerge:
             rest = np.ones(len(left), bool)
             rest[won] = False
             left, at = left[rest], (at[rest] + 1) & self.mask
-        self.letters = np.array(letters, np.int32)
+        self.letters = np.array(letters, kind)
         self.first = self.rank(np.repeat(self.letters, 256), np.tile(self.letters, 256))  # of two bytes
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * _SPREAD) >> self.shift).astype(np.int64)
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Ranks of the merges of ids a and b, or NONE."""
+        """Ranks of the merges of ids a and b, or `none`."""
         keys = a.astype(np.uint64) << np.uint64(16) | b.astype(np.uint64)
         at = self._slots(keys)
         seen = self.keys[at]
-        out = np.where(seen == keys, self.ranks[at], NONE)
+        out = np.where(seen == keys, self.ranks[at], self.none)
         open_ = np.flatnonzero((seen != keys) & (seen != _EMPTY))
         while len(open_):
             at[open_] = (at[open_] + 1) & self.mask
@@ -116,7 +117,7 @@ class WordMerge:
             at = ranks.argmin(1)
             rows = np.arange(len(word))
             lowest = ranks[rows, at]
-            going = lowest != NONE
+            going = lowest != self.none
             if not going.all():
                 ended = ~going
                 counts[word[ended]] = n

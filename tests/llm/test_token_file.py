@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 
 from quoinlake.llm.huffman import canonical_codes, code_lengths, decode_table, pack, pack_all, unpack
 from quoinlake.llm.token_file import WordEncoder, read_token_file, token_query, write_token_file
+from quoinlake.llm.wordmerge import WordMerge
 from quoinlake.workspace import new_folder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -73,6 +74,20 @@ def test_new_words_of_many_texts_are_merged_together(plain, monkeypatch):
     assert len(one_by_one) == 1  # the first word has no blank before it
 
 
+def test_merges_are_narrow_where_ids_allow_it():
+    for last, kind in ((400, np.uint16), (65535, np.int32)):
+        merge = WordMerge([(ord("t"), ord("h"), 300), (300, ord("e"), last)], list(range(256)))
+        assert merge.made.dtype == merge.ranks.dtype == merge.first.dtype == kind
+        assert [ids_of(x) for x in merge.pieces(["the", "hat", "th"])] == [[32, last], [32, 104, 97, 116], [32, 300]]
+
+
+def test_new_pieces_with_nul_or_of_any_length(plain):
+    encode = WordEncoder(PATH)
+    for text in ("x a\0b \0 \0\0c a b", "x " + "y" * 39 + " " + "z" * 40 + " " + "w" * 41, "x \tq q\t é\0é ŋ"):
+        assert ids_of(encode(text)) == plain.encode(text, add_special_tokens=False).ids
+        assert not any(len(p) >= 40 for p in encode.tails)
+
+
 def test_query_equals_the_tokenizer_on_whole_texts(spark, plain):
     docs = sorted(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
     got = {r["doc_id"]: r for r in token_query(spark, SF).collect()}
