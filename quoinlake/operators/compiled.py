@@ -23,13 +23,21 @@ MOST_LABELS = 512
 
 
 class _Slots:
-    """What stands in each place of the feature vector: a number, or one label of a category."""
+    """What stands in each place of the feature vector: a number, or one label of a category.
 
-    def __init__(self, entries: list, scale: list[float]):
-        self.entries, self.scale = entries, scale
+    Once the values of the places are `made`, as columns of their own, they are looked up.
+    """
+
+    def __init__(self, entries: list, scale: list[float], made: bool = False):
+        self.entries, self.scale, self.made = entries, scale, made
+
+    def columns(self) -> dict[str, Column]:
+        return {f"_place_{i}": self.value(i) for i in range(len(self.entries))}
 
     def value(self, i: int) -> Column:
         """The place's value before scaling."""
+        if self.made:
+            return F.col(f"_place_{i}")
         kind, column, labels, j = self.entries[i]
         if kind == "number":
             return column
@@ -46,7 +54,7 @@ class _Slots:
         while i < len(self.entries):
             kind, column, labels, _ = self.entries[i]
             if kind == "number":
-                total = total + column * F.lit(self.scale[i] * weights[i])
+                total = total + self.value(i) * F.lit(self.scale[i] * weights[i])
                 i += 1
                 continue
             of = [self.scale[i + j] * weights[i + j] for j in range(len(labels) + 1)]
@@ -134,12 +142,26 @@ def _with_features(df: DataFrame, model: PipelineModel) -> DataFrame:
     return df
 
 
-def compiled_prediction(model: PipelineModel, df: DataFrame) -> "Column | None":
-    """The prediction over the columns that `ListingFeatures` adds to `df`; None if the model cannot be written so."""
+def places(model: PipelineModel, df: DataFrame) -> dict[str, Column]:
+    """The values that a model's expression is made of; none if its stages are not known.
+
+    Made first, they leave one comparison for a node of a tree. Otherwise each node has its
+    fill and lookup in it, and the code of a forest is one method, too long for the JVM to compile.
+    """
+    slots = _slots(model.stages[:-1], dict(_with_features(df, model).dtypes))
+    return slots.columns() if slots else {}
+
+
+def compiled_prediction(model: PipelineModel, df: DataFrame, made: bool = False) -> "Column | None":
+    """The prediction over the columns that `ListingFeatures` adds to `df`; None if the model cannot be written so.
+
+    With `made` it is one over `places`.
+    """
     *stages, last = model.stages
     slots = _slots(stages, dict(_with_features(df, model).dtypes))
     if slots is None:
         return None
+    slots.made = made
     if isinstance(last, LinearRegressionModel):
         return slots.weighted([float(w) for w in last.coefficients]) + F.lit(float(last.intercept))
     if isinstance(last, (RandomForestRegressionModel, GBTRegressionModel)) and last.totalNumNodes <= MOST_NODES:
@@ -155,8 +177,27 @@ def predicted(df: DataFrame, model: PipelineModel, out: str = "prediction") -> D
 
     The feature columns that the expression needs are not kept.
     """
-    expression = compiled_prediction(model, df)
+    expression = compiled_prediction(model, df, made=True)
     if expression is None:
         columns = [F.col(c) for c in df.columns]
         return model.transform(df).select(*columns, F.col("prediction").alias(out))
-    return _with_features(df, model).select(*df.columns, expression.alias(out))
+    made = _with_features(df, model).withColumns(places(model, df))
+    return made.select(*df.columns, expression.alias(out))
+
+
+def agreement(models: dict[str, PipelineModel], vectors: DataFrame, df: DataFrame, within: float = 1e-9) -> DataFrame:
+    """(model, n_rows, n_equal): on how many rows a model's expression gives the estimate of its own stages.
+
+    The models share their feature stages. `vectors` has what these make of `df` in "features",
+    beside the columns that the expressions read, so all models are compared in one pass.
+    """
+    scored, counts = vectors.withColumns(places(next(iter(models.values())), df)), []
+    for i, (name, model) in enumerate(models.items()):
+        last, compiled = model.stages[-1], compiled_prediction(model, df, made=True)
+        by_stages = F.col("_by_stages")
+        both = last.copy({last.predictionCol: "_by_stages"}).transform(scored).withColumn("_compiled", compiled)
+        near = F.abs(by_stages - F.col("_compiled")) <= within * F.abs(by_stages)
+        scored = both.withColumn(f"_near_{i}", near).drop("_by_stages", "_compiled")
+        counts.append(F.struct(
+            F.lit(name).alias("model"), F.count(F.lit(1)).alias("n_rows"), F.count_if(f"_near_{i}").alias("n_equal")))
+    return scored.agg(F.array(*counts).alias("counts")).select(F.inline("counts"))
